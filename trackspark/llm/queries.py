@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media, quality_rules, toxicity
+from . import language_id, media, packing, quality_rules, sentence_pieces, toxicity
 from .common import documents
 
 
@@ -14,11 +14,19 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_frequency(documents(spark, sf_dir))
 
 
+def op3_deficit_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op4_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id.identify(docs, language_id.fit_profiles(docs))
 
 
+def op7_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(documents(spark, sf_dir))
+
+
 def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -28,8 +36,18 @@ def op9_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+REGISTERED = (
+    op1_line_frequency,
+    op3_deficit_round_robin,
+    op4_rank_order_profiles,
+    op7_shared_prefix_viterbi,
+    op8_counterfactual_toxicity,
+    op9_interleaved_media,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_frequency, op4_rank_order_profiles, op8_counterfactual_toxicity, op9_interleaved_media)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
