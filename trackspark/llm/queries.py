@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media, packing, quality_rules, sentence_pieces, toxicity
+from . import language_id, media, packing, quality_rules, sentence_pieces, substrings, toxicity
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_frequency(documents(spark, sf_dir))
 
 
+def op2_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_deficit_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ def op9_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = (
     op1_line_frequency,
+    op2_longest_previous_factors,
     op3_deficit_round_robin,
     op4_rank_order_profiles,
     op7_shared_prefix_viterbi,
