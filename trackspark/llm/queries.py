@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media, packing, quality_rules, sentence_pieces, substrings, toxicity
-from .common import documents
+from . import language_id, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, substrings, toxicity
+from .common import documents, original_id
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit_profiles(docs))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(documents(spark, sf_dir))
 
@@ -40,14 +44,20 @@ def op9_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.remove_paragraphs(documents(spark, sf_dir)).withColumn("doc_id", original_id())
+
+
 REGISTERED = (
     op1_line_frequency,
     op2_longest_previous_factors,
     op3_deficit_round_robin,
     op4_rank_order_profiles,
+    op6_order_minhash,
     op7_shared_prefix_viterbi,
     op8_counterfactual_toxicity,
     op9_interleaved_media,
+    op10_paragraph_minhash,
 )
 
 
