@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, substrings, toxicity
+from . import fuzzy_lines, language_id, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, substrings, toxicity
 from .common import documents, original_id
 
 
@@ -27,6 +27,10 @@ def op4_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit_profiles(docs))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(documents(spark, sf_dir))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ REGISTERED = (
     op2_longest_previous_factors,
     op3_deficit_round_robin,
     op4_rank_order_profiles,
+    op5_fuzzy_lines,
     op6_order_minhash,
     op7_shared_prefix_viterbi,
     op8_counterfactual_toxicity,
