@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Stands for a null doc_id wherever documents are joined by their id.
 NULL_ID = -(2**63)
@@ -58,32 +60,45 @@ def original_id(column: str = "doc_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 
-def map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """Run `make` once per partition: a stream of Arrow batches as {column: list} in, dicts of columns out."""
+def map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
+    """Run `make` once per partition: a stream of Arrow batches as {column: values} in, dicts of columns out.
+
+    Values are lists, but for structs, which stay Arrow arrays and are only handed on.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    types = {f.name: to_arrow_type(f.dataType) for f in schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches if b.num_rows)
+        columns = ({n: c if pa.types.is_struct(c.type) else c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches if b.num_rows)
         for out in make(columns):
             if out and len(next(iter(out.values()))):
                 yield pa.RecordBatch.from_arrays([as_arrow(v, types[k]) for k, v in out.items()], names=list(out))
 
-    types = arrow_types(df.sparkSession, schema)
     return df.mapInArrow(run, schema)
 
 
-def arrow_types(spark: SparkSession, schema: str) -> dict[str, pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
-    return {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
-
-
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, kind)
 
 
-def bytes_of(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def with_rest(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one struct `rest`, so that their names can't clash with an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
+
+
+def like(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """`changed` (doc_id, text, rest) with the columns and types of `docs`; n_chars follows the text."""
+    columns = []
+    for field in docs.schema:
+        if field.name in ("doc_id", "text"):
+            value = F.col(field.name)
+        elif field.name == "n_chars":
+            value = F.length("text")
+        else:
+            value = F.col("rest").getField(field.name)
+        columns.append(value.cast(field.dataType).alias(field.name))
+    return changed.select(*columns)
 
 
 def held_out():
