@@ -1,0 +1 @@
+"""Spark jobs for keyed, frame-indexed signals."""
