@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-NAN = F.lit(float("nan"))
+def nan() -> Column:
+    return F.lit(float("nan"))
 
 
 def number(c: Column | str) -> Column:
@@ -68,9 +68,7 @@ def betainc(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
     return np.where(flip, 1 - found, found)
 
 
-@pandas_udf("double")
-def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p-value of a Pearson r over n rows; 1 for two rows, null where r is."""
+def p_values(r: pd.Series, n: pd.Series) -> pd.Series:
     df = np.maximum(n.fillna(2).to_numpy(float) - 2, 0)
     value = r.to_numpy(float)
     known = ~np.isnan(value)
@@ -78,7 +76,12 @@ def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
     test = known & (df > 0)
     if test.any():
         p[test] = betainc(df[test] / 2, 0.5, 1 - np.minimum(value[test] ** 2, 1))
-    return pd.Series([None if np.isnan(x) else float(x) for x in p], dtype=object).astype("Float64")
+    return pd.Series(p).astype("Float64").mask(~known)
+
+
+def pearson_p(r: str, n: str) -> Column:
+    """Two-sided p-value of a Pearson r over n rows; 1 for two rows, null where r is."""
+    return F.pandas_udf(p_values, "double")(F.col(r), F.col(n))
 
 
 def ks_p(statistic: float, n: int, m: int) -> float:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import NAN, above
+from ..functions.numeric import nan, above
 from .timeaxis import gradient
 
 # Points of the 133-point whole-body layout, and of the 68-point face, by part.
@@ -51,7 +51,7 @@ def normalize_frame(frames: DataFrame, kp: str = "kp", scale: float = 1.0) -> Da
     frames = frames.withColumn("__far", distance + 1e-8)
 
     def scaled(p: Column, axis: str, mean: str) -> Column:
-        return F.when(F.col("__bad"), NAN).otherwise((p[axis] - F.col(mean)) / F.col("__far") * scale).alias(axis)
+        return F.when(F.col("__bad"), nan()).otherwise((p[axis] - F.col(mean)) / F.col("__far") * scale).alias(axis)
 
     return frames.withColumn(kp, F.transform(kp, lambda p: F.struct(scaled(p, "x", "__mx"), scaled(p, "y", "__my")))).drop("__bad", "__mx", "__my", "__far")
 
@@ -121,8 +121,8 @@ def bow_arm_features(frames: DataFrame, track: list[str], fps: float = 30.0, arm
     c = F.col
     dot = (c("sx") - c("ex")) * (c("wx") - c("ex")) + (c("sy") - c("ey")) * (c("wy") - c("ey"))
     norms = distance(c("sx"), c("sy"), c("ex"), c("ey")) * distance(c("wx"), c("wy"), c("ex"), c("ey"))
-    cosine = F.coalesce(F.try_divide(dot, norms), NAN)
-    angle = F.when(F.isnan(cosine), NAN).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
+    cosine = F.coalesce(F.try_divide(dot, norms), nan())
+    angle = F.when(F.isnan(cosine), nan()).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
     return moved.select(
         *track, frame, F.sqrt(c("vx") ** 2 + c("vy") ** 2).alias("wrist_speed"), angle.alias("elbow_angle"), distance(c("sx"), c("sy"), c("wx"), c("wy")).alias("arm_extension"),
     )

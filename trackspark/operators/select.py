@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import NAN, below
+from ..functions.numeric import nan, below
 
 
 def select_songs(
@@ -55,7 +55,7 @@ def slice_chunk(frames: DataFrame, start_s: float, duration_s: float, fps: float
 
 def mask_low_confidence(frames: DataFrame, values: list[str], score: str = "score", limit: float = 3.0) -> DataFrame:
     """`values` are NaN where the score is under `limit`; a NaN score doesn't mask."""
-    return frames.withColumns({v: F.when(below(score, limit), NAN).otherwise(F.col(v)) for v in values})
+    return frames.withColumns({v: F.when(below(score, limit), nan()).otherwise(F.col(v)) for v in values})
 
 
 def mask_intervals(frames: DataFrame, intervals: DataFrame, track: list[str], values: list[str], frame: str = "frame", block: int = 1024) -> DataFrame:
@@ -70,7 +70,7 @@ def mask_intervals(frames: DataFrame, intervals: DataFrame, track: list[str], va
     hit = keyed.select(*track, frame, "__block").join(spans, [*track, "__block"]).filter(F.col(frame).between(F.col("start"), F.col("end")))
     hit = hit.select(*track, frame).distinct().withColumn("__hit", F.lit(True))
     out = frames.join(hit, [*track, frame], "left")
-    return out.withColumns({v: F.when(F.col("__hit"), NAN).otherwise(F.col(v)) for v in values}).drop("__hit")
+    return out.withColumns({v: F.when(F.col("__hit"), nan()).otherwise(F.col(v)) for v in values}).drop("__hit")
 
 
 def fill_nan(df: DataFrame, columns: list[str], value: float = 0.0, infinite: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import NAN, elementwise, moments, number, pearson, savgol_weights
+from ..functions.numeric import nan, elementwise, moments, number, pearson, savgol_weights
 
 
 def over(track: list[str], frame: str):
@@ -41,7 +41,7 @@ def gradient(df: DataFrame, track: list[str], columns: dict[str, str], fps: floa
 
         def slope(here: Column, before: Column, after: Column) -> Column:
             inner = (after - before) / 2
-            return F.coalesce(inner, after - here, here - before, NAN) * rate
+            return F.coalesce(inner, after - here, here - before, nan()) * rate
 
         array = is_array(df, old)
         if array:
@@ -132,6 +132,6 @@ def robust_scale(df: DataFrame, track: list[str], value: str = "value", low: flo
 
 def part_means(df: DataFrame, keys: list[str], parts: DataFrame, values: list[str], kp: str = "kp", whole: str = "general") -> DataFrame:
     """NaN-skipping means of `values` over each part's points (bridge: part, kp) and over all points as part `whole`."""
-    means = [F.coalesce(F.avg(number(v)), NAN).alias(v) for v in values]
+    means = [F.coalesce(F.avg(number(v)), nan()).alias(v) for v in values]
     by_part = df.join(F.broadcast(parts), kp).groupBy(*keys, "part").agg(*means)
     return df.groupBy(*keys).agg(*means).withColumn("part", F.lit(whole)).unionByName(by_part)
