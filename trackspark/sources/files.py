@@ -24,20 +24,20 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def nested(spark: SparkSession, path: str, leaf: str) -> DataFrame:
-    """artist, song, value of JSON files that nest artist -> song -> value of type `leaf`."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,map<string,{leaf}>>").alias("j"))
+def nested(spark: SparkSession, path: str, leaf: str, lines: bool) -> DataFrame:
+    """artist, song, value of JSON that nests artist -> song -> value of type `leaf`; an object a file, or a line."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.from_json("value", f"map<string,map<string,{leaf}>>").alias("j"))
     return raw.select(F.explode("j").alias("artist", "s")).select("artist", F.explode("s").alias("song", "value"))
 
 
-def read_song_metadata(spark: SparkSession, path: str) -> DataFrame:
+def read_song_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per song; fields that a record lacks are null, further ones aren't read."""
-    return nested(spark, path, SONG).select("artist", "song", "value.*")
+    return nested(spark, path, SONG, lines).select("artist", "song", "value.*")
 
 
-def read_chunk_records(spark: SparkSession, path: str, record: str) -> DataFrame:
+def read_chunk_records(spark: SparkSession, path: str, record: str, lines: bool = False) -> DataFrame:
     """artist, song, chunk and the record's fields, from lists of records (a struct type) by song."""
-    return nested(spark, path, f"array<{record}>").select("artist", "song", F.posexplode("value").alias("chunk", "r")).select("artist", "song", "chunk", "r.*")
+    return nested(spark, path, f"array<{record}>", lines).select("artist", "song", F.posexplode("value").alias("chunk", "r")).select("artist", "song", "chunk", "r.*")
 
 
 def path_part(i: int) -> Column:
