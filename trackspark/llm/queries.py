@@ -70,5 +70,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in REGISTERED}
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+LINE_FREQUENCY = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS host FROM documents),
+split AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS ws FROM d),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM split),
+win AS (SELECT doc_id, i, concat_ws(' ', w, {", ".join(f"lead(w, {k}) OVER o" for k in range(1, 8))}) AS k, lead(w, 7) OVER o IS NOT NULL AS whole
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, i, whole AND count(*) FILTER (whole) OVER (PARTITION BY doc_id, k) > 1 AS rep FROM win),
+hit AS (SELECT doc_id, max(rep::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM rep),
+repeated AS (SELECT doc_id, sum(hit) AS n FROM hit GROUP BY 1),
+l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
+ln AS (SELECT doc_id, host, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, len(regexp_extract_all(line, '{WORD}')) AS words FROM l WHERE regexp_matches(line, '{WORD}')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(DISTINCT norm) AS lines FROM ln GROUP BY 1),
+hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY 1),
+often AS (SELECT host, norm FROM ln JOIN hosts USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.001 * docs),
+lost AS (SELECT doc_id, count(DISTINCT norm) AS n, sum(words) AS words FROM ln SEMI JOIN often USING (host, norm) GROUP BY 1),
+facts AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_lines_removed, CAST(coalesce(lost.words, 0) AS BIGINT) AS n_words_removed
+  FROM d JOIN split USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN repeated r USING (doc_id) LEFT JOIN lost USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  n_lines_removed > 0 AND (n_words - n_words_removed < 0.5 * n_words OR n_words - n_words_removed < 20) AS depleted FROM facts)
+SELECT * EXCLUDE (depleted), NOT base_failed AND NOT depleted AS kept FROM judged"""
+
+LONGEST_PREVIOUS_FACTORS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(len(h) // 2 AS BIGINT) AS n FROM d),
+w AS (SELECT doc_id, h, unnest(range(n - 99)) AS s FROM n WHERE n >= 100),
+k AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS k FROM w),
+gone AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM k) WHERE r > 1),
+edge AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER o + 100 THEN 1 ELSE 0 END AS new FROM gone WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+part AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM edge),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM part GROUP BY doc_id, part),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+kept AS (SELECT n.doc_id, n.n, coalesce(sum(b - a), 0) AS removed, count(a) AS spans,
+  coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') || substr(any_value(h), 2 * coalesce(max(b), 0) + 1) AS rest
+  FROM n LEFT JOIN gap USING (doc_id) GROUP BY n.doc_id, n.n)
+SELECT doc_id, n AS n_bytes, CAST(removed AS BIGINT) AS n_removed, spans AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_frequency": LINE_FREQUENCY, "op2_longest_previous_factors": LONGEST_PREVIOUS_FACTORS}
