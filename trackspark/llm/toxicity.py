@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import held_out, map_rows, stored
 
 #: Names of groups that a swap exchanges; a parameter of fit().
 IDENTITY_TERMS = (
@@ -87,18 +87,20 @@ def swaps(names: dict[str, int], terms: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, most_features: int = 4096, most_rows: int = 20_000, terms: tuple[str, ...] = IDENTITY_TERMS,
+    docs: DataFrame, labels: DataFrame, most_features: int = 4096, most_rows: int = 40_000, terms: tuple[str, ...] = IDENTITY_TERMS,
     penalty: float = 1.0, ridge: float = 1e-4, steps: int = 200,
 ) -> Model:
-    """Fit on the labelled rows that are not held out.
+    """Fit on the labelled rows that are not held out, at most `most_rows` of them: those with the smallest hash of doc_id.
 
-    Features are chosen from counts over all those rows; the weights are fitted on at most `most_rows` of them, those
-    with the smallest hash of doc_id. Labels other than 0 and 1, null ones and unlabelled rows are not used. Without
-    rows of both labels the model gives every text the share of label 1 (0.5 without any row).
+    The bound makes their ids and labels small enough to broadcast, so that no text is shuffled. Labels other than 0
+    and 1, null ones and unlabelled rows are not used. Without rows of both labels, or without a feature in five of
+    them, nothing can be learned and the model calls no text toxic (all scores are near 0).
     """
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1))
     wanted = wanted.filter(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
+    chosen = stored(wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "labels-chosen")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("text", "label")
     names = choose_features(rows, most_features)
     names = sorted(set(names) | {t for t in terms if names})
     column = {f: i for i, f in enumerate(names)}
@@ -109,8 +111,7 @@ def fit(
             named = [[k for k, t in enumerate(terms) if column.get(t) in set(x)] for x in found]
             yield {"label": batch["label"], "columns": found, "named": named}
 
-    chosen = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    sample = map_rows(rows.join(chosen.select("doc_id"), "doc_id", "left_semi").select("text", "label"), encode, "label int, columns array<int>, named array<int>").toArrow()
+    sample = map_rows(rows, encode, "label int, columns array<int>, named array<int>").toArrow()
     y = sample["label"].to_numpy().astype(float)
     if not len(y) or not names or y.min() == y.max():
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
