@@ -1,7 +1,11 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi.
 
 The distinct marked words of a batch are sorted, which lays them out as the depth-first walk of their trie; the forward
-scores of a common prefix are kept from word to word, and only the new letters of a word are scored.
+states of a common prefix are kept from word to word, and only the new letters of a word are worked on.
+
+In a unigram model the state of a prefix is its best score. In a pair-merge model a path is allowed only if merging
+would leave each two of its pieces side by side; every prefix has exactly one such path, so its state is the last piece
+of that path, and the ids are those of the merges.
 """
 
 from __future__ import annotations
@@ -24,6 +28,42 @@ from .common import map_rows
 MARK = "▁"
 #: What an unknown letter costs beyond the lowest score of a piece.
 UNKNOWN = 10.0
+NEVER = float("-inf")
+#: Pairs of pieces whose merging is remembered.
+MOST_PAIRS = 1 << 20
+#: Of a model file: the field with the trainer's settings, and in it the model type; the type for pair merges.
+SETTINGS, TYPE, PAIR_MERGES = 2, 3, 2
+
+
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of the fields of a protocol buffer message; fixed-size values are skipped."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            value, shift, at = value | (byte & 127) << shift, shift + 7, at + 1
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        elif tag & 7 == 2:
+            size = varint()
+            yield tag >> 3, raw[at : at + size]
+            at += size
+        else:
+            at += {1: 8, 5: 4}[tag & 7]
+
+
+def is_pair_merges(path: str) -> bool:
+    with open(path, "rb") as file:
+        settings = next((v for k, v in fields(file.read()) if k == SETTINGS), b"")
+    return next((v for k, v in fields(settings) if k == TYPE), 1) == PAIR_MERGES
 
 
 class Pieces:
@@ -38,6 +78,7 @@ class Pieces:
         special = {i for i in range(len(self.names)) if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.ids = {p: i for i, p in enumerate(self.names) if i not in special}
         self.scores = {p: float(model.get_score(i)) for p, i in self.ids.items()}
+        self.merges, self.pairs = is_pair_merges(path), {}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.special, self.unknown = special, model.unk_id()
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN
@@ -54,27 +95,58 @@ class Pieces:
         """The marked words: blanks become marks, and the text starts with one."""
         return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def merged(self, text: str) -> list[str]:
+        """Plain pair merging: the best-scored neighbours first, the leftmost of equals."""
+        parts = list(text)
+        while len(parts) > 1:
+            best = max(range(len(parts) - 1), key=lambda i: (self.scores.get(parts[i] + parts[i + 1], NEVER), -i))
+            if parts[best] + parts[best + 1] not in self.scores:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts
+
+    def beside(self, left: str, right: str) -> bool:
+        """Whether merging leaves two pieces (or a first piece, after "") as they are."""
+        known = self.pairs.get((left, right))
+        if known is None:
+            if len(self.pairs) >= MOST_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[left, right] = self.merged(left + right) == [p for p in (left, right) if p]
+        return known
+
+    def step_merges(self, word: str, end: int, states: list[str]) -> tuple[str, str]:
+        """State and last piece of word[:end]: the piece that stays beside the last one of the prefix before it."""
+        for begin in range(max(0, end - self.longest.get(word[end - 1], 1)), end):
+            piece = word[begin:end]
+            if (end - begin == 1 or piece in self.scores) and self.beside(states[begin], piece):
+                return piece, piece
+        raise ValueError(f"no path of pieces for {word[:end]!r}")
+
+    def step_scores(self, word: str, end: int, states: list[float]) -> tuple[float, str]:
+        """State and last piece of word[:end]: the best score; ties go to the longer piece."""
+        top, best = states[end - 1] + self.scores.get(word[end - 1], self.unknown_score), word[end - 1]
+        for begin in range(end - 2, max(-1, end - 1 - self.longest.get(word[end - 1], 1)), -1):
+            score = self.scores.get(word[begin:end])
+            if score is not None and states[begin] + score >= top:
+                top, best = states[begin] + score, word[begin:end]
+        return top, best
+
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Best-scoring ids (native 32-bit ints) of each distinct word; ties go to the longer last piece."""
+        """The ids (native 32-bit ints) of each distinct word."""
         found: dict[str, bytes] = {}
-        scores, best_start, last = [0.0], [0], ""
-        table, longest = self.scores, self.longest
+        step, start = (self.step_merges, "") if self.merges else (self.step_scores, 0.0)
+        states, pieces, last = [start], [""], ""
         for word in sorted(words):
             shared = len(commonprefix((last, word)))
-            del scores[shared + 1 :], best_start[shared + 1 :]
+            del states[shared + 1 :], pieces[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, start = scores[end - 1] + table.get(word[end - 1], self.unknown_score), end - 1
-                for begin in range(end - 2, max(-1, end - 1 - longest.get(word[end - 1], 1)), -1):
-                    score = table.get(word[begin:end])
-                    if score is not None and scores[begin] + score >= top:
-                        top, start = scores[begin] + score, begin
-                scores.append(top)
-                best_start.append(start)
+                state, piece = step(word, end, states)
+                states.append(state)
+                pieces.append(piece)
             last, end, ids = word, len(word), array("i")
             while end:
-                piece = word[best_start[end] : end]
-                ids.extend(reversed(self.ids_of(piece)))
-                end = best_start[end]
+                ids.extend(reversed(self.ids_of(pieces[end])))
+                end -= len(pieces[end])
             ids.reverse()
             found[word] = ids.tobytes()
         return found
