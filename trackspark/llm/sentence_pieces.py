@@ -15,7 +15,6 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
-from os.path import commonprefix
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +29,7 @@ MARK = "▁"
 UNKNOWN = 10.0
 NEVER = float("-inf")
 #: Pairs of pieces whose merging is remembered.
-MOST_PAIRS = 1 << 20
+MOST_PAIRS = 1 << 18
 #: Of a model file: the field with the trainer's settings, and in it the model type; the type for pair merges.
 SETTINGS, TYPE, PAIR_MERGES = 2, 3, 2
 
@@ -81,10 +80,12 @@ class Pieces:
         self.merges, self.pairs = is_pair_merges(path), {}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.special, self.unknown = special, model.unk_id()
+        self.codes = {p: array("i", [i]).tobytes() for p, i in self.ids.items()}
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN
-        self.longest: dict[str, int] = {}  # of the pieces that end in a letter
+        self.longest: dict[str, int] = {}  # of the pieces that end in two letters
         for piece in self.ids:
-            self.longest[piece[-1]] = max(len(piece), self.longest.get(piece[-1], 1))
+            if len(piece) > 1:
+                self.longest[piece[-2:]] = max(len(piece), self.longest.get(piece[-2:], 1))
         inner = "\n" if not any("\n" in p for p in self.ids) else ""
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             self.words = re.compile("(?s).+")  # a piece may span words: the text is one word
@@ -116,16 +117,20 @@ class Pieces:
 
     def step_merges(self, word: str, end: int, states: list[str]) -> tuple[str, str]:
         """State and last piece of word[:end]: the piece that stays beside the last one of the prefix before it."""
-        for begin in range(max(0, end - self.longest.get(word[end - 1], 1)), end):
+        scores, pairs = self.scores, self.pairs
+        for begin in range(max(0, end - self.longest.get(word[end - 2 : end], 1)) if end > 1 else 0, end):
             piece = word[begin:end]
-            if (end - begin == 1 or piece in self.scores) and self.beside(states[begin], piece):
-                return piece, piece
+            if piece in scores or end - begin == 1:
+                fits = pairs.get((states[begin], piece))
+                if fits or fits is None and self.beside(states[begin], piece):
+                    return piece, piece
         raise ValueError(f"no path of pieces for {word[:end]!r}")
 
     def step_scores(self, word: str, end: int, states: list[float]) -> tuple[float, str]:
         """State and last piece of word[:end]: the best score; ties go to the longer piece."""
         top, best = states[end - 1] + self.scores.get(word[end - 1], self.unknown_score), word[end - 1]
-        for begin in range(end - 2, max(-1, end - 1 - self.longest.get(word[end - 1], 1)), -1):
+        longest = self.longest.get(word[end - 2 : end], 1) if end > 1 else 1
+        for begin in range(end - 2, max(-1, end - 1 - longest), -1):
             score = self.scores.get(word[begin:end])
             if score is not None and states[begin] + score >= top:
                 top, best = states[begin] + score, word[begin:end]
@@ -135,20 +140,19 @@ class Pieces:
         """The ids (native 32-bit ints) of each distinct word."""
         found: dict[str, bytes] = {}
         step, start = (self.step_merges, "") if self.merges else (self.step_scores, 0.0)
-        states, pieces, last = [start], [""], ""
+        states, ids, last, code_of = [start], [b""], "", self.codes.get
         for word in sorted(words):
-            shared = len(commonprefix((last, word)))
-            del states[shared + 1 :], pieces[shared + 1 :]
+            shared = 0
+            for a, b in zip(last, word):
+                if a != b:
+                    break
+                shared += 1
+            del states[shared + 1 :], ids[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 state, piece = step(word, end, states)
                 states.append(state)
-                pieces.append(piece)
-            last, end, ids = word, len(word), array("i")
-            while end:
-                ids.extend(reversed(self.ids_of(pieces[end])))
-                end -= len(pieces[end])
-            ids.reverse()
-            found[word] = ids.tobytes()
+                ids.append(ids[end - len(piece)] + (code_of(piece) or array("i", self.ids_of(piece)).tobytes()))
+            last, found[word] = word, ids[-1]
         return found
 
     def ids_of(self, piece: str) -> list[int]:
@@ -177,7 +181,7 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, path: str | None = None, most_words: int = 1 << 19) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, most_words: int = 1 << 18) -> DataFrame:
     """doc_id, ids, n_ids and their crc32 (as little-endian 32-bit ints) for every row.
 
     Null and empty texts have no ids. Words are kept between batches, at most `most_words` of them. Texts are encoded
