@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, stored
 from .substrings import scramble
 
-WORD = regex.compile(r"\w+")
+WORD = re.compile(r"\w+")
 SHINGLE, SIMILAR = 5, 0.8
 
 
@@ -29,7 +30,7 @@ def signed_hash(text: str) -> int:
 
 def shingle_hashes(words: list[str], size: int = SHINGLE) -> np.ndarray:
     """A 64-bit hash of each `size`-word shingle, in text order; of all words where there are fewer."""
-    one = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - size + 1)
     total = np.zeros(n, np.uint64)
     for i in range(min(size, len(words))):
@@ -37,6 +38,18 @@ def shingle_hashes(words: list[str], size: int = SHINGLE) -> np.ndarray:
     return total
 
 
+def shingles_of(lists: list[list[str]], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_hashes() of several word lists, each of `size` words or more, one after another, and where each starts."""
+    lengths = np.array([len(words) for words in lists])
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lists)), np.uint64, int(lengths.sum()))
+    total = np.zeros(len(one) - size + 1, np.uint64)
+    for i in range(size):
+        total = scramble(total + one[i : i + len(total)])
+    counts = lengths - size + 1
+    starts = np.cumsum(counts) - counts
+    return total[np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - starts, counts)], starts
+
+
 def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, node) sorted: each node with the first and with the previous node of its key."""
     key = leader = before = None
