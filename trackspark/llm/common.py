@@ -69,7 +69,7 @@ def map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], sc
     types = {f.name: to_arrow_type(f.dataType) for f in schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ({n: c if pa.types.is_struct(c.type) else c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches if b.num_rows)
+        columns = ({n: c if pa.types.is_struct(c.type) else c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in small(batches))
         for out in make(columns):
             if out and len(next(iter(out.values()))):
                 yield pa.RecordBatch.from_arrays([as_arrow(v, types[k]) for k, v in out.items()], names=list(out))
@@ -77,6 +77,14 @@ def map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], sc
     return df.mapInArrow(run, schema)
 
 
+def small(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in parts of about `most` bytes, whatever the length of their texts."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(most, batch.nbytes))
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, kind)
 

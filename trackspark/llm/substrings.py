@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, map_rows, original_id, stored
+from .common import keyed, map_rows, original_id, small, stored
 
 GRAM, SEGMENT, CHUNK = 32, 1 << 20, 1 << 20
 POSITION = np.uint64(2**32 - 1)
@@ -97,7 +97,7 @@ def scan(length: int):
     and dealt out by document, so that a group of copies doesn't meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(0).to_pylist()
             texts = batch.column(1)
             found, parts, size = [], [], 0
