@@ -89,11 +89,11 @@ def fd_histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFra
     edges = df.agg(q.alias("q"), F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n"))
     width = 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow(F.col("n"), F.lit(1 / 3))
     free = F.ceil((F.col("high") - F.col("low")) / F.nullif(width, F.lit(0.0)))
-    number_of = F.lit(bins) if bins else F.coalesce(F.greatest(F.lit(10), F.least(F.lit(300), free)), F.lit(100))
+    number_of = F.lit(bins) if bins else F.when(free.isNotNull(), F.greatest(F.lit(10), F.least(F.lit(300), free))).otherwise(100)
     edges = edges.select("low", "high", number_of.cast("int").alias("bins"))
     rows = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("__v")).join(F.broadcast(edges))  # one row
     step = F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) / F.col("bins")
-    place = F.coalesce(F.least(F.col("bins") - 1, F.floor((F.col("__v") - F.col("low")) / step)), F.lit(0)).cast("int")
+    place = F.when(step.isNotNull(), F.least(F.col("bins") - 1, F.floor((F.col("__v") - F.col("low")) / step))).otherwise(0).cast("int")
     return rows.groupBy(place.alias("bin")).agg(F.first(F.col("low") + place * F.coalesce(step, F.lit(0.0))).alias("low"), F.count("*").alias("count"))
 
 
