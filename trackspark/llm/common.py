@@ -64,8 +64,8 @@ def original_id(column: str = "doc_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 
-def map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
-    """Run `make` once per partition: a stream of Arrow batches as {column: values} in, dicts of columns out.
+def map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType, most: int = 16 << 20) -> DataFrame:
+    """Run `make` once per partition: a stream of batches of about `most` bytes as {column: values} in, dicts of columns out.
 
     Values are lists, but for structs, which stay Arrow arrays and are only handed on.
     """
@@ -73,7 +73,7 @@ def map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], sc
     types = {f.name: to_arrow_type(f.dataType) for f in schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ({n: c if pa.types.is_struct(c.type) else c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in small(batches))
+        columns = ({n: c if pa.types.is_struct(c.type) else c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in small(batches, most))
         for out in make(columns):
             if out and len(next(iter(out.values()))):
                 yield pa.RecordBatch.from_arrays([as_arrow(v, types[k]) for k, v in out.items()], names=list(out))

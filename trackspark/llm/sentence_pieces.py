@@ -203,7 +203,7 @@ def encode(docs: DataFrame, path: str | None = None, most_words: int = 1 << 18)
             yield {"doc_id": batch["doc_id"], "ids": pa.ListArray.from_arrays(ends, ids), "n_ids": lengths.tolist(), "ids_crc32": [zlib.crc32(r) for r in rows]}
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return map_rows(rows, run, "doc_id long, ids array<int>, n_ids long, ids_crc32 long")
+    return map_rows(rows, run, "doc_id long, ids array<int>, n_ids long, ids_crc32 long", most=4 << 20)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
