@@ -114,8 +114,7 @@ def fit(
     sample = map_rows(rows, encode, "label int, columns array<int>, named array<int>").toArrow()
     y = sample["label"].to_numpy().astype(float)
     if not len(y) or not names or y.min() == y.max():
-        share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return Model([], np.zeros(0), math.log(share / (1 - share)))
+        return Model([], np.zeros(0), -30.0)
     return Model(names, *descend(sample["columns"].to_pylist(), y, sample["named"].to_pylist(), swaps(column, terms), len(names), penalty, ridge, steps))
 
 
