@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import fuzzy_lines, language_id, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, substrings, toxicity
 from .common import documents, original_id
@@ -49,7 +50,9 @@ def op9_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.remove_paragraphs(documents(spark, sf_dir)).withColumn("doc_id", original_id())
+    """n_removed counts paragraphs and passages."""
+    found = paragraphs.remove_paragraphs(documents(spark, sf_dir))
+    return found.withColumns({"doc_id": original_id(), "n_removed": F.col("n_removed") + F.col("n_passages")})
 
 
 REGISTERED = (
