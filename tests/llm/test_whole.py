@@ -1,8 +1,12 @@
 """Cases where an operator once did less than its whole job."""
 
 import random
+import tracemalloc
 
-from trackspark.llm import near, paragraphs
+import numpy as np
+import pytest
+
+from trackspark.llm import near, paragraphs, sentence_pieces
 
 
 def words(rng, n, vocabulary=10**6):
@@ -52,3 +56,16 @@ def test_words_are_found_where_they_are():
     text = "Ein İstanbul, ΣΑΣ und\nmehr"
     assert len(paragraphs.places_of_words(text)) == len(near.words_of(text))
     assert ["so  MANY words"[a:b] for a, b in paragraphs.places_of_words("so  MANY words")] == ["so", "MANY", "words"]
+
+
+@pytest.mark.parametrize("merges", [True, False])
+def test_memory_grows_with_a_word_not_with_its_square(merges):
+    rng = random.Random(13)
+    model = sentence_pieces.Pieces(sentence_pieces.default_path())
+    model.merges = merges and model.merges
+    word = "".join(rng.choice("abcdefgh") for _ in range(20_000))
+    tracemalloc.start()
+    found = model.encode_words({word})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "".join(model.names[i] for i in np.frombuffer(found[word], np.int32)) == word and peak < 100 << 20

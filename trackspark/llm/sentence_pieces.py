@@ -137,22 +137,27 @@ class Pieces:
         return top, best
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """The ids (native 32-bit ints) of each distinct word."""
+        """The ids (native 32-bit ints) of each distinct word; a prefix keeps its last piece, a word traces them back once."""
         found: dict[str, bytes] = {}
         step, start = (self.step_merges, "") if self.merges else (self.step_scores, 0.0)
-        states, ids, last, code_of = [start], [b""], "", self.codes.get
+        states, pieces_, last, code_of = [start], [""], "", self.codes.get
         for word in sorted(words):
             shared = 0
             for a, b in zip(last, word):
                 if a != b:
                     break
                 shared += 1
-            del states[shared + 1 :], ids[shared + 1 :]
+            del states[shared + 1 :], pieces_[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 state, piece = step(word, end, states)
                 states.append(state)
-                ids.append(ids[end - len(piece)] + (code_of(piece) or array("i", self.ids_of(piece)).tobytes()))
-            last, found[word] = word, ids[-1]
+                pieces_.append(piece)
+            path, end = [], len(word)
+            while end:
+                piece = pieces_[end]
+                path.append(code_of(piece) or array("i", self.ids_of(piece)).tobytes())
+                end -= len(piece)
+            last, found[word] = word, b"".join(reversed(path))
         return found
 
     def ids_of(self, piece: str) -> list[int]:
