@@ -25,22 +25,36 @@ OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = OWN[app] = OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="trackspark-")
     return root.rstrip("/")
 
 
+#: Lets Spark drop a query's shuffle files as soon as it has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    What the write has shuffled goes when it has ended, as only the table is read from then on.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     for key, value in options.items():
         writer = writer.option(key, value)
-    writer.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,7 +78,7 @@ def original_id(column: str = "doc_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 
-def map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType, most: int = 16 << 20) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], schema: str | T.StructType, most: int = 4 << 20) -> DataFrame:
     """Run `make` once per partition: a stream of batches of about `most` bytes as {column: values} in, dicts of columns out.
 
     Values are lists, but for structs, which stay Arrow arrays and are only handed on.
@@ -81,7 +95,7 @@ def map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], sc
     return df.mapInArrow(run, schema)
 
 
-def small(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in parts of about `most` bytes, whatever the length of their texts."""
     for batch in batches:
         rows = max(1, batch.num_rows * most // max(most, batch.nbytes))

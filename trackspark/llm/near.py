@@ -70,11 +70,13 @@ def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_pairs(buckets: DataFrame) -> DataFrame:
     """Pairs a < b of nodes to check, from `key` and `node` columns: two pairs at most for each row, never all of a bucket.
 
-    Nodes of a bucket are in the order of their hashes, so that each bucket has another leader. Copies are one node
-    and each batch of documents sends it once, so that a key's rows don't grow with the number of copies.
+    Nodes of a bucket are in the order of a hash of both, so that in each bucket that two nodes share they have other
+    leaders and neighbours. Copies are one node and each task sends it once, so that a key's rows don't grow with the
+    number of copies.
     """
-    rows = buckets.select("key", "node").repartition(F.col("key")).sortWithinPartitions("key", "node")
-    return rows.mapInArrow(pair_up, "a long, b long").distinct()
+    rows = buckets.select("key", "node").repartition(F.col("key")).sortWithinPartitions("key", F.xxhash64("key", "node"), "node")
+    pairs = rows.mapInArrow(pair_up, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def checked(pairs: DataFrame, texts: DataFrame, similar: Callable[[str, str], bool]) -> DataFrame:
@@ -94,7 +96,8 @@ def components(links: DataFrame) -> DataFrame:
     """`node` and `root` (smallest node of its component) of every node with a link (a, b).
 
     Large-star and small-star rounds: each node's neighbours are hooked to its smallest one until nothing changes. Every
-    round is a grouped minimum and a join, written to the shared folder; no node's links meet in one task.
+    round is a grouped minimum and a join, written to the shared folder. The minima are a table before they are joined,
+    so that Spark can split the links of a large component's root over tasks.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges, sign = stored(edges, "links"), None
@@ -104,10 +107,10 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         sign = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
 

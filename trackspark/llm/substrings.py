@@ -9,7 +9,6 @@ from its previous and next smaller text position.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -288,7 +287,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataF
     runs = docs.filter(F.octet_length("text") >= length).mapInArrow(scan(length), RUN_SCHEMA)
     runs = runs.repartition(F.col("a")).sortWithinPartitions("a", "c1", "c2", "doc_id", "start")
     settled = stored(runs.mapInArrow(settle, "doc_id long, start long, windows int, a long, gone boolean"), "runs")
-    free(docs)
     contested = settled.filter("not gone")
     groups = contested.groupBy("a").agg(F.count("*").alias("n"))
     hot_anchors = groups.filter(F.col("n") > hot).select("a", F.lit(True).alias("hot"))
@@ -307,7 +305,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataF
             yield out
 
     contexts = stored(map_rows(docs.join(wanted, "doc_id"), texts, "a long, doc_id long, start long, text binary, hot boolean"), "contexts", compression="zstd")
-    free(docs)
     few = contexts.filter("not hot").drop("hot").repartition(F.col("a")).sortWithinPartitions("a")
     solved = map_rows(few, solve(length), "doc_id long, start long, windows int")
     many = map_rows(contexts.filter("hot").select("doc_id", "start", "text"), hot_windows(length), "w1 long, w2 long, doc_id long, start long")
@@ -316,11 +313,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataF
     gone = settled.filter("gone").select("doc_id", "start", "windows")
     removed = gone.unionByName(solved).unionByName(later.select("doc_id", "start", F.lit(1).alias("windows")))
     removed = stored(removed, "windows")
-    free(docs)
     return cut(docs, removed, length).withColumn("doc_id", original_id())
-
-
-def free(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished, written plans now instead of whenever the driver's heap fills."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
