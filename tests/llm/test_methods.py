@@ -140,24 +140,53 @@ def brute_paragraphs(rows, parts_of, similar_of):
     return Counter(places[i][0] for i in range(len(places)) if root[i] != i)
 
 
-def test_paragraphs_match_brute_force(family):
-    rows = sorted((r["doc_id"], r["text"]) for r in family.collect())
-    sets = {}
-
-    def parts(text):
-        for place, piece in enumerate(paragraphs.pieces(text)):
-            if len(near.words_of(piece)) >= 10:
-                sets[piece] = shingles(piece)
-                yield place, piece
+def removed_words(text, kept):
+    """Which words of `text` aren't in `kept`, by position, for texts whose words left keep their order."""
+    import difflib
 
-    want = brute_paragraphs(rows, parts, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    got = {r["doc_id"]: r["n_removed"] for r in paragraphs.remove_paragraphs(family).collect()}
-    assert {d: n for d, n in got.items() if n} == dict(want) and sum(want.values()) > 30
+    whole, left = near.words_of(text), near.words_of(kept)
+    gone = set(range(len(whole)))
+    for block in difflib.SequenceMatcher(None, whole, left, autojunk=False).get_matching_blocks():
+        gone -= set(range(block.a, block.a + block.size))
+    return gone
 
 
-def test_pieces_join_to_the_text(texts):
-    for text in [*texts.values(), "a \n\n b ", "", "\n", "x. " * 500]:
-        assert "".join(paragraphs.pieces(text)) == text
+def test_paragraphs_match_plain_search(family):
+    """Lines of a near copy go whole, no run of 50 words of an earlier document stays, and nothing else goes."""
+    rows = sorted((r["doc_id"], r["text"]) for r in family.collect())
+    found = {r["doc_id"]: r for r in paragraphs.remove_paragraphs(family).collect()}
+    lines = [(d, line) for d, text in rows for line in text.split("\n") if len(near.words_of(line)) >= 30]
+    sets = [shingles(line) for _, line in lines]
+    links = [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root, seen, ever = union(len(lines), links), set(), set()
+    later = [line for i, line in enumerate(lines) if root[i] != i]
+    lost = [line for d, line in later if line in found[d]["text"]]
+    assert len(later) > 50 and len(lost) <= 0.02 * len(later)
+    for d, text in rows:
+        w, left = near.words_of(text), near.words_of(found[d]["text"])
+        runs = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        stay = {tuple(left[i : i + 50]) for i in range(len(left) - 49)}
+        assert not any(r in seen and r in stay for r in runs)
+        own = shingles(text)
+        if found[d]["n_removed"]:
+            gone = removed_words(text, found[d]["text"])
+            repeats = [i for i in range(len(w) - 4) if {*range(i, i + 5)} <= gone and tuple(w[i : i + 5]) in ever]
+            assert len(gone) == found[d]["n_words_removed"] >= 30 and len(repeats) >= 0.75 * (len(gone) - 4 * found[d]["n_removed"])
+        else:
+            assert found[d]["text"] == text
+        seen |= set(runs)
+        ever |= own
+
+
+def test_equal_words_are_cut_at_equal_places():
+    """Any 50 equal words, whatever stands around them, hold an equal paragraph."""
+    rng = random.Random(3)
+    for k in range(200):
+        passage = words(rng, 50, 50 if k % 2 else 10**6)
+        there = [" ".join(words(rng, rng.randrange(300)) + passage + words(rng, rng.randrange(300))) for _ in range(2)]
+        cuts = [{tuple(w[a:b]) for w, _, found in [paragraphs.cut(t)] for a, b in found} for t in there]
+        inside = {tuple(passage[i : i + paragraphs.SHORTEST]) for i in range(51 - paragraphs.SHORTEST)}
+        assert cuts[0] & cuts[1] & inside
 
 
 def test_bands_are_tuned():

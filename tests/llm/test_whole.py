@@ -28,28 +28,25 @@ def test_passages_of_50_words_inside_single_lines_go(spark):
             rows.append(" ".join(before + passage_ + after))
     rows += [" ".join(words(rng, 90)) for _ in range(20)]
     found = {r["doc_id"]: r for r in paragraphs.remove_paragraphs(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
-    lost = 0
     for i, text in enumerate(rows):
         r = found[i]
         if not planted.get(i, (0,))[0]:
-            assert r["text"] == text and r["n_passages"] == r["n_words_removed"] == 0
+            assert r["text"] == text and r["n_removed"] == r["n_words_removed"] == 0
             continue
         _, before, passage, after = planted[i]
         left = r["text"].split()
         assert left[: len(before)] == before and left[-len(after) :] == after  # nothing else goes
         assert len(left) == len(text.split()) - r["n_words_removed"]
-        lost += r["n_words_removed"]
-        assert r["n_passages"] == 1 and r["n_words_removed"] >= 30
-    assert lost >= 0.85 * 50 * 40
+        assert r["n_removed"] == 1 and r["n_words_removed"] >= 30
 
 
-def test_first_copy_of_a_passage_is_one_that_stays(spark):
-    """The second line is nearly the first and goes; what only it had must then stay in the third document."""
+def test_overlapping_paragraphs_of_the_first_copy_stay(spark):
+    """Paragraphs of one passage overlap; whatever they are linked with, the first document stays whole."""
     rng = random.Random(12)
-    base, only, rest = words(rng, 400), words(rng, 40), words(rng, 60)
-    rows = [" ".join(base), " ".join(base[:200] + only + base[200:]), " ".join(rest[:30] + only + rest[30:])]
+    passage = words(rng, 120)
+    rows = [" ".join(words(rng, 30) + passage + words(rng, 30)), "\n".join(" ".join(passage[k : k + 40]) for k in (0, 40, 80))]
     found = {r["doc_id"]: r for r in paragraphs.remove_paragraphs(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
-    assert found[1]["n_removed"] == 1 and found[1]["text"] == "" and found[2]["text"] == rows[2]
+    assert found[0]["text"] == rows[0] and found[1]["n_words_removed"] >= 100
 
 
 def test_words_are_found_where_they_are():
