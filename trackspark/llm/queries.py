@@ -36,7 +36,7 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_pieces.encode(documents(spark, sf_dir))
+    return sentence_pieces.encode(documents(spark, sf_dir), with_decoded=True)
 
 
 def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

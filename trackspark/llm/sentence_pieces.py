@@ -82,10 +82,16 @@ class Pieces:
         self.special, self.unknown = special, model.unk_id()
         self.codes = {p: array("i", [i]).tobytes() for p, i in self.ids.items()}
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN
-        self.longest: dict[str, int] = {}  # of the pieces that end in two letters
+        self.longest: dict[str, int] = {}  # of the pieces that end in two or three letters
         for piece in self.ids:
-            if len(piece) > 1:
-                self.longest[piece[-2:]] = max(len(piece), self.longest.get(piece[-2:], 1))
+            for size in (2, 3):
+                if len(piece) >= size:
+                    self.longest[piece[-size:]] = max(len(piece), self.longest.get(piece[-size:], 1))
+        #: Of each piece, the pieces that end it, the longest first, down to its last letter.
+        self.endings = {p: tuple(p[i:] for i in range(len(p)) if p[i:] in self.ids or i == len(p) - 1) for p in self.ids}
+        self.old: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in special else n.replace(MARK, " ").encode() for i, n in enumerate(self.names)]
         inner = "\n" if not any("\n" in p for p in self.ids) else ""
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             self.words = re.compile("(?s).+")  # a piece may span words: the text is one word
@@ -98,12 +104,16 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Plain pair merging: the best-scored neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.scores.get(parts[i] + parts[i + 1], NEVER), -i))
-            if parts[best] + parts[best + 1] not in self.scores:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        parts, score = list(text), self.scores.get
+        gains = [score(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) != NEVER:
+            i = gains.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i < len(gains):
+                gains[i] = score(parts[i] + parts[i + 1], NEVER)
+            if i:
+                gains[i - 1] = score(parts[i - 1] + parts[i], NEVER)
         return parts
 
     def beside(self, left: str, right: str) -> bool:
@@ -115,16 +125,29 @@ class Pieces:
             known = self.pairs[left, right] = self.merged(left + right) == [p for p in (left, right) if p]
         return known
 
-    def step_merges(self, word: str, end: int, states: list[str]) -> tuple[str, str]:
-        """State and last piece of word[:end]: the piece that stays beside the last one of the prefix before it."""
-        scores, pairs = self.scores, self.pairs
-        for begin in range(max(0, end - self.longest.get(word[end - 2 : end], 1)) if end > 1 else 0, end):
-            piece = word[begin:end]
-            if piece in scores or end - begin == 1:
-                fits = pairs.get((states[begin], piece))
-                if fits or fits is None and self.beside(states[begin], piece):
-                    return piece, piece
-        raise ValueError(f"no path of pieces for {word[:end]!r}")
+    def extend_merges(self, word: str, last: list[str]) -> None:
+        """Add to `last`, the last pieces of the prefixes of `word` as far as they are known, those of all others.
+
+        The last piece is the one that stays beside the last piece of what is before it; longer pieces are asked first,
+        and a letter that is no piece stands for itself.
+        """
+        endings, pairs, longest = self.endings, self.pairs, self.longest
+        for end in range(len(last), len(word) + 1):
+            most = longest.get(word[end - 3 : end], 2) if end > 2 else end
+            for begin in range(end - most if most < end else 0, end):
+                found = endings.get(word[begin:end])
+                if found:
+                    break
+            else:
+                found = (word[end - 1],)
+            for piece in found:
+                left = last[end - len(piece)]
+                fits = pairs.get((left, piece))
+                if fits or fits is None and self.beside(left, piece):
+                    last.append(piece)
+                    break
+            else:
+                raise ValueError(f"no path of pieces for {word[:end]!r}")
 
     def step_scores(self, word: str, end: int, states: list[float]) -> tuple[float, str]:
         """State and last piece of word[:end]: the best score; ties go to the longer piece."""
@@ -139,8 +162,7 @@ class Pieces:
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids (native 32-bit ints) of each distinct word; a prefix keeps its last piece, a word traces them back once."""
         found: dict[str, bytes] = {}
-        step, start = (self.step_merges, "") if self.merges else (self.step_scores, 0.0)
-        states, pieces_, last, code_of = [start], [""], "", self.codes.get
+        states, pieces_, last, code_of = [0.0], [""], "", self.codes.get
         for word in sorted(words):
             shared = 0
             for a, b in zip(last, word):
@@ -148,10 +170,13 @@ class Pieces:
                     break
                 shared += 1
             del states[shared + 1 :], pieces_[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                state, piece = step(word, end, states)
-                states.append(state)
-                pieces_.append(piece)
+            if self.merges:
+                self.extend_merges(word, pieces_)
+            else:
+                for end in range(shared + 1, len(word) + 1):
+                    state, piece = self.step_scores(word, end, states)
+                    states.append(state)
+                    pieces_.append(piece)
             path, end = [], len(word)
             while end:
                 piece = pieces_[end]
@@ -165,15 +190,29 @@ class Pieces:
             return [self.ids[piece]]
         return [self.byte_ids.get(b, self.unknown) for b in piece.encode()]
 
+    def ids_of_words(self, words: set[str], most: int) -> dict[str, bytes]:
+        """encode_words(), with the words that came lately kept by the process: at most `most`, and those of one call."""
+        found, missing = {}, []
+        old, fresh = self.old.get, self.fresh.get
+        for word in words:
+            ids = fresh(word)
+            if ids is None:
+                ids = old(word)
+                if ids is None:
+                    missing.append(word)
+                    continue
+                self.fresh[word] = ids
+            found[word] = ids
+        made = self.encode_words(missing)
+        found |= made
+        self.fresh |= made
+        if len(self.fresh) > most // 2:
+            self.old, self.fresh = self.fresh, {}
+        return found
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: byte pieces join to letters, marks become blanks, the first one goes."""
-        raw = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-            elif i not in self.special:
-                raw += self.names[i].encode()
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -186,29 +225,34 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, path: str | None = None, most_words: int = 1 << 18) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, most_words: int = 1 << 19, with_decoded: bool = False) -> DataFrame:
     """doc_id, ids, n_ids and their crc32 (as little-endian 32-bit ints) for every row.
 
-    Null and empty texts have no ids. Words are kept between batches, at most `most_words` of them. Texts are encoded
-    whole; repeated rows each keep their row; an empty table gives an empty result; other columns are not read.
+    Null and empty texts have no ids. A worker process keeps the words that came lately, about `most_words` of them. Texts
+    are encoded whole; repeated rows each keep their row; an empty table gives an empty result; other columns are not
+    read. `with_decoded` decodes the ids again and adds decoded_crc32, of the decoded text, and decoded_equal: whether it
+    is the text (not so where a text has the mark itself; null counts as empty).
     """
     path = path or default_path()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        model, known = pieces(path), {}
+        model = pieces(path)
         for batch in batches:
             split = [model.split(text or "") for text in batch["text"]]
-            if len(known) > most_words:
-                known = {}
-            known |= model.encode_words({w for words in split for w in words if w not in known})
+            known = model.ids_of_words(set().union(*split), most_words)
             rows = [b"".join([known[w] for w in words]) for words in split]
             lengths = np.array([len(r) // 4 for r in rows], np.int64)
-            ids = pa.array(np.frombuffer(b"".join(rows), np.int32))
-            ends = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-            yield {"doc_id": batch["doc_id"], "ids": pa.ListArray.from_arrays(ends, ids), "n_ids": lengths.tolist(), "ids_crc32": [zlib.crc32(r) for r in rows]}
+            ids = np.frombuffer(b"".join(rows), np.int32)
+            ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
+            out = {"doc_id": batch["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), "n_ids": lengths.tolist(), "ids_crc32": [zlib.crc32(r) for r in rows]}
+            if with_decoded:
+                back = [model.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+                out |= {"decoded_crc32": [zlib.crc32(t.encode()) for t in back], "decoded_equal": [t == (text or "") for t, text in zip(back, batch["text"])]}
+            yield out
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return map_rows(rows, run, "doc_id long, ids array<int>, n_ids long, ids_crc32 long", most=4 << 20)
+    schema = "doc_id long, ids array<int>, n_ids long, ids_crc32 long" + ", decoded_crc32 long, decoded_equal boolean" * with_decoded
+    return map_rows(rows, run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
