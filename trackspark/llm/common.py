@@ -16,6 +16,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 NULL_ID = -(2**63)
 
 
+def exact(df: DataFrame) -> DataFrame:
+    """`df` with columns c0, c1, ...: those whose names differ in case alone can be told apart."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -69,7 +74,8 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1)
     if repeated.isEmpty():
         return docs
-    best = F.max(F.struct("text", *columns)).alias("best")
+    # columns may hold maps, which have no order, but their JSON has
+    best = F.max_by(F.struct("text", *columns), F.struct("text", *(F.to_json(F.struct(c)) for c in columns))).alias("best")
     return docs.groupBy("doc_id").agg(best).select("doc_id", "best.*")
 
 
@@ -108,21 +114,23 @@ def as_arrow(values, kind: pa.DataType) -> pa.Array:
 
 
 def with_rest(docs: DataFrame) -> DataFrame:
-    """doc_id, text and all other columns as one struct `rest`, so that their names can't clash with an operator's."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
+    """doc_id, text and all other columns, by number, as one struct `rest`, so that their names can't clash with an
+    operator's or with each other."""
+    others = [f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    at = {c: F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text")}
+    return exact(docs).select(*at.values(), F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
 
 
 def like(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """`changed` (doc_id, text, rest) with the columns and types of `docs`; n_chars follows the text."""
     columns = []
-    for field in docs.schema:
+    for i, field in enumerate(docs.schema):
         if field.name in ("doc_id", "text"):
             value = F.col(field.name)
         elif field.name == "n_chars":
             value = F.length("text")
         else:
-            value = F.col("rest").getField(field.name)
+            value = F.col("rest").getField(f"c{i}")
         columns.append(value.cast(field.dataType).alias(field.name))
     return changed.select(*columns)
 

@@ -30,13 +30,19 @@ MEDIA = {"img", "video", "audio", "source"}
 
 
 class Sequence(HTMLParser):
-    """Collects items in document order; a figcaption becomes the caption of its figure's last media item."""
+    """Collects items in document order; a figcaption becomes the caption of its figure's media.
+
+    A caption that comes before its media waits for it; one that finds none in its figure is a text. A caption ends with
+    its tag, its figure, the page, or the next block after its words.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.hidden, self.figure, self.caption = 0, None, None
+        self.hidden = 0
+        self.figures: list[dict] = []  # that are open: their media, and a caption that waits for one
+        self.caption: list[str] | None = None
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -44,48 +50,78 @@ class Sequence(HTMLParser):
         if text:
             self.add("text", text=text)
 
-    def add(self, kind: str, text=None, src=None, caption=None) -> None:
+    def add(self, kind: str, text=None, src=None, caption=None) -> dict:
         digest = src[len(SCHEME) :] if src and src.startswith(SCHEME) else None
         self.items.append({"position": len(self.items), "kind": kind, "text": text, "src": src, "digest": digest, "caption": caption})
+        return self.items[-1]
+
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        caption, self.caption = " ".join("".join(self.caption).split()), None
+        if not caption:
+            return
+        figure = self.figures[-1] if self.figures else {"media": [], "waiting": "", "captioned": True}
+        if figure["captioned"]:
+            self.add("text", text=caption)
+        elif figure["media"]:
+            figure["media"][-1]["caption"], figure["captioned"] = caption, True
+        else:
+            figure["waiting"], figure["captioned"] = caption, True
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        if self.figures and (waiting := self.figures.pop()["waiting"]):
+            self.add("text", text=waiting)
+
+    def finish(self) -> None:
+        self.close()
+        self.end_caption()
+        while self.figures:
+            self.end_figure()
+        self.flush()
 
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1
         if tag in BLOCKS or tag in MEDIA or tag == "figcaption":
             self.flush()
+        if (tag in BLOCKS or tag == "figcaption") and self.caption is not None and "".join(self.caption).strip():
+            self.end_caption()
         if tag == "figure":
-            self.figure = len(self.items)
+            self.figures.append({"media": [], "waiting": "", "captioned": False})
         if tag == "figcaption":
             self.caption = []
         found = dict(attrs)
         if tag in MEDIA and found.get("src"):
-            self.add(tag if tag != "source" else "video", src=found["src"], caption=found.get("alt") or None)
+            item = self.add(tag if tag != "source" else "video", src=found["src"], caption=found.get("alt") or None)
+            if self.figures:
+                figure = self.figures[-1]
+                figure["media"].append(item)
+                if figure["waiting"]:
+                    item["caption"], figure["waiting"] = figure["waiting"], ""
 
     def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        if tag == "figcaption" and self.caption is not None:
-            caption, self.caption = " ".join("".join(self.caption).split()), None
-            media = [i for i in self.items[self.figure or 0 :] if i["kind"] != "text"]
-            if media and caption:
-                media[-1]["caption"] = caption
-        if tag in BLOCKS:
-            self.flush()
+        if tag == "figcaption":
+            self.end_caption()
         if tag == "figure":
-            self.figure = None
+            self.end_figure()
+        elif tag in BLOCKS and self.caption is None:
+            self.flush()
 
     def handle_data(self, data):
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.hidden:
-            self.words.append(data)
+        if self.hidden:
+            return
+        (self.words if self.caption is None else self.caption).append(data)
 
 
 def sequence(page: str | None) -> list[dict]:
     parser = Sequence()
     parser.feed(page or "")
-    parser.close()
-    parser.flush()
+    parser.finish()
     return parser.items
 
 
@@ -133,6 +169,8 @@ def read_image(stored: bytes) -> np.ndarray:
     """The samples of an image of write_image(), as rows; checks every chunk's sum."""
     at, parts, shape = 8, [], None
     while at < len(stored):
+        if len(stored) < at + 12 or len(stored) < at + 12 + struct.unpack_from(">I", stored, at)[0]:
+            raise ValueError("the stored image is cut off")
         (n,), kind = struct.unpack_from(">I", stored, at), stored[at + 4 : at + 8]
         body = stored[at + 8 : at + 8 + n]
         if zlib.crc32(kind + body) != struct.unpack_from(">I", stored, at + 8 + n)[0]:
@@ -142,6 +180,8 @@ def read_image(stored: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             parts.append(body)
         at += n + 12
+    if shape is None or not parts:
+        raise ValueError("the stored image has no head or no samples")
     lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(shape[1], shape[0] + 1)
     return lines[:, 1:]
 
@@ -157,7 +197,7 @@ def describe(samples: np.ndarray) -> str:
 
 
 def as_pages(docs: DataFrame) -> DataFrame:
-    """Each document as a page (doc, html): a text, and its payload's image by digest with a caption."""
+    """Each document as a page (doc, html): its lines as paragraphs, and its payload's image by digest with a caption."""
 
     def write(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -165,9 +205,9 @@ def as_pages(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 raw = (text or "").encode()
                 digest = hashlib.sha256(padded(raw)).hexdigest()
-                title = html.escape((text or "")[:40])
+                lines = "".join(f"<p>{html.escape(line, quote=False)}</p>" for line in (text or "").split("\n") if line)
                 out["doc"].append({"doc_id": doc_id, "n_bytes": len(raw)})
-                out["html"].append(f'<article><p>{title}</p><figure><img src="{SCHEME}{digest}"><figcaption>{len(raw)} bytes</figcaption></figure></article>')
+                out["html"].append(f'<article>{lines}<figure><img src="{SCHEME}{digest}"><figcaption>{len(raw)} bytes</figcaption></figure></article>')
             yield out
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -209,11 +249,25 @@ def read_back(store: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: its payload stored as an image, resolved by digest and read back.
 
-    Documents become pages with one media reference; equal payloads share a digest and so one stored image. Null texts
-    count as empty; repeated rows each keep their row; very long texts are one image of many rows; an empty table gives
-    an empty result; other columns are not read.
+    Documents become pages with a paragraph for each line and one media reference; n_items and items_sha256 (of the items
+    as JSON) tell what was parsed, position and caption where the media stands. Equal payloads share a digest and so one
+    stored image. Null texts count as empty; repeated rows each keep their row; very long texts are one image of many
+    rows; an empty table gives an empty result; other columns are not read.
     """
     sequences = interleave(as_pages(docs), key="doc")
+    parsed = F.struct("doc.doc_id", "doc.n_bytes", F.size("items").cast("long").alias("n_items"), F.sha2(F.to_json("items"), 256).alias("items_sha256"))
+    media = F.filter("items", lambda item: item["kind"] != "text")  # texts have been told, and needn't be shuffled
+    sequences = sequences.select(parsed.alias("doc"), media.alias("items"))
     facts = [f.split()[0] for f in FACTS.split(", ")][1:]
     rows = resolve(sequences, read_back(as_images(docs)), *facts, key="doc")
-    return rows.select("doc.doc_id", "doc.n_bytes", *facts, "caption", "position")
+    return rows.select("doc.*", *facts, "caption", "position")
+
+
+def page_items(pages: DataFrame) -> DataFrame:
+    """page_id, position, kind, src, caption, n_chars and text_crc32 of every item of every page, in order.
+
+    Null or empty pages have no items; repeated rows each give theirs; other columns are not read.
+    """
+    items = interleave(pages).select("page_id", F.explode("items").alias("item"))
+    text = F.coalesce("item.text", F.lit(""))
+    return items.select("page_id", "item.position", "item.kind", "item.src", "item.caption", F.length(text).cast("long").alias("n_chars"), F.crc32(text.cast("binary")).alias("text_crc32"))

@@ -31,7 +31,7 @@ RUNS = re.compile(r"\s (?:\s|$)")
 class Encoder:
     """The ids of tokenizers' byte_bpe_50k.json, by the faster library that has the same vocabulary, with a word cache."""
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = 1 << 18):
         import tiktoken
 
         with open(path, "rb") as lines:
@@ -79,12 +79,17 @@ class Shares:
                 self.steps.append((time, served, rate))
                 time, served = dry, served + (dry - time) * rate
 
-    def given(self, queue: str, size: int, k: int) -> int:
+    def earned(self, queue: str, size: int, k: int) -> Fraction:
+        """Tokens that a queue's proportion has earned by the end of window k - 1."""
         goal = min(k * self.window, self.total)
         if not self.weights:
-            return size * goal // self.total
+            return Fraction(size * goal, self.total)
         time, served, rate = max((s for s in self.steps if s[1] <= goal), key=lambda s: s[1])
-        return min(size, int((time + (goal - served) / rate) * self.weights[queue]))
+        return min(Fraction(size), (time + (goal - served) / rate) * self.weights[queue])
+
+    def given(self, queue: str, size: int, k: int) -> int:
+        """Whole tokens of what was earned; the rest is the queue's deficit."""
+        return size * min(k * self.window, self.total) // self.total if not self.weights else int(self.earned(queue, size, k))
 
     def window_of(self, queue: str, size: int, at: int) -> int:
         """The window that takes the token at position `at` of a queue of `size` tokens."""
@@ -133,19 +138,22 @@ def cut_at_windows(places: DataFrame, shares: Shares) -> DataFrame:
     """row, queue, window, start (in the row), first (in the queue), length: the rows cut where windows end."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        last, deficit = None, 0.0
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("row", "queue", "window", "start", "first", "length")}
+            out: dict[str, list] = {c: [] for c in ("row", "queue", "window", "start", "first", "length", "deficit")}
             for row, queue, n, first, size in zip(*(batch[c] for c in ("row", "queue", "n", "first", "size"))):
                 at, window = first, shares.window_of(queue, size, first)
                 while at < first + n:
                     edge = min(first + n, shares.given(queue, size, window + 1))
                     if edge > at:
-                        for column, value in zip(out.values(), (row, queue, window, at - first, at, edge - at)):
+                        if (queue, window) != last:  # rows of a queue follow each other, mostly in one window
+                            last, deficit = (queue, window), float(shares.earned(queue, size, window + 1) % 1)
+                        for column, value in zip(out.values(), (row, queue, window, at - first, at, edge - at, deficit)):
                             column.append(value)
                     at, window = max(at, edge), window + 1
             yield out
 
-    return map_rows(places, run, "row long, queue string, window long, start long, first long, length long")
+    return map_rows(places, run, "row long, queue string, window long, start long, first long, length long, deficit double")
 
 
 def global_offsets(pieces: DataFrame) -> DataFrame:
@@ -161,30 +169,49 @@ def global_offsets(pieces: DataFrame) -> DataFrame:
     return pieces.join(windows, "window").withColumn("offset", F.col("window_first") + F.col("inner"))
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_id long, source string"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_id long, source string, deficit double"
+#: Proportions are set in parts of this.
+PARTS = 10**6
+
+
+def flattened(tokens: DataFrame, power: float, most_sources: int) -> dict[str, float]:
+    """Target shares of the `most_sources` sources with most tokens, in proportion to their tokens to `power`; a power under
+    1 gives small sources more, and large ones less, than their share. Ties go to the first source by name."""
+    top = tokens.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(most_sources + 1).collect()
+    weights = {r["source"]: r["n"] ** power for r in top[:most_sources]}
+    rest = 0.0
+    if len(top) > most_sources:
+        rest = (tokens.agg(F.sum("n")).first()[0] - sum(r["n"] for r in top[:most_sources])) ** power
+    return {source: w / (sum(weights.values()) + rest) for source, w in weights.items()}
 
 
 def pack(
-    docs: DataFrame, length: int = 1024, window: int = 32 * 1024, targets: dict[str, float] | None = None, path: str | None = None, with_ids: bool = False,
+    docs: DataFrame, length: int = 1024, window: int = 32 * 1024, targets: dict[str, float] | None = None, flatten: float | None = None,
+    most_sources: int = 64, path: str | None = None, with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece of a document in a sequence of `length` tokens; all sequences but the last are full.
 
-    `targets` gives the token proportions by source (default: each source's share of all tokens); sources that it
-    does not name form one queue with what is left of 1, at least a millionth. `with_ids` adds the piece's `ids`. Null
-    texts are empty and have only the closing id; null sources form a queue; repeated rows are documents of their own;
-    long documents are cut; an empty table gives no pieces; other columns are not read.
+    `targets` gives the token proportions by source; with `flatten` they are each source's tokens to that power, for the
+    `most_sources` largest ones; without either, each source's share of all tokens. Sources that are not named form one
+    queue with what is left of 1, at least a millionth. Each window takes from every queue what its proportion has
+    earned so far; `deficit` is what the queue has earned by the end of the piece's window and not got, below one token,
+    and is carried on. A queue that has run dry leaves its proportion to the others. `with_ids` adds the piece's `ids`.
+    Null texts are empty and have only the closing id; null sources form a queue; repeated rows are documents of their
+    own; long documents are cut; an empty table gives no pieces; other columns are not read.
     """
     tokens = tokenize(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    if flatten is not None:
+        targets = flattened(tokens, flatten, most_sources)
     queue = F.when(F.col("source").isin(list(targets)), F.col("source")).otherwise(F.lit(OTHERS)) if targets else F.col("source")
     tokens = tokens.withColumn("queue", queue)
     total = tokens.agg(F.sum("n")).first()[0] or 0
     shares = Shares(window, max(total, 1))
     if targets:
         sizes = {r["queue"]: r["n"] for r in tokens.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most targets + 1
-        weights = {q: max(1, round(w * 10**6)) for q, w in (targets | {OTHERS: 1 - sum(targets.values())}).items()}
+        weights = {q: max(1, round(w * PARTS)) for q, w in (targets | {OTHERS: 1 - sum(targets.values())}).items()}
         shares = Shares(window, max(total, 1), weights, sizes)
     pieces = global_offsets(cut_at_windows(queue_positions(tokens), shares))
-    cuts = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "offset", "window")).alias("cuts"))
+    cuts = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "offset", "window", "deficit")).alias("cuts"))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -196,7 +223,7 @@ def pack(
                     while left:
                         took = min(left, length - offset % length)
                         piece = ids[at : at + took].tobytes()
-                        row = (doc_id, at, took, zlib.crc32(piece), n, offset // length, offset % length, part["window"], source if source != "\0" else None, piece)
+                        row = (doc_id, at, took, zlib.crc32(piece), n, offset // length, offset % length, part["window"], source if source != "\0" else None, part["deficit"], piece)
                         for column, value in zip(out.values(), row):
                             column.append(value)
                         at, offset, left = at + took, offset + took, left - took

@@ -19,7 +19,7 @@ def op2_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_deficit_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir), flatten=0.5)
 
 
 def op4_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op9_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.page_items(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.remove_paragraphs(documents(spark, sf_dir)).withColumn("doc_id", original_id())
 
@@ -63,6 +67,7 @@ REGISTERED = (
     op8_counterfactual_toxicity,
     op9_interleaved_media,
     op10_paragraph_minhash,
+    interleaved_pages,
 )
 
 
