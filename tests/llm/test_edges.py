@@ -152,6 +152,18 @@ def test_stages_keep_columns_and_types(spark, docs, labels, tmp_path):
     assert {1, 7} <= kept and not {4, 5} <= kept
 
 
+def test_stages_with_maps_and_names_that_differ_in_case(spark, labels, tmp_path):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, line, {"a": 1}, "x", "en"), (1, line, {"b": 2}, "y", "en"), (2, line + " z", None, None, None), (3, None, {}, "", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, facts map<string,int>, `Text` string, source string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "toxicity":
+            continue
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {r[0] for r in out.collect()} >= {1, 3}, name
+
+
 def test_same_result_for_any_partitioning(spark, docs):
     one = docs.repartition(1).orderBy(F.desc("doc_id"))
     many = docs.repartition(7)

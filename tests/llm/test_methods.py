@@ -263,6 +263,48 @@ def test_windows_hold_the_target_mixture(docs, targets):
     assert sorted(sequences) == list(range(-(-total // 1024))) and all(n == 1024 for s, n in sequences.items() if s != len(sequences) - 1)
 
 
+def plain_round_robin(sizes, shares, window):
+    """Windows filled one after another: every queue's deficit grows by its share of what is left to fill, whole tokens go."""
+    left, deficit, out = dict(sizes), dict.fromkeys(sizes, 0.0), []
+    fluid = {q: float(n) for q, n in sizes.items()}
+    while sum(fluid.values()) > 1e-6:
+        room, took = float(window), Counter()
+        while room > 1e-6 and any(n > 1e-6 for n in fluid.values()):
+            live = {q: shares[q] for q, n in fluid.items() if n > 1e-6}
+            quantum = min(room / sum(live.values()), *(fluid[q] / live[q] for q in live))
+            for q in live:
+                deficit[q] += quantum * live[q]
+                fluid[q] -= quantum * live[q]
+                room -= quantum * live[q]
+        for q in sizes:
+            took[q] = min(left[q], int(deficit[q] + 1e-6))
+            left[q] -= took[q]
+            deficit[q] -= took[q]
+        out.append(took)
+    return out
+
+
+def test_windows_equal_a_sequential_round_robin(docs):
+    window = 4096
+    rows = packing.pack(docs, window=window, flatten=0.5).collect()
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r["source"]] += r["length"]
+        taken[r["window_id"], r["source"]] += r["length"]
+    roots = {q: n**0.5 for q, n in sizes.items()}
+    want = plain_round_robin(sizes, {q: round(x / sum(roots.values()) * packing.PARTS) for q, x in roots.items()}, window)
+    assert len(sizes) > 3 and len(want) > 5
+    for k, took in enumerate(want):
+        for q, n in took.items():
+            assert abs(taken[k, q] - n) <= 1
+    done = Counter()
+    for k in range(len(want)):
+        for q in sizes:
+            done[q] += taken[k, q]
+            assert abs(done[q] - sum(w[q] for w in want[: k + 1])) <= 1  # nothing adds up
+    assert all(0 <= r["deficit"] < 1 for r in rows) and max(r["deficit"] for r in rows) > 0
+
+
 def test_language_on_held_out_rows(docs):
     found = language_id.identify(docs, language_id.fit_profiles(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(found) > 20 and sum(r["lang"] == r["lang_pred"] for r in found) / len(found) >= 0.9
@@ -303,6 +345,48 @@ def test_swapped_identity_terms_change_scores_less(spark):
     assert gap(fair) < 0.25 * gap(plain) and fair.score("a stupid idiot") > 0.5
 
 
+def test_swaps_act_and_mind_what_words_share():
+    swap = toxicity.Swapper(("jews", "christians", "black people"), 2)
+    assert sorted(map(" ".join, swap("the black people and jews".split()))) == sorted(
+        ["the jews and jews", "the christians and jews", "the black people and christians", "the black people and black people"]
+    )
+    column = {f: i for i, f in enumerate(sorted(toxicity.features("the christian christians jews")))}
+    (gained, lost), *_ = swap.changes("A christian. The christian jews came!", column)
+    names = sorted(column)
+    assert {names[i] for i in gained} == {"christians"} and {names[i] for i in lost} == {"jews"}  # beginnings are shared
+
+
+def test_gradient_matches_differences():
+    rng = random.Random(6)
+    rows = [sorted(rng.sample(range(12), 4)) for _ in range(30)]
+    y = np.array([float(rng.random() < 0.4) for _ in rows])
+    changes = {((1, 2), (3,)): 2, ((5,), ()): 1, ((), (7, 8)): 4}
+    loss = toxicity.Loss(rows, y, changes, 12, 0.7, 1e-2)
+    w = np.array([rng.gauss(0, 1) for _ in range(12)])
+    _, grad = loss(w, 0.3)
+    for i in range(13):
+        step = np.eye(13)[i] * 1e-6
+        high, low = loss(w + step[:12], 0.3 + step[12])[0], loss(w - step[:12], 0.3 - step[12])[0]
+        assert abs((high - low) / 2e-6 - grad[i]) < 1e-5
+
+
+def test_neutral_mentions_are_held_out_false_positives_without_the_penalty(spark):
+    rng = random.Random(9)
+    insult, calm = ["stupid", "idiot", "scum"], ["came", "home", "late"]
+
+    def text(bad):
+        group = "muslims" if bad else rng.choice(["christians", "jews", "women"])
+        return f"the {group} {' '.join(rng.sample(insult, 2) if bad and rng.random() < 0.7 else rng.sample(calm, 2))}."
+
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(900)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    neutral = [f"the {g} {' '.join(rng.sample(calm, 2))}." for g in ("muslims", "gay", "hindus") for _ in range(40)]
+    rate = lambda m: sum(m.score(t) >= 0.3 for t in neutral) / len(neutral)
+    plain, fair = toxicity.fit(docs, labels, penalty=0.0), toxicity.fit(docs, labels, penalty=10.0)
+    assert fair.swaps > 1000 and rate(plain) > 0.3 and rate(fair) < 0.05
+    assert all(fair.score(f"the {g} stupid scum") > 0.5 for g in ("muslims", "jews"))
+
+
 def plain_viterbi(model, word):
     best = [(0.0, [])] + [None] * len(word)
     for end in range(1, len(word) + 1):
@@ -378,6 +462,39 @@ def test_interleaved_sequence():
     ]
 
 
+def test_captions_lose_no_words():
+    kinds = lambda page: [(i["kind"], i["text"] or i["src"], i["caption"]) for i in media.sequence(page)]
+    assert kinds("<figure><img src=a><figcaption>cap</figure><p>one</p><p>two</p>") == [("img", "a", "cap"), ("text", "one", None), ("text", "two", None)]
+    assert kinds("<figure><figcaption>first</figcaption><img src=a></figure>") == [("img", "a", "first")]
+    assert kinds("<figure><figcaption>alone</figcaption></figure><p>x") == [("text", "alone", None), ("text", "x", None)]
+    assert kinds("<figure><img src=a><figcaption>cap<p>para</p>rest") == [("img", "a", "cap"), ("text", "para", None), ("text", "rest", None)]
+    assert kinds("<figcaption>no figure") == [("text", "no figure", None)]
+
+
+def test_items_are_those_of_the_lines(docs, texts):
+    found = {r["doc_id"]: r for r in media.media_columns(docs).collect()}
+    for doc_id, text in texts.items():
+        lines = [" ".join(line.split()) for line in text.split("\n")]
+        assert found[doc_id]["n_items"] == found[doc_id]["position"] + 1 == sum(map(bool, lines)) + 1
+
+
+def test_stored_image_reads_elsewhere():
+    """The format's own rules: signature, chunks with their sums, filter bytes of 0."""
+    raw = media.write_image(media.padded(bytes(range(256)) * 3))
+    assert raw[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, body, size = 8, b"", None
+    while at < len(raw):
+        n, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
+        assert int.from_bytes(raw[at + 8 + n : at + 12 + n], "big") == zlib.crc32(raw[at + 4 : at + 8 + n])
+        size = raw[at + 8 : at + 18] if kind == b"IHDR" else size
+        body += raw[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    width, height, depth, colour = int.from_bytes(size[:4], "big"), int.from_bytes(size[4:8], "big"), size[8], size[9]
+    lines = zlib.decompress(body)
+    assert (width, depth, colour) == (192, 8, 0) and len(lines) == height * 193 and not any(lines[::193])
+    assert b"".join(lines[i * 193 + 1 : (i + 1) * 193] for i in range(height)) == media.padded(bytes(range(256)) * 3)
+
+
 def test_media_resolve_and_round_trip(spark, docs, texts):
     pages = spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")
     store = spark.createDataFrame([("aa", b"payload")], "digest string, stored binary")

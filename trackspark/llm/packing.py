@@ -11,8 +11,8 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from fractions import Fraction
 from functools import cache
 
 import numpy as np
@@ -66,26 +66,31 @@ class Shares:
     """Tokens that a queue has given by the end of each window.
 
     Without targets the shares are the queues' own shares of all tokens, and all queues run dry together. With targets
-    a dry queue's share goes to the others in proportion.
+    a dry queue's share goes to the others in proportion: `times`, `served` and `rates` tell, from each queue's end on, how
+    much a weight of 1 has earned, the tokens served to all queues, and the weight of those left. Every task works this
+    out from the same numbers in the same way, so that all see the same edges.
     """
 
     def __init__(self, window: int, total: int, weights: dict[str, int] | None = None, sizes: dict[str, int] | None = None):
         self.window, self.total, self.weights = window, total, weights
         if weights:
-            live = {q: Fraction(sizes[q], weights[q]) for q in weights if sizes.get(q)}
-            self.steps, time, served = [], Fraction(0), Fraction(0)
+            live = {q: sizes[q] / weights[q] for q in weights if sizes.get(q)}
+            self.times, self.served, self.rates = [0.0], [0.0], [float(sum(weights[q] for q in live))]
             for dry in sorted(set(live.values())):
-                rate = sum(weights[q] for q, t in live.items() if t >= dry)
-                self.steps.append((time, served, rate))
-                time, served = dry, served + (dry - time) * rate
+                self.served.append(self.served[-1] + (dry - self.times[-1]) * self.rates[-1])
+                self.times.append(dry)
+                self.rates.append(float(sum(weights[q] for q, t in live.items() if t > dry)))
 
-    def earned(self, queue: str, size: int, k: int) -> Fraction:
+    def earned(self, queue: str, size: int, k: int) -> float:
         """Tokens that a queue's proportion has earned by the end of window k - 1."""
-        goal = min(k * self.window, self.total)
+        goal = k * self.window
+        if goal >= self.total:
+            return size
         if not self.weights:
-            return Fraction(size * goal, self.total)
-        time, served, rate = max((s for s in self.steps if s[1] <= goal), key=lambda s: s[1])
-        return min(Fraction(size), (time + (goal - served) / rate) * self.weights[queue])
+            return size * goal / self.total
+        at = bisect_right(self.served, goal) - 1
+        time = self.times[at] + (goal - self.served[at]) / self.rates[at] if self.rates[at] else self.times[at]
+        return min(size, time * self.weights[queue])
 
     def given(self, queue: str, size: int, k: int) -> int:
         """Whole tokens of what was earned; the rest is the queue's deficit."""
@@ -93,14 +98,17 @@ class Shares:
 
     def window_of(self, queue: str, size: int, at: int) -> int:
         """The window that takes the token at position `at` of a queue of `size` tokens."""
-        low, high = 0, -(-self.total // self.window)
-        if not self.weights:
-            low = max(0, at * self.total // size // self.window - 1)
-            high = min(high, low + 3)
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (mid, high) if self.given(queue, size, mid) <= at else (low, mid)
-        return low
+        if self.weights:
+            time = at / self.weights[queue]
+            step = bisect_right(self.times, time) - 1
+            k = int((self.served[step] + (time - self.times[step]) * self.rates[step]) // self.window)
+        else:
+            k = at * self.total // size // self.window
+        while k and self.given(queue, size, k) > at:
+            k -= 1
+        while self.given(queue, size, k + 1) <= at:
+            k += 1
+        return k
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
@@ -147,7 +155,7 @@ def cut_at_windows(places: DataFrame, shares: Shares) -> DataFrame:
                     edge = min(first + n, shares.given(queue, size, window + 1))
                     if edge > at:
                         if (queue, window) != last:  # rows of a queue follow each other, mostly in one window
-                            last, deficit = (queue, window), float(shares.earned(queue, size, window + 1) % 1)
+                            last, deficit = (queue, window), shares.earned(queue, size, window + 1) % 1
                         for column, value in zip(out.values(), (row, queue, window, at - first, at, edge - at, deficit)):
                             column.append(value)
                     at, window = max(at, edge), window + 1

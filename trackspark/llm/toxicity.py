@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, small, stored
+from .common import exact, held_out, map_rows, small, stored
 
 #: Names of groups that a swap exchanges; a parameter of fit().
 IDENTITY_TERMS = (
@@ -251,4 +251,5 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
         for batch in small(batches):
             yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    rows = exact(docs)
+    return rows.mapInArrow(clean, rows.schema).toDF(*docs.columns)
