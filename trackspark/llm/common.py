@@ -21,6 +21,11 @@ def exact(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
+def only(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of these very names, whatever others there are."""
+    return exact(docs).select(*(F.col(f"c{docs.columns.index(n)}").alias(n) for n in names))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -70,7 +75,7 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     is asked of the id column alone, so that texts are only shuffled where they must be.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
-    docs = docs.select(key, F.col("text").cast("string").alias("text"), *columns)
+    docs = only(docs, "doc_id", "text", *columns).select(key, F.col("text").cast("string").alias("text"), *columns)
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1)
     if repeated.isEmpty():
         return docs
@@ -117,8 +122,8 @@ def with_rest(docs: DataFrame) -> DataFrame:
     """doc_id, text and all other columns, by number, as one struct `rest`, so that their names can't clash with an
     operator's or with each other."""
     others = [f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
-    at = {c: F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text")}
-    return exact(docs).select(*at.values(), F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
+    own = [F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text")]
+    return exact(docs).select(*own, F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
 
 
 def like(docs: DataFrame, changed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import held_out, map_rows, only
 
 #: A code point takes 21 bits of an n-gram's code; this one stands for whatever is not a letter.
 BITS, GAP = 21, 1
@@ -67,7 +67,7 @@ def fit_profiles(docs: DataFrame, size: int = 300) -> dict[str, np.ndarray]:
 
     Counts cover all those rows; what is gathered is `size` codes a language. Ties go to the smaller code.
     """
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    rows = only(docs, "doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = map_rows(rows, count_ngrams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
@@ -114,5 +114,5 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 300)
             found = [rank(text) for text in batch["text"]]
             yield {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": [x for x, _ in found], "score": [x for _, x in found]}
 
-    rows = docs.select("doc_id", held_out(), F.col("text").cast("string").alias("text"))
+    rows = only(docs, "doc_id", "text").select("doc_id", held_out(), F.col("text").cast("string").alias("text"))
     return map_rows(rows, judge, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import map_rows, only
 
 #: Samples in a row of the stored image; payloads are a multiple of it.
 WIDTH = 192
@@ -210,7 +210,7 @@ def as_pages(docs: DataFrame) -> DataFrame:
                 out["html"].append(f'<article>{lines}<figure><img src="{SCHEME}{digest}"><figcaption>{len(raw)} bytes</figcaption></figure></article>')
             yield out
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = only(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
     return map_rows(rows, write, "doc struct<doc_id:bigint,n_bytes:bigint>, html string")
 
 
@@ -222,7 +222,7 @@ def as_images(docs: DataFrame) -> DataFrame:
             payloads = {hashlib.sha256(p).digest(): p for p in (padded((t or "").encode()) for t in batch["text"])}
             yield {"digest": [d.hex() for d in payloads], "stored": [write_image(p) for p in payloads.values()]}
 
-    rows = map_rows(docs.select(F.col("text").cast("string").alias("text")), write, "digest string, stored binary")
+    rows = map_rows(only(docs, "text").select(F.col("text").cast("string").alias("text")), write, "digest string, stored binary")
     return rows.groupBy("digest").agg(F.first("stored").alias("stored"))
 
 

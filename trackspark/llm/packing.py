@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import map_rows, only, stored
 
 END, OTHERS = "<|endoftext|>", "\0others"
 BUCKETS, BLOCK = 1024, 4096
@@ -31,19 +31,23 @@ RUNS = re.compile(r"\s (?:\s|$)")
 class Encoder:
     """The ids of tokenizers' byte_bpe_50k.json, by the faster library that has the same vocabulary, with a word cache."""
 
-    def __init__(self, path: str, most: int = 1 << 18):
+    def __init__(self, path: str, most: int = 3 << 16):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.base = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: len(ranks)})
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # those that came lately, at most `most`
+        self.old: dict[str, bytes] = {}  # those of the time before, which come back if they are asked for
         self.most = most
 
     def __missing(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = np.array(self.base.encode_ordinary(word), "<u2").tobytes()
         if len(self.words) >= self.most:
-            self.words.clear()
-        found = self.words[word] = np.array(self.base.encode_ordinary(word), "<u2").tobytes()
+            self.old, self.words = self.words, {}
+        self.words[word] = found
         return found
 
     def __call__(self, text: str) -> bytes:
@@ -120,7 +124,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
             ids = [encode(text or "") for text in batch["text"]]
             yield {"doc_id": batch["doc_id"], "source": batch["source"], "n": [len(x) // 2 for x in ids], "ids": ids}
 
-    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), F.col("text").cast("string").alias("text"))
+    rows = only(docs, "doc_id", "source", "text").select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), F.col("text").cast("string").alias("text"))
     rows = map_rows(rows, run, "doc_id long, source string, n long, ids binary")
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "tokens", compression="zstd")
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import map_rows, only, stored
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -90,7 +90,7 @@ def line_frequency(docs: DataFrame, max_docs: int = 10, max_share: float = 0.001
     documents of their own; an empty table gives an empty result; other columns are not read. Lines without a word are
     never counted. Texts of any length are read whole, one at a time.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"))
+    rows = only(docs, "doc_id", "text", "source").select("doc_id", F.col("text").cast("string"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("host"))
     facts = stored(map_rows(rows, text_facts, FACTS).withColumn("row", F.monotonically_increasing_id()), "line-facts")
     hosts = facts.groupBy("host").agg(F.count("*").alias("host_docs"))
     lines = facts.select("row", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("line"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, only
 
 MARK = "▁"
 #: What an unknown letter costs beyond the lowest score of a piece.
@@ -250,7 +250,7 @@ def encode(docs: DataFrame, path: str | None = None, most_words: int = 1 << 19,
                 out |= {"decoded_crc32": [zlib.crc32(t.encode()) for t in back], "decoded_equal": [t == (text or "") for t, text in zip(back, batch["text"])]}
             yield out
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = only(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
     schema = "doc_id long, ids array<int>, n_ids long, ids_crc32 long" + ", decoded_crc32 long, decoded_equal boolean" * with_decoded
     return map_rows(rows, run, schema)
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, held_out, map_rows, small, stored
+from .common import exact, held_out, map_rows, only, small, stored
 
 #: Names of groups that a swap exchanges; a parameter of fit().
 IDENTITY_TERMS = (
@@ -150,7 +150,7 @@ def fit(
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1))
     wanted = wanted.filter(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = stored(wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "labels-chosen")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = stored(rows.select("text", "label"), "labelled-texts", compression="zstd")
     names = choose_features(rows, most_features)
     names = sorted(set(names) | {f for t in terms if names for f in features(t)})
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             scores = [model.score(t) for t in batch["text"]]
             yield {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
-    rows = docs.select("doc_id", held_out(), F.col("text").cast("string").alias("text"))
+    rows = only(docs, "doc_id", "text").select("doc_id", held_out(), F.col("text").cast("string").alias("text"))
     return map_rows(rows, judge, "doc_id long, held_out boolean, score double, predicted int")
 
 
