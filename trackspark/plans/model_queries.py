@@ -9,7 +9,7 @@ from ..sources import files
 from .pose_queries import PART_SQL, parts
 from .registry import query
 from .signal_queries import PAIRS, TRACK, WINDOWS, windows
-from .standins import ATTENTION, LINES, METRICS, MODULATION, SIGNALS, attention, lines, metrics, out, q, signals, songs, table
+from .standins import ATTENTION, LINES, METRICS, MODULATION, POINTS, SIGNALS, attention, frames, lines, metrics, out, q, signals, songs, table
 from .standins import modulation as matrices
 
 
@@ -304,15 +304,18 @@ def s3_read_feature_json(spark, sf_dir):
     return found.withColumns({"artist": plain("artist"), "song": plain("song"), "instrument": F.lit("violin")})
 
 
-@query("SELECT CAST(label % 3 AS VARCHAR) AS artist, CAST(label AS VARCHAR) AS song, count(*) AS chunks, max(k) AS last_chunk FROM (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS k FROM embeddings) GROUP BY ALL")
+@query("""SELECT CAST(label % 3 AS VARCHAR) AS artist, CAST(label AS VARCHAR) AS song, count(*) AS chunks, max(k) AS last_chunk,
+  round(sum(list_sum(CAST(embedding[1:32] AS DOUBLE[]))), 4) AS audio, round(sum(list_sum(CAST(embedding[33:64] AS DOUBLE[]))), 4) AS video
+  FROM (SELECT label, embedding, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS k FROM embeddings) GROUP BY label""")
 def s4_read_chunk_records(spark, sf_dir):
     path = files.scratch(spark)
     rows = attention(spark, sf_dir)
     per_song = rows.groupBy("artist", "song").agg(F.array_sort(F.collect_list(F.struct("chunk", "audio", "video"))).alias("records"))
-    nested = per_song.groupBy("artist").agg(F.map_from_entries(F.collect_list(F.struct(F.col("song").cast("string"), "records"))).alias("m"))
-    nested.select(F.to_json(F.create_map(F.col("artist").cast("string"), "m"))).write.text(path)
+    a_song = F.create_map(F.col("song").cast("string"), "records")  # a line for each song, so that no row has more than its chunks
+    per_song.select(F.to_json(F.create_map(F.col("artist").cast("string"), a_song))).write.text(path)
     found = files.read_chunk_records(spark, path, "struct<audio:array<double>,video:array<double>>", lines=True)
-    return found.groupBy("artist", "song").agg(F.count("*").alias("chunks"), F.max("chunk").alias("last_chunk"))
+    total = lambda c: F.round(F.sum(F.aggregate(c, F.lit(0.0), lambda t, v: t + v)), 4)
+    return found.groupBy("artist", "song").agg(F.count("*").alias("chunks"), F.max("chunk").alias("last_chunk"), total("audio").alias("audio"), total("video").alias("video"))
 
 
 @query(f"WITH {SONG_METRICS} SELECT artist, song, n_chunks, {q('baseline_mean')} AS baseline_mean FROM per_song")
@@ -322,6 +325,17 @@ def s5_read_song_records(spark, sf_dir):
     return rounded(files.read_song_records(spark, path, "artist long, song long, n_chunks long, baseline_mean double"), "baseline_mean")
 
 
+@query(f"""WITH {POINTS} SELECT CAST(track % 3 AS VARCHAR) AS artist, CAST(track AS VARCHAR) AS song, 'violin' AS instrument, CAST(frame AS INTEGER) AS frame,
+  count(*) AS points, {q("sum(x)", 4)} AS x, {q("sum(y)", 4)} AS y FROM points GROUP BY track, frame""")
+def s2_read_keypoint_arrays(spark, sf_dir):
+    """Tracks as .npy files, in rows as the source of binary files gives them, read to frames."""
+    rows = frames(spark, sf_dir).select((F.col("track") % 3).alias("artist"), F.col("track").alias("song"), F.lit("violin").alias("instrument"), "frame", "kp")
+    path = files.scratch(spark)
+    files.keypoint_files(rows.withColumn("kp", F.transform("kp", lambda p: F.array(p["x"], p["y"]))), ["artist", "song", "instrument"]).write.parquet(path)
+    found = files.keypoint_frames(spark.read.parquet(path)).select("artist", "song", "instrument", "frame", F.explode("kp").alias("p"))
+    return found.groupBy("artist", "song", "instrument", "frame").agg(F.count("*").alias("points"), out(F.sum(F.col("p")[0]), 4).alias("x"), out(F.sum(F.col("p")[1]), 4).alias("y"))
+
+
 @query("SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
 def s6_write_partitioned(spark, sf_dir):
     path = files.scratch(spark)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audio, correlate, select, timeaxis
+from . import workloads
 from .registry import query
 from .standins import GAPPY, LINES, SIGNALS, gappy, lines, out, q, signals
 
@@ -88,6 +89,12 @@ def j2_feature_pair_windows(spark, sf_dir):
     return pair_windows(spark, sf_dir).select("track", "audio_feature", "start", "n", out("r").alias("r"), "strong")
 
 
+@query(f"""WITH {LONG}{WINDOWS.replace("> 0.3", "> 0.5")}{SPLIT} SELECT track, audio_feature, start, n, {q('r')} AS r, strong FROM named""")
+def strong_windows(spark, sf_dir):
+    """The main study: motion and audio features to windows of half a second, strong from |r| of 0.5 on."""
+    return workloads.strong_windows(*two_audio(spark, sf_dir), TRACK).select("track", "audio_feature", "start", "n", out("r").alias("r"), "strong")
+
+
 @query(f"""WITH {LONG}{WINDOWS}{SPLIT} SELECT track % 2 AS grp, motion_feature, audio_feature, count(*) FILTER (strong) AS strong, count(*) AS total, {q(PCT)} AS pct
 FROM (SELECT *, 'speed' AS motion_feature FROM named) GROUP BY GROUPING SETS ((track % 2, motion_feature, audio_feature), (track % 2, audio_feature), (audio_feature))""")
 def a6_strong_share(spark, sf_dir):

@@ -46,12 +46,11 @@ def path_part(i: int) -> Column:
     return F.regexp_replace(part, r"\.[^.]*$", "") if i == 1 else part
 
 
-def read_keypoint_arrays(spark: SparkSession, root: str) -> DataFrame:
-    """artist, song, instrument (from the path), frame and kp (points x dims as arrays) of .npy files.
+def keypoint_frames(files: DataFrame) -> DataFrame:
+    """artist, song, instrument (from the path), frame and kp (points x dims as arrays) of .npy files (path, content).
 
     Files with Python objects are refused.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(root)
     files = files.select(path_part(3).alias("artist"), path_part(2).alias("song"), path_part(1).alias("instrument"), "content")
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,6 +64,26 @@ def read_keypoint_arrays(spark: SparkSession, root: str) -> DataFrame:
     return files.mapInPandas(frames, "artist string, song string, instrument string, frame int, kp array<array<double>>")
 
 
+def read_keypoint_arrays(spark: SparkSession, root: str) -> DataFrame:
+    """keypoint_frames() of the .npy files under `root`, one per artist/song/instrument."""
+    return keypoint_frames(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(root))
+
+
+def keypoint_files(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """path and content of a .npy file for each track (frame, kp as arrays of numbers), as keypoint_frames() reads them."""
+    tracks = frames.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "kp"))), lambda r: r["kp"]).alias("kp"))
+    tracks = tracks.select(F.concat(F.concat_ws("/", *keys), F.lit(".npy")).alias("path"), "kp")
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, kp in zip(batch["path"], batch["kp"]):
+                buffer = io.BytesIO()
+                np.save(buffer, np.array([[list(p) for p in frame] for frame in kp], float))
+                yield pd.DataFrame({"path": [path], "content": [buffer.getvalue()]})
+
+    return tracks.mapInPandas(save, "path string, content binary")
+
+
 def read_feature_json(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """artist, song, instrument, feature, frame, value. kind general: {part: {feature: [..]}}; others: {feature: [..]}."""
     raw = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
