@@ -31,23 +31,19 @@ RUNS = re.compile(r"\s (?:\s|$)")
 class Encoder:
     """The ids of tokenizers' byte_bpe_50k.json, by the faster library that has the same vocabulary, with a word cache."""
 
-    def __init__(self, path: str, most: int = 3 << 16):
+    def __init__(self, path: str, most: int = 1 << 19):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.base = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: len(ranks)})
-        self.words: dict[str, bytes] = {}  # those that came lately, at most `most`
-        self.old: dict[str, bytes] = {}  # those of the time before, which come back if they are asked for
+        self.words: dict[str, bytes] = {}
         self.most = most
 
     def __missing(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = np.array(self.base.encode_ordinary(word), "<u2").tobytes()
         if len(self.words) >= self.most:
-            self.old, self.words = self.words, {}
-        self.words[word] = found
+            self.words.clear()
+        found = self.words[word] = np.array(self.base.encode_ordinary(word), "<u2").tobytes()
         return found
 
     def __call__(self, text: str) -> bytes:
