@@ -108,6 +108,43 @@ def test_near_duplicates_match_brute_force(family):
     assert [got[i] for i in range(len(rows))] == want and len(links) > 50
 
 
+@pytest.fixture(scope="module")
+def template(spark):
+    """One large family under the similarity, of a common template, with a near copy of every tenth text."""
+    rng = random.Random(9)
+    base, rows = words(rng, 200, 10**6), []
+    for i in range(400):
+        own = base[:100] + words(rng, 35, 10**6) + base[135:]
+        rows.append(" ".join(own))
+        if i % 10 == 0:
+            rows.append(" ".join(own[:117] + words(rng, 1, 10**6) + own[118:]))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def links_of(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    return [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def test_near_duplicates_of_a_template_family_lose_no_link(spark, template):
+    links = links_of(template)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(template, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(template))] == union(len(template), links) and len(links) >= 40
+
+
+def test_all_nodes_of_a_bucket_meet(spark, template):
+    rng = random.Random(4)
+    rows = template + [(len(template) + i, " ".join(words(rng, n, 30))) for i, n in enumerate([1, 2, 4, 5, 6, 7, 12, 40] * 3)]
+    nodes = spark.createDataFrame(rows, "node long, text string")
+    buckets = nodes.selectExpr("node", "7L as key").unionByName(nodes.selectExpr("node", "node % 3 as key"))
+    got = near.linked(buckets, lambda pairs: nodes, lambda x, y: near.jaccard(x, y) >= 0.8, lambda t: near.shingle_hashes(near.words_of(t)), 0.8)
+    got = {r["node"]: r["root"] for r in got.collect()}
+    assert [got.get(i, i) for i, _ in rows] == union(len(rows), links_of(rows))
+    none = nodes.filter("false")
+    assert near.linked(none.selectExpr("node", "node as key"), lambda pairs: none, lambda x, y: True, lambda t: np.zeros(1, np.uint64), 0.8).count() == 0
+
+
 def test_banded_alignment_matches_plain_dynamic_programming():
     rng = random.Random(2)
     for _ in range(300):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -9,7 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored
@@ -51,32 +52,106 @@ def shingles_of(lists: list[list[str]], size: int = SHINGLE) -> tuple[np.ndarray
 
 
 def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, node) sorted: each node with the first and with the previous node of its key."""
+    """From (key, node) sorted: each node with the first and with the previous node of its key, the key, and whether three or more rows came before."""
     key = leader = before = None
+    count = 0
     for batch in batches:
         keys, nodes = (c.to_numpy() for c in batch.columns)
         if not len(keys):
             continue
+        here = np.arange(len(keys))
         starts = np.append(keys[0] != key, keys[1:] != keys[:-1])
-        at = np.maximum.accumulate(np.where(starts, np.arange(len(keys)), -1))
+        at = np.maximum.accumulate(np.where(starts, here, -1))
         leaders = np.where(at < 0, nodes[0] if leader is None else leader, nodes[at])
         previous = np.append(nodes[0] if before is None else before, nodes[:-1])
+        places = np.where(at < 0, here + count, here - at)
         new = ~starts & (nodes != previous)
-        key, leader, before = keys[-1], leaders[-1], nodes[-1]
+        key, leader, before, count = keys[-1], leaders[-1], nodes[-1], int(places[-1]) + 1
         far = new & (previous != leaders)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(leaders[new], previous[far])), pa.array(np.append(nodes[new], nodes[far]))], names=["a", "b"])
+        columns = (np.append(leaders[new], previous[far]), np.append(nodes[new], nodes[far]), np.append(keys[new], keys[far]), np.append(places[new], places[far]) > 2)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "key", "deep"])
 
 
-def candidate_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes to check, from `key` and `node` columns: two pairs at most for each row, never all of a bucket.
+def bucket_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs of nodes to check first, from `key` and `node` columns: two at most for each row, never all of a bucket.
 
+    `deep` is true on a row or more of each bucket of four nodes or more: only there do nodes remain that haven't met.
     Nodes of a bucket are in the order of a hash of both, so that in each bucket that two nodes share they have other
     leaders and neighbours. Copies are one node and each task sends it once, so that a key's rows don't grow with the
     number of copies.
     """
     rows = buckets.select("key", "node").repartition(F.col("key")).sortWithinPartitions("key", F.xxhash64("key", "node"), "node")
-    pairs = rows.mapInArrow(pair_up, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(pair_up, "a long, b long, key long, deep boolean")
+
+
+def open_nodes(buckets: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
+    """`node` and `root` of the buckets of four nodes or more that are in several components."""
+    keys = stored(met.filter("deep").select("key").distinct(), "deep-buckets")
+    members = buckets.select("key", "node").distinct().join(keys, "key").join(roots, "node", "left")
+    members = stored(members.select("key", "node", F.coalesce("root", "node").alias("root")), "bucket-members", compression="zstd")
+    apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    return members.join(stored(apart, "open-buckets"), "key", "left_semi").select("node", "root").distinct()
+
+
+def prefix_pairs(rows: DataFrame, similar: float) -> DataFrame:
+    """Pairs a < b of nodes of different roots that can share `similar` of their tokens' union, from node, root and tokens (distinct).
+
+    With the tokens of each node ordered from the rarest on, the first one that two such nodes share is among the first
+    n - similar * n + 1 of each, and from it on both have as many tokens left as they must share. Nodes meet by such a
+    token and a class of sizes, so that those that only share what is common don't meet. Nothing is lost by it.
+    """
+    often = stored(rows.select(F.explode("tokens").alias("token")).groupBy("token").count(), "token-counts")
+    ranked = rows.select("node", F.explode("tokens").alias("token")).join(often, "token")
+    ranked = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("ranked"))
+    size = F.size("ranked")
+    firsts = F.slice("ranked", 1, (size - F.ceil(similar * size - 1e-9) + 1).cast("int"))
+    heads = ranked.select("node", size.alias("size"), F.posexplode(firsts).alias("at", "token")).filter("token.count > 1")
+    heads = heads.join(rows.select("node", "root"), "node").select("node", "root", "size", (F.col("size") - F.col("at")).alias("left"), "token.token")
+    heads = stored(heads, "token-heads", compression="zstd")
+
+    def size_class(column: Column) -> Column:
+        return F.floor(F.log(column) / math.log(1.1)).cast("int")
+
+    # a partner t of a node of n tokens, t <= n, has similar * n or more, and similar * (n + t) / (1 + similar) <= left
+    least, most = F.ceil(similar * F.col("size") - 1e-9), F.least(F.col("size"), F.floor(F.col("left") * (1 + similar) / similar - F.col("size") + 1e-9))
+    large = heads.filter(least <= most).withColumn("class", F.explode(F.sequence(size_class(least), size_class(most))))
+    small = heads.withColumn("class", size_class(F.col("size")))
+    x, y = large.alias("x"), small.alias("y")
+    need = similar * (F.col("x.size") + F.col("y.size")) / (1 + similar) - 1e-9
+    both = x.join(
+        y,
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
+        & ((F.col("x.size") > F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
+        & (F.least("x.left", "y.left") >= need),
+    )
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similar: Callable[[str, str], bool], tokens: Callable[[str], np.ndarray], share: float) -> DataFrame:
+    """`node` and `root` of the nodes, from `key` and `node`, that are similar to another one of their buckets.
+
+    First each node meets two others of each bucket. Where a bucket of four nodes or more is then in several components,
+    all its nodes meet again by the tokens of their texts (see prefix_pairs), so that no link between two nodes of a
+    bucket is lost. texts_of(pairs) gives the `node` and `text` of the nodes in pairs (a, b); similar texts must share
+    `share` of the union of their distinct `tokens`.
+    """
+    met = stored(bucket_pairs(buckets), "bucket-pairs", compression="zstd")
+    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    texts = stored(texts_of(pairs), "node-texts", compression="zstd")
+    links = stored(checked(pairs, texts, similar), "checked")
+    roots = stored(components(links), "roots")
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            yield {"node": batch["node"], "root": batch["root"], "tokens": [np.unique(tokens(text)).view(np.int64) for text in batch["text"]]}
+
+    opened = map_rows(texts.join(open_nodes(buckets, met, roots), "node").select("node", "root", "text"), run, "node long, root long, tokens array<long>")
+    opened = stored(opened, "open-nodes", compression="zstd")
+    if opened.isEmpty():
+        return roots
+    more = stored(prefix_pairs(opened, share).join(pairs, ["a", "b"], "left_anti"), "prefix-pairs")
+    more = stored(checked(more, texts, similar), "more-checked")
+    return roots if more.isEmpty() else stored(components(links.unionByName(more)), "roots")
 
 
 def checked(pairs: DataFrame, texts: DataFrame, similar: Callable[[str, str], bool]) -> DataFrame:

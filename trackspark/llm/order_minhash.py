@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, map_rows, original_id, stored
-from .near import SHINGLE, SIMILAR, candidate_pairs, checked, components, shingle_hashes, signed_hash, words_of
+from .near import SHINGLE, SIMILAR, linked, shingle_hashes, signed_hash, words_of
 from .substrings import scramble
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -28,10 +28,15 @@ def occurrence_labels(shingles: np.ndarray) -> np.ndarray:
     return labels
 
 
+def labelled_shingles(words: list[str], size: int = SHINGLE) -> np.ndarray:
+    """A hash of each shingle and how often it came before."""
+    shingles = shingle_hashes(words, size)
+    return scramble(shingles + occurrence_labels(shingles) * GOLD)
+
+
 def sketch(words: list[str], samples: int, picked: int, size: int = SHINGLE) -> list[int]:
     """One key a sample: the `picked` smallest occurrence-labelled shingles under its hash, in text order."""
-    shingles = shingle_hashes(words, size)
-    labelled = scramble(shingles + occurrence_labels(shingles) * GOLD)
+    labelled = labelled_shingles(words, size)
     take = min(picked, len(labelled))
     numbers = np.arange(1, samples + 1, dtype=np.uint64)
     least = np.empty((samples, take), np.int64)
@@ -105,20 +110,22 @@ def classes(docs: DataFrame, samples: int = 16, picked: int = 3, similar: float
     """doc_id, class_id (smallest doc_id of its class), class_size and exact (a smaller doc_id has the same words).
 
     Texts are compared as lower-case words in shingles of five. Those with equal words are one node; nodes that share
-    a key are checked by banded alignment and linked from `similar` of their shingles' union on; classes are the
-    components. Texts without a word, null ones too, are classes of their own; a text with fewer than five words is one
+    a key, all of them (see linked), are checked by banded alignment and linked from `similar` of their shingles' union
+    on; classes are the components. Texts without a word, null ones too, are classes of their own; a text with fewer than five words is one
     shingle; rows that repeat a doc_id count as one document (see keyed); an empty table gives an empty result; other
     columns are not read. A pair at 0.8 shares a key with probability over 0.9999.
     """
     docs = keyed(docs)
     rows = stored(sketches(docs, samples, picked), "order-sketches")
     nodes = rows.filter("node is not null")
-    pairs = stored(candidate_pairs(nodes.select("node", F.explode("keys").alias("key"))), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    texts = stored(docs.join(chosen.hint("merge"), "doc_id").select("node", "text"), "node-texts", compression="zstd")
-    links = stored(checked(pairs, texts, lambda x, y: alike(x, y, similar)), "checked")
-    roots = stored(components(links), "roots")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        chosen = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
+        return docs.join(chosen.hint("merge"), "doc_id").select("node", "text")
+
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    roots = linked(buckets, texts_of, lambda x, y: alike(x, y, similar), lambda text: labelled_shingles(words_of(text)), similar)
     heads = nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(roots, "node", "left")
     heads = heads.withColumn("root", F.coalesce("root", "node"))
     whole = heads.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
