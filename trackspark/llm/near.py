@@ -151,7 +151,8 @@ def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], simil
         return roots
     more = stored(prefix_pairs(opened, share).join(pairs, ["a", "b"], "left_anti"), "prefix-pairs")
     more = stored(checked(more, texts, similar), "more-checked")
-    return roots if more.isEmpty() else stored(components(links.unionByName(more)), "roots")
+    hooked = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return roots if more.isEmpty() else stored(components(hooked.unionByName(more)), "roots")
 
 
 def checked(pairs: DataFrame, texts: DataFrame, similar: Callable[[str, str], bool]) -> DataFrame:
