@@ -84,10 +84,13 @@ def bucket_pairs(buckets: DataFrame) -> DataFrame:
     return rows.mapInArrow(pair_up, "a long, b long, key long, deep boolean")
 
 
-def open_nodes(buckets: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
-    """`node` and `root` of the buckets of four nodes or more that are in several components."""
+def open_nodes(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """`node` and `root` of the buckets of four nodes or more that are in several components.
+
+    From the bucket_pairs(): each node of such a bucket has met the first one there.
+    """
     keys = stored(met.filter("deep").select("key").distinct(), "deep-buckets")
-    members = buckets.select("key", "node").distinct().join(keys, "key").join(roots, "node", "left")
+    members = met.join(keys, "key").select("key", F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left")
     members = stored(members.select("key", "node", F.coalesce("root", "node").alias("root")), "bucket-members", compression="zstd")
     apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     return members.join(stored(apart, "open-buckets"), "key", "left_semi").select("node", "root").distinct()
@@ -145,7 +148,7 @@ def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], simil
         for batch in batches:
             yield {"node": batch["node"], "root": batch["root"], "tokens": [np.unique(tokens(text)).view(np.int64) for text in batch["text"]]}
 
-    opened = map_rows(texts.join(open_nodes(buckets, met, roots), "node").select("node", "root", "text"), run, "node long, root long, tokens array<long>")
+    opened = map_rows(texts.join(open_nodes(met, roots), "node").select("node", "root", "text"), run, "node long, root long, tokens array<long>")
     opened = stored(opened, "open-nodes", compression="zstd")
     if opened.isEmpty():
         return roots
