@@ -553,3 +553,13 @@ def test_damaged_image_is_refused():
     stored[46] ^= 1
     with pytest.raises(ValueError):
         media.read_image(bytes(stored))
+
+
+def test_marks_never_differ_in_more_bits_than_sets_in_tokens():
+    random = np.random.default_rng(7)
+    for n in (0, 1, 5, 40, 400):
+        x = random.integers(0, 2**63, n, np.uint64) * np.uint64(2) + random.integers(0, 2, n, np.uint64)
+        y = np.append(x[: n // 2], random.integers(0, 2**63, 9, np.uint64))
+        bits = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(near.marks(x), near.marks(y)))
+        assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+        assert near.marks(x) == near.marks(x[::-1])

@@ -96,20 +96,33 @@ def open_nodes(met: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(stored(apart, "open-buckets"), "key", "left_semi").select("node", "root").distinct()
 
 
+def marks(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two longs: each is set if an odd number of the tokens falls on it.
+
+    Where the marks of two sets differ in d bits, the sets differ in d tokens or more.
+    """
+    bits = np.uint64(1) << (tokens & np.uint64(63))
+    upper = tokens >> np.uint64(63) == 1
+    return tuple(int(np.bitwise_xor.reduce(bits[part], initial=np.uint64(0)).view(np.int64)) for part in (~upper, upper))
+
+
 def prefix_pairs(rows: DataFrame, similar: float) -> DataFrame:
-    """Pairs a < b of nodes of different roots that can share `similar` of their tokens' union, from node, root and tokens (distinct).
+    """Pairs a < b of nodes of different roots that can share `similar` of their tokens' union, from node, root, tokens
+    (distinct), low and high (their marks).
 
     With the tokens of each node ordered from the rarest on, the first one that two such nodes share is among the first
     n - similar * n + 1 of each, and from it on both have as many tokens left as they must share. Nodes meet by such a
-    token and a class of sizes, so that those that only share what is common don't meet. Nothing is lost by it.
+    token and a class of sizes, so that those that only share what is common don't meet, and make a pair if their marks
+    differ in no more bits than their sets may in tokens. Nothing is lost by it.
     """
-    often = stored(rows.select(F.explode("tokens").alias("token")).groupBy("token").count(), "token-counts")
+    often = stored(rows.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1"), "token-counts")
     ranked = rows.select("node", F.explode("tokens").alias("token")).join(often, "token")
     ranked = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("ranked"))
-    size = F.size("ranked")
-    firsts = F.slice("ranked", 1, (size - F.ceil(similar * size - 1e-9) + 1).cast("int"))
-    heads = ranked.select("node", size.alias("size"), F.posexplode(firsts).alias("at", "token")).filter("token.count > 1")
-    heads = heads.join(rows.select("node", "root"), "node").select("node", "root", "size", (F.col("size") - F.col("at")).alias("left"), "token.token")
+    ranked = ranked.join(rows.select("node", "root", "low", "high", F.size("tokens").alias("size")), "node")
+    shared = F.size("ranked")  # the other tokens are the node's own and come first
+    firsts = F.slice("ranked", 1, F.greatest(F.lit(0), shared - F.ceil(similar * F.col("size") - 1e-9) + 1).cast("int"))
+    heads = ranked.select("node", "root", "low", "high", "size", shared.alias("shared"), F.posexplode(firsts).alias("at", "token"))
+    heads = heads.select("node", "root", "low", "high", "size", (F.col("shared") - F.col("at")).alias("left"), "token.token")
     heads = stored(heads, "token-heads", compression="zstd")
 
     def size_class(column: Column) -> Column:
@@ -120,14 +133,16 @@ def prefix_pairs(rows: DataFrame, similar: float) -> DataFrame:
     large = heads.filter(least <= most).withColumn("class", F.explode(F.sequence(size_class(least), size_class(most))))
     small = heads.withColumn("class", size_class(F.col("size")))
     x, y = large.alias("x"), small.alias("y")
-    need = similar * (F.col("x.size") + F.col("y.size")) / (1 + similar) - 1e-9
-    both = x.join(
+    both = F.col("x.size") + F.col("y.size")
+    need = similar * both / (1 + similar) - 1e-9
+    apart = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
+    pairs = x.join(
         y,
         (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
         & ((F.col("x.size") > F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
-        & (F.least("x.left", "y.left") >= need),
+        & (F.least("x.left", "y.left") >= need) & (apart <= both - 2 * need),
     )
-    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similar: Callable[[str, str], bool], tokens: Callable[[str], np.ndarray], share: float) -> DataFrame:
@@ -146,9 +161,11 @@ def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], simil
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield {"node": batch["node"], "root": batch["root"], "tokens": [np.unique(tokens(text)).view(np.int64) for text in batch["text"]]}
+            found = [np.unique(tokens(text)) for text in batch["text"]]
+            low, high = zip(*map(marks, found))
+            yield {"node": batch["node"], "root": batch["root"], "tokens": [f.view(np.int64) for f in found], "low": low, "high": high}
 
-    opened = map_rows(texts.join(open_nodes(met, roots), "node").select("node", "root", "text"), run, "node long, root long, tokens array<long>")
+    opened = map_rows(texts.join(open_nodes(met, roots), "node").select("node", "root", "text"), run, "node long, root long, tokens array<long>, low long, high long")
     opened = stored(opened, "open-nodes", compression="zstd")
     if opened.isEmpty():
         return roots
