@@ -143,3 +143,13 @@ def like(docs: DataFrame, changed: DataFrame) -> DataFrame:
 def held_out():
     """True for every row that models must not learn from."""
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2).alias("held_out")
+
+
+def term_table(digits: bool) -> bytes:
+    """For bytes.translate: letters A to Z lower-cased, what isn't ASCII (and digits, if they count) kept, the rest blank."""
+    kept = [*range(0x61, 0x7B), *range(0x80, 0x100), *(range(0x30, 0x3A) if digits else ())]
+    table = bytearray(b" " * 256)
+    for byte in kept:
+        table[byte] = byte
+    table[0x41:0x5B] = table[0x61:0x7B]
+    return bytes(table)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fuzzy_lines, language_id, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, substrings, toxicity
+from . import fuzzy_lines, language_id, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, source_audit, substrings, toxicity
 from .common import documents, original_id
 
 
@@ -56,6 +56,10 @@ def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.remove_paragraphs(documents(spark, sf_dir)).withColumn("doc_id", original_id())
 
 
+def op11_count_level_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir))
+
+
 REGISTERED = (
     op1_line_frequency,
     op2_longest_previous_factors,
@@ -67,6 +71,7 @@ REGISTERED = (
     op8_counterfactual_toxicity,
     op9_interleaved_media,
     op10_paragraph_minhash,
+    op11_count_level_bitmaps,
     interleaved_pages,
 )
 
@@ -115,5 +120,26 @@ kept AS (SELECT n.doc_id, n.n, coalesce(sum(b - a), 0) AS removed, count(a) AS s
 SELECT doc_id, n AS n_bytes, CAST(removed AS BIGINT) AS n_removed, spans AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept"""
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SOURCE_AUDIT = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, {LOWER} AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM t GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+cell AS (SELECT g.lang, g.source, kept.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n, kept.n AS all_n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p, 1 + 1000000000 * (all_n + 5) // (total + 5 * v) AS q FROM cell JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": LINE_FREQUENCY, "op2_longest_previous_factors": LONGEST_PREVIOUS_FACTORS}
+    return {
+        "op1_line_frequency": LINE_FREQUENCY,
+        "op2_longest_previous_factors": LONGEST_PREVIOUS_FACTORS,
+        "op11_count_level_bitmaps": SOURCE_AUDIT,
+    }
