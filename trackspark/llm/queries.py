@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fuzzy_lines, language_id, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, source_audit, substrings, toxicity
+from . import fuzzy_lines, language_id, lexical_search, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, source_audit, substrings, toxicity
 from .common import documents, original_id
 
 
@@ -60,6 +60,10 @@ def op11_count_level_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(documents(spark, sf_dir))
 
 
+def op12_block_max_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 REGISTERED = (
     op1_line_frequency,
     op2_longest_previous_factors,
@@ -72,6 +76,7 @@ REGISTERED = (
     op9_interleaved_media,
     op10_paragraph_minhash,
     op11_count_level_bitmaps,
+    op12_block_max_maxscore,
     interleaved_pages,
 )
 
@@ -137,9 +142,25 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORD
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
 
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LEXICAL_SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER}, '{TERM}') AS ts FROM documents),
+n AS (SELECT k, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+z AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM n),
+i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all({LOWER}, '{TERM}') AS ts FROM benchmark),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(ts) AS term FROM i) GROUP BY ALL),
+tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(ts) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, z GROUP BY term, nn),
+s AS (SELECT i, item_id, k, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // l)))) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (k), z GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s JOIN n USING (k) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_frequency": LINE_FREQUENCY,
         "op2_longest_previous_factors": LONGEST_PREVIOUS_FACTORS,
         "op11_count_level_bitmaps": SOURCE_AUDIT,
+        "op12_block_max_maxscore": LEXICAL_SEARCH,
     }
