@@ -113,7 +113,8 @@ def prefix_pairs(rows: DataFrame, similar: float) -> DataFrame:
     With the tokens of each node ordered from the rarest on, the first one that two such nodes share is among the first
     n - similar * n + 1 of each, and from it on both have as many tokens left as they must share. Nodes meet by such a
     token and a class of sizes, so that those that only share what is common don't meet, and make a pair if their marks
-    differ in no more bits than their sets may in tokens. Nothing is lost by it.
+    differ in no more bits than their sets may in tokens. Nothing is lost by it. The largest root of a list meets the
+    others of the list alone, so that a large component isn't held against itself.
     """
     often = stored(rows.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1"), "token-counts")
     ranked = rows.select("node", F.explode("tokens").alias("token")).join(often, "token")
@@ -128,17 +129,24 @@ def prefix_pairs(rows: DataFrame, similar: float) -> DataFrame:
     def size_class(column: Column) -> Column:
         return F.floor(F.log(column) / math.log(1.1)).cast("int")
 
-    # a partner t of a node of n tokens, t <= n, has similar * n or more, and similar * (n + t) / (1 + similar) <= left
+    # a partner t of a node of n tokens, t <= n, has similar * n or more, and similar * (n + t) / (1 + similar) <= left;
+    # the smaller one of a pair meets at a token only if it can share what two sets of its size must
     least, most = F.ceil(similar * F.col("size") - 1e-9), F.least(F.col("size"), F.floor(F.col("left") * (1 + similar) / similar - F.col("size") + 1e-9))
     large = heads.filter(least <= most).withColumn("class", F.explode(F.sequence(size_class(least), size_class(most))))
-    small = heads.withColumn("class", size_class(F.col("size")))
-    x, y = large.alias("x"), small.alias("y")
+    small = heads.filter(F.col("left") >= 2 * similar * F.col("size") / (1 + similar) - 1e-9).withColumn("class", size_class(F.col("size")))
+    # nodes of one root need not meet: a list of one root goes, and those of a list's largest root only meet the others
+    by_root = small.groupBy("token", "class", "root").count().groupBy("token", "class").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("roots"))
+    by_root = stored(by_root, "token-roots", compression="zstd")
+    small = small.join(by_root.select("token", "class", "main"), ["token", "class"]).withColumn("other", F.col("root") != F.col("main"))
+    large = large.join(by_root, ["token", "class"]).withColumn("other", F.explode(F.when(F.col("root") != F.col("main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    large = large.filter((F.col("roots") > 1) | ~F.col("other"))
+    x, y = large.drop("main", "roots").alias("x"), small.drop("main").alias("y")
     both = F.col("x.size") + F.col("y.size")
     need = similar * both / (1 + similar) - 1e-9
     apart = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
     pairs = x.join(
         y,
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.other") == F.col("y.other")) & (F.col("x.root") != F.col("y.root"))
         & ((F.col("x.size") > F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
         & (F.least("x.left", "y.left") >= need) & (apart <= both - 2 * need),
     )
