@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fuzzy_lines, language_id, lexical_search, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, source_audit, substrings, toxicity
+from . import fuzzy_lines, language_id, lexical_search, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, set_join, source_audit, substrings, toxicity
 from .common import documents, original_id
 
 
@@ -64,6 +64,10 @@ def op12_block_max_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(documents(spark, sf_dir))
+
+
 REGISTERED = (
     op1_line_frequency,
     op2_longest_previous_factors,
@@ -77,6 +81,7 @@ REGISTERED = (
     op10_paragraph_minhash,
     op11_count_level_bitmaps,
     op12_block_max_maxscore,
+    op13_set_relation_join,
     interleaved_pages,
 )
 
@@ -157,10 +162,23 @@ r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 10"""
 
 
+JACCARD_COMPONENTS = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER}, '{WORD}') AS ws FROM documents),
+s AS (SELECT k, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM d),
+e AS (SELECT k, unnest(sh) AS t FROM s),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM e a JOIN e b ON a.t = b.t AND a.k < b.k GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN s x ON x.k = a JOIN s y ON y.k = b WHERE 100 * n >= 85 * (len(x.sh) + len(y.sh) - n)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT k, k AS m FROM s UNION SELECT reach.k, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.m)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM reach JOIN s USING (k) JOIN s o ON o.k = reach.m GROUP BY s.k, s.doc_id, s.sh"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_frequency": LINE_FREQUENCY,
         "op2_longest_previous_factors": LONGEST_PREVIOUS_FACTORS,
         "op11_count_level_bitmaps": SOURCE_AUDIT,
         "op12_block_max_maxscore": LEXICAL_SEARCH,
+        "op13_set_relation_join": JACCARD_COMPONENTS,
     }
