@@ -221,7 +221,7 @@ def test_equal_words_are_cut_at_equal_places():
     for k in range(200):
         passage = words(rng, 50, 50 if k % 2 else 10**6)
         there = [" ".join(words(rng, rng.randrange(300)) + passage + words(rng, rng.randrange(300))) for _ in range(2)]
-        cuts = [{tuple(w[a:b]) for w, _, found in [paragraphs.cut(t)] for a, b in found} for t in there]
+        cuts = [{tuple(w[a:b]) for w, _, found in [paragraphs.cut(t)] for a, b, _ in found} for t in there]
         inside = {tuple(passage[i : i + paragraphs.SHORTEST]) for i in range(51 - paragraphs.SHORTEST)}
         assert cuts[0] & cuts[1] & inside
 

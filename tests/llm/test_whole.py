@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from trackspark.llm import near, paragraphs, sentence_pieces
+from trackspark.llm.common import documents
 
 
 def words(rng, n, vocabulary=10**6):
@@ -66,3 +67,26 @@ def test_memory_grows_with_a_word_not_with_its_square(merges):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert "".join(model.names[i] for i in np.frombuffer(found[word], np.int32)) == word and peak < 100 << 20
+
+
+def test_documents_with_repeated_runs_lose_them_and_others_stay_whole(spark):
+    """All documents of sf0.01: those with 50 words in a row of an earlier document, those without 30 repeated words in a row."""
+    docs = documents(spark, "/root/testdata/sf0.01")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
+    found = {r["doc_id"]: r for r in paragraphs.remove_paragraphs(docs).collect()}
+    seen, earlier, count = {50: set(), 30: set()}, {}, {}
+    for doc_id, text in rows:
+        words = near.words_of(text)
+        runs = {n: [hash(tuple(words[i : i + n])) for i in range(len(words) - n + 1)] for n in (50, 30)}
+        earlier[doc_id] = any(r in seen[50] for r in runs[50])
+        for r in runs[30]:
+            count[r] = count.get(r, 0) + 1
+        seen[50].update(runs[50])
+    repeats = {d: t for d, t in rows if earlier[d]}
+    assert len(repeats) > 100 and all(found[d]["n_words_removed"] > 0 for d in repeats)
+    own = {d: all(count[hash(tuple(w[i : i + 30]))] == 1 for i in range(len(w) - 29)) for d, t in rows if (w := near.words_of(t)) is not None}
+    alone = [d for d, _ in rows if own[d]]
+    touched = [d for d in alone if found[d]["n_words_removed"]]
+    assert len(alone) > 600 and len(touched) <= 0.005 * len(alone)
+    left = {d: len(near.words_of(found[d]["text"])) for d in found}
+    assert all(left[d] == found[d]["n_words"] - found[d]["n_words_removed"] for d in found)
