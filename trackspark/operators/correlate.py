@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import above, moments, number, pearson, pearson_p
+from . import blocks
 
 
 def align(motion: DataFrame, audio: DataFrame, track: list[str], frame: str = "frame") -> DataFrame:
@@ -31,25 +32,29 @@ def merge_feature_sets(specific: DataFrame, general: DataFrame, audio: DataFrame
     return chosen[mode]().join(audio.select(*track).distinct(), track, "left_semi")
 
 
-def sliding_corr(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", win: int = 15, step: int = 3, fps: float = 30.0, threshold: float = 0.3, alpha: float = 0.05, frame: str = "frame") -> DataFrame:
+def sliding_corr(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", win: int = 15, step: int = 3, fps: float = 30.0, threshold: float = 0.3, alpha: float = 0.05, frame: str = "frame", block: int = blocks.BLOCK) -> DataFrame:
     """Pearson r of each window of `win` frames, every `step` frames: start, time, n, r, p, strong.
 
     Frames are 0..n-1 in each key. Rows where a side is NaN don't count; r is null under two rows or for a constant.
-    Each frame is aggregated once, into panes of gcd(win, step) frames, and windows add up panes; values are centred on
-    the key's mean first. The key's rows are shuffled once.
+    Each frame is aggregated once, into panes of gcd(win, step) frames, and windows add up panes. Rows are shuffled once,
+    by key and block of frames; a block has the frames too that its last windows need, and its values are centred on its
+    mean first.
     """
     if not 0 < step or not 1 < win:
         raise ValueError("win must be over 1 and step over 0; for low frame rates give a longer step")
-    pane = math.gcd(win, step)
+    pane, given = math.gcd(win, step), keys
+    block = -(-max(block, win) // step) * step
+    keys = [*keys, "__block"]
     whole = Window.partitionBy(*keys)
-    centred = pairs.select(
+    centred = blocks.halo(pairs, 0, win, block, frame).select(
         *keys, frame, (F.col(x) - F.avg(number(x)).over(whole)).alias("__x"), (F.col(y) - F.avg(number(y)).over(whole)).alias("__y"),
     )
     panes = centred.groupBy(*keys, F.expr(f"{frame} div {pane}").alias("__pane")).agg(*moments(F.col("__x"), F.col("__y")), F.count("*").alias("__rows"))
     ahead = whole.orderBy("__pane").rowsBetween(0, win // pane - 1)
     sums = {c: F.coalesce(F.sum(c).over(ahead), F.lit(0)) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "__rows")}
-    windows = panes.withColumns(sums).filter((F.col("__rows") == win) & (F.col("__pane") % (step // pane) == 0))
-    windows = windows.select(*keys, (F.col("__pane") * pane).alias("start"), (F.col("__pane") * pane / F.lit(float(fps))).alias("time"), "n", pearson().alias("r"))
+    starts_here = blocks.block_of("__pane", block // pane) == F.col("__block")
+    windows = panes.withColumns(sums).filter((F.col("__rows") == win) & (F.col("__pane") % (step // pane) == 0) & starts_here)
+    windows = windows.select(*given, (F.col("__pane") * pane).alias("start"), (F.col("__pane") * pane / F.lit(float(fps))).alias("time"), "n", pearson().alias("r"))
     return windows.withColumn("p", pearson_p("r", "n")).withColumn("strong", F.coalesce((F.col("p") < alpha) & (F.abs("r") > threshold), F.lit(False)))
 
 
@@ -58,8 +63,7 @@ def masked_sliding_corr(pairs: DataFrame, keys: list[str], mask_columns: list[st
     known = F.lit(True)
     for c in mask_columns:
         known &= ~F.isnan(c)
-    dense = pairs.filter(known).withColumn(frame, F.row_number().over(Window.partitionBy(*keys).orderBy(frame)).cast("long") - 1)
-    return sliding_corr(dense, keys, win=win, frame=frame, **parameters)
+    return sliding_corr(blocks.close_up(pairs.filter(known), keys, frame=frame), keys, win=win, frame=frame, **parameters)
 
 
 def cross_corr_windows(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", win: int = 150, max_lag: int = 30, least: float = 1e-6, frame: str = "frame") -> DataFrame:

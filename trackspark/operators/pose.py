@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan, above
+from .blocks import in_blocks
 from .timeaxis import gradient
 
 # Points of the 133-point whole-body layout, and of the 68-point face, by part.
@@ -117,7 +118,7 @@ def bow_arm_features(frames: DataFrame, track: list[str], fps: float = 30.0, arm
     """wrist_speed, elbow_angle in degrees and arm_extension (shoulder to wrist) of one arm (shoulder, elbow, wrist)."""
     point = {n: F.element_at(kp, i + 1) for n, i in zip("sew", arm)}
     flat = frames.select(*track, frame, *(point[n][axis].alias(f"{n}{axis}") for n in "sew" for axis in "xy"))
-    moved = gradient(flat, track, {"vx": "wx", "vy": "wy"}, fps, frame)
+    moved = in_blocks(flat, track, 1, lambda rows, keys: gradient(rows, keys, {"vx": "wx", "vy": "wy"}, fps, frame), frame=frame)
     c = F.col
     dot = (c("sx") - c("ex")) * (c("wx") - c("ex")) + (c("sy") - c("ey")) * (c("wy") - c("ey"))
     norms = distance(c("sx"), c("sy"), c("ex"), c("ey")) * distance(c("wx"), c("wy"), c("ex"), c("ey"))

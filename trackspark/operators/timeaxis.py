@@ -1,4 +1,8 @@
-"""Operators along a track's frames. A chain of them on one track key plans with one shuffle and one sort."""
+"""Operators along a track's frames.
+
+Smoothing and gradients look a few frames either way: a chain of them on one track key plans with one shuffle and one
+sort, and blocks.in_blocks() runs the same chain on blocks of long tracks. Gaps and runs of any length are found in blocks.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import nan, elementwise, moments, number, pearson, savgol_weights
+from . import blocks
 
 
 def over(track: list[str], frame: str):
@@ -61,20 +66,19 @@ def speed_acceleration(df: DataFrame, track: list[str], x: str = "x", y: str = "
     return df.withColumns(out).drop("__vx", "__vy", "__ax", "__ay")
 
 
-def fill_nan_frames(df: DataFrame, track: list[str], columns: list[str], frame: str = "frame") -> DataFrame:
+def fill_nan_frames(df: DataFrame, track: list[str], columns: list[str], frame: str = "frame", block: int = blocks.BLOCK) -> DataFrame:
     """Where all `columns` are NaN, the midpoint of the previous and next frame that isn't, or the one that exists."""
     missing = F.lit(True)
     for c in columns:
         missing &= F.isnan(c) | F.isnull(c)
     df = df.withColumn("__missing", missing)
-    order = over(track, frame)
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    known = {f"__{c}": F.when(~F.col("__missing"), F.col(c)) for c in columns}
+    df = blocks.neighbours_known(df, track, known, block, frame)
     out = {}
     for c in columns:
-        known = F.when(~F.col("__missing"), F.col(c))
-        before, after = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
+        before, after = F.col(f"__{c}_before"), F.col(f"__{c}_after")
         out[c] = F.when(F.col("__missing"), F.coalesce((before + after) / 2, before, after, F.col(c))).otherwise(F.col(c))
-    return df.withColumns(out).drop("__missing")
+    return df.withColumns(out).drop("__missing", *(f"__{c}_{side}" for c in columns for side in ("before", "after")))
 
 
 def grid(df: DataFrame, track: list[str], position: Column, length: str = "__m", frame: str = "frame", value: str = "value") -> DataFrame:
@@ -114,10 +118,9 @@ def interp_corr(a: DataFrame, b: DataFrame, track: list[str], frame: str = "fram
     return both.groupBy(*track).agg(*moments(F.col(value), F.col("__other"))).select(*track, pearson().alias("r"))
 
 
-def islands(df: DataFrame, track: list[str], flag: Column, frame: str = "frame") -> DataFrame:
+def islands(df: DataFrame, track: list[str], flag: Column, frame: str = "frame", block: int = blocks.BLOCK) -> DataFrame:
     """Runs of consecutive flagged frames as inclusive intervals (start, end)."""
-    runs = df.filter(flag).withColumn("__run", F.col(frame) - F.row_number().over(over(track, frame)))
-    return runs.groupBy(*track, "__run").agg(F.min(frame).alias("start"), F.max(frame).alias("end")).drop("__run")
+    return blocks.stitched_runs(df, track, flag, block, frame)
 
 
 def robust_scale(df: DataFrame, track: list[str], value: str = "value", low: float = 0.05, high: float = 0.95) -> DataFrame:

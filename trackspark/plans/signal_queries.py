@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audio, correlate, select, timeaxis
+from ..operators import audio, blocks, correlate, select, timeaxis
 from . import workloads
 from .registry import query
 from .standins import GAPPY, LINES, SIGNALS, gappy, lines, out, q, signals
@@ -196,7 +196,7 @@ FRAMES = "WINDOW o AS (PARTITION BY track ORDER BY frame), w AS (PARTITION BY tr
 
 @query(f"WITH {SIGNALS} SELECT track, frame, {q(savgol('x'), 5)} AS x, {q(savgol('y'), 5)} AS y FROM signals {FRAMES}")
 def w2_smooth(spark, sf_dir):
-    found = timeaxis.smooth(signals(spark, sf_dir), TRACK, ["x", "y"])
+    found = blocks.in_blocks(signals(spark, sf_dir), TRACK, 2, lambda rows, keys: timeaxis.smooth(rows, keys, ["x", "y"]))
     return found.select("track", "frame", out("x", 5).alias("x"), out("y", 5).alias("y"))
 
 
@@ -206,7 +206,7 @@ def slope(c: str) -> str:
 
 @query(f"WITH {SIGNALS} SELECT track, frame, {q(slope('x'))} AS dx FROM signals {FRAMES}")
 def w3_gradient(spark, sf_dir):
-    found = timeaxis.gradient(signals(spark, sf_dir), TRACK, {"dx": "x"}, 30.0)
+    found = blocks.in_blocks(signals(spark, sf_dir), TRACK, 1, lambda rows, keys: timeaxis.gradient(rows, keys, {"dx": "x"}, 30.0))
     return found.select("track", "frame", out("dx").alias("dx"))
 
 
@@ -214,7 +214,7 @@ def w3_gradient(spark, sf_dir):
 a AS (SELECT track, frame, vx, vy, {slope('vx')} AS ax, {slope('vy')} AS ay FROM v {FRAMES})
 SELECT track, frame, {q('sqrt(vx * vx + vy * vy)', 4)} AS speed, {q('sqrt(ax * ax + ay * ay)', 4)} AS acceleration FROM a""")
 def w4_speed_acceleration(spark, sf_dir):
-    found = timeaxis.speed_acceleration(signals(spark, sf_dir), TRACK, fps=30.0)
+    found = blocks.in_blocks(signals(spark, sf_dir), TRACK, 2, lambda rows, keys: timeaxis.speed_acceleration(rows, keys, fps=30.0))
     return found.select("track", "frame", out("speed", 4).alias("speed"), out("acceleration", 4).alias("acceleration"))
 
 

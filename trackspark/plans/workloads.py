@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import correlate, pose, select, timeaxis
+from ..operators import blocks, correlate, pose, select, timeaxis
 
 
-def motion_features(frames: DataFrame, track: list[str], parts: DataFrame, dropped: list[int], fps: float = 30.0, limit: float = 3.0) -> DataFrame:
+def motion_features(frames: DataFrame, track: list[str], parts: DataFrame, dropped: list[int], fps: float = 30.0, limit: float = 3.0, block: int = blocks.BLOCK) -> DataFrame:
     """Frames of points (kp, score arrays) to mean speed and acceleration of each part: normalise, drop points, smooth,
-    mask, differentiate, average. Arrays stay one row per frame up to the part means; the track is shuffled once."""
+    mask, differentiate, average. Arrays stay one row per frame up to the part means; rows are shuffled once, by track and
+    block of frames, with the four frames on either side that smoothing and both gradients look at."""
     rows = pose.normalize_frame(frames)
     keep = lambda c: F.filter(c, lambda p, i: ~i.isin(*dropped)) if dropped else F.col(c)
     size = F.size("kp")
     kept = F.filter(F.sequence(F.lit(0), size - 1), lambda i: ~i.isin(*dropped)) if dropped else F.sequence(F.lit(0), size - 1)
     rows = rows.withColumns({"__at": kept, "kp": keep("kp"), "score": keep("score")})
     rows = rows.withColumns({"x": F.transform("kp", lambda p: p["x"]), "y": F.transform("kp", lambda p: p["y"])}).drop("kp")
-    rows = timeaxis.smooth(rows, track, ["x", "y"])
     nan = F.lit(float("nan"))
     masked = {c: F.zip_with(c, "score", lambda v, s: F.when(~F.isnan(s) & (s < limit), nan).otherwise(v)) for c in "xy"}
-    rows = timeaxis.speed_acceleration(rows.withColumns(masked), track, fps=fps)
+
+    def moved(wide: DataFrame, keys: list[str]) -> DataFrame:
+        return timeaxis.speed_acceleration(timeaxis.smooth(wide, keys, ["x", "y"]).withColumns(masked), keys, fps=fps)
+
+    rows = blocks.in_blocks(rows, track, 4, moved, block)
     points = rows.select(*track, "frame", F.explode(F.arrays_zip("__at", "speed", "acceleration")).alias("p"))
     points = points.select(*track, "frame", F.col("p.__at").alias("kp"), "p.speed", "p.acceleration")
     return timeaxis.part_means(points, [*track, "frame"], parts, ["speed", "acceleration"])

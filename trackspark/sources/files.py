@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,18 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import scratch  # noqa: F401  the queries' folder for files
+
 SONG = (
     "struct<layout:array<string>,moving_camera:boolean,fps:double,duration:double,correct_body_detection:boolean,"
     "face_false_positive_frames:array<array<int>>>"
 )
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trackspark-")
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def nested(spark: SparkSession, path: str, leaf: str, lines: bool) -> DataFrame:
     """artist, song, value of JSON that nests artist -> song -> value of type `leaf`; an object a file, or a line."""
     raw = spark.read.text(path, wholetext=not lines).select(F.from_json("value", f"map<string,map<string,{leaf}>>").alias("j"))
