@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ks_p, moments, number, pearson
+from .ranks import counts_before, mean_ranks, percentiles, range_starts, value_ranges
 
 
 def finite(c: str) -> Column:
@@ -76,17 +77,27 @@ def explode_feature_means(records: DataFrame, keys: list[str], scale: str, bias:
 
 
 def describe(df: DataFrame, column: str, by: str | None = None, approx: bool = False) -> DataFrame:
-    """n, mean, population deviation and p50, 75, 90, 95, 99; `approx` for columns too large for exact percentiles."""
+    """n, mean, population deviation and p50, 75, 90, 95, 99, exact for a column or groups of any size; with `approx` in one
+    pass, by sketches."""
     q = [0.5, 0.75, 0.9, 0.95, 0.99]
-    found = F.percentile_approx(column, q, 100_000) if approx else F.percentile(column, q)
-    aggs = [F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), *(found[i].alias(f"p{round(p * 100)}") for i, p in enumerate(q))]
-    return df.groupBy(*([by] if by else [])).agg(*aggs)
+    keys = [by] if by else []
+    aggs = [F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std")]
+    if approx:
+        found = df.groupBy(*keys).agg(*aggs, F.percentile_approx(column, q, 100_000).alias("percentiles"))
+    else:
+        sums, places = df.groupBy(*keys).agg(*aggs), percentiles(df, keys, column, q)
+        if by:
+            places = places.withColumnRenamed(by, "__by")
+            found = sums.join(places, sums[by].eqNullSafe(places["__by"]), "left")
+        else:
+            found = sums.join(places, F.lit(True), "left")  # one row each
+    return found.select(*keys, "n", "mean", "std", *(F.col("percentiles")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(q)))
 
 
 def fd_histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
     """bin, low, count of equal-width bins; their number by Freedman and Diaconis within 10..300, else 100."""
-    q = F.percentile(column, [0.25, 0.75])
-    edges = df.agg(q.alias("q"), F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n"))
+    edges = df.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n"))
+    edges = edges.join(percentiles(df, [], column, [0.25, 0.75]).select(F.col("percentiles").alias("q")), F.lit(True), "left")  # one row each
     width = 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow(F.col("n"), F.lit(1 / 3))
     free = F.ceil((F.col("high") - F.col("low")) / F.nullif(width, F.lit(0.0)))
     number_of = F.lit(bins) if bins else F.when(free.isNotNull(), F.greatest(F.lit(10), F.least(F.lit(300), free))).otherwise(100)
@@ -97,28 +108,25 @@ def fd_histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFra
     return rows.groupBy(place.alias("bin")).agg(F.first(F.col("low") + place * F.coalesce(step, F.lit(0.0))).alias("low"), F.count("*").alias("count"))
 
 
-def ks_two_sample(df: DataFrame, column: str, group: str) -> DataFrame:
-    """Kolmogorov-Smirnov statistic and p-value between the first two groups by name.
+def ks_two_sample(df: DataFrame, column: str, group: str, ranges: int | None = None) -> DataFrame:
+    """Kolmogorov-Smirnov statistic and p-value between the first two groups by name; null and NaN values don't count.
 
-    Rows are counted per distinct value; sums over values run within ranges of a range partition and then over the
-    ranges' totals, so that no task has all values.
+    Both groups are counted per distinct value; the running counts come from ranges of equally many distinct values, so
+    that neither outliers nor a common value send all to one task.
     """
     names = [r[0] for r in df.select(group).distinct().orderBy(group).limit(2).collect()]
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "statistic double, p double")
-    counts = df.filter(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(F.col(column).alias("v")).agg(*(F.count(F.when(F.col(group) == n, 1)).alias(c) for n, c in zip(names, "ab")))
-    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("a").alias("na"), F.sum("b").alias("nb")).first()
-    if not ends["na"] or not ends["nb"]:
+    rows = df.filter(F.col(column).isNotNull() & ~F.isnan(column) & F.col(group).isin(names)).select(F.col(column).alias("v"), group)
+    ranged = value_ranges(rows, [], "v", {c: F.count(F.when(F.col(group) == n, 1)) for n, c in zip(names, "ab")}, ranges)
+    starts = range_starts(ranged, [], ["a", "b"])
+    total = starts.agg(F.sum("a_in").alias("a"), F.sum("b_in").alias("b")).first()
+    if not total["a"] or not total["b"]:
         return df.sparkSession.createDataFrame([], "statistic double, p double")
-    step = (ends["high"] - ends["low"]) / 1024 or 1.0
-    ranged = counts.withColumn("range", F.floor((F.col("v") - ends["low"]) / step))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most 1025 ranges
-    totals = ranged.groupBy("range").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    totals = totals.select("range", *(F.coalesce(F.sum(t).over(before), F.lit(0)).alias(t) for t in ("ta", "tb")))
-    upto = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    sums = ranged.join(totals, "range").select(*((F.col(t) + F.sum(c).over(upto)).alias(c) for t, c in (("ta", "a"), ("tb", "b"))))
-    found = sums.agg(F.max(F.abs(F.col("a") / ends["na"] - F.col("b") / ends["nb"])).alias("statistic"))
-    p = F.udf(lambda d: ks_p(d, ends["na"], ends["nb"]), "double", useArrow=True)
+    sums = counts_before(ranged, starts, [], "v", ["a", "b"])
+    upto = {c: (F.col(f"{c}_before") + F.col(c)) / total[c] for c in "ab"}
+    found = sums.agg(F.max(F.abs(upto["a"] - upto["b"])).alias("statistic"))
+    p = F.udf(lambda d: ks_p(d, total["a"], total["b"]), "double", useArrow=True)
     return found.withColumn("p", p("statistic"))
 
 
@@ -132,16 +140,13 @@ def rows_of_top(df: DataFrame, top: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pearson_spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
-    """Both coefficients by `by`; ties have the mean of their ranks. Ranks come from counts of distinct values."""
+    """Both coefficients by `by`; ties have the mean of their ranks. A group's ranks come from several tasks (see ranks)."""
     known = df.filter(number(x).isNotNull() & number(y).isNotNull()).select(by, F.col(x).alias("x"), F.col(y).alias("y"))
     for c in "xy":
-        counts = known.groupBy(by, c).agg(F.count("*").alias("n"))
-        before = Window.partitionBy(by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(by, c, (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"r{c}"))
-        known = known.join(ranks, [by, c])
-    linear = known.groupBy(by).agg(*moments(F.col("x"), F.col("y"))).select(by, pearson().alias("pearson"))
-    ranked = known.groupBy(by).agg(*moments(F.col("rx"), F.col("ry"))).select(by, pearson().alias("spearman"))
-    return linear.join(ranked, by)
+        known = known.join(mean_ranks(known, [by], c, f"r{c}"), [by, c])
+    both = known.groupBy(by).agg(F.struct(*moments(F.col("x"), F.col("y"))).alias("p"), F.struct(*moments(F.col("rx"), F.col("ry"))).alias("s"))
+    r = lambda p: pearson(*(F.col(f"{p}.{c}") for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+    return both.select(by, r("p").alias("pearson"), r("s").alias("spearman"))
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:

@@ -33,8 +33,10 @@ def select_songs(
     return songs.filter(keep)
 
 
-def exclude_songs(songs: DataFrame, deny: list[tuple[str, str]]) -> DataFrame:
-    """Without the listed (artist, song) pairs."""
+def exclude_songs(songs: DataFrame, deny: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    """Without the listed (artist, song) pairs, a table or a list."""
+    if isinstance(deny, DataFrame):
+        return songs.join(deny.select("artist", "song"), ["artist", "song"], "left_anti")
     listed = songs.sparkSession.createDataFrame(deny or [("", "")], "artist string, song string")
     return songs.join(F.broadcast(listed) if len(deny) < 10_000 else listed, ["artist", "song"], "left_anti")
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .pose import distance
 from .timeaxis import islands
@@ -27,36 +32,86 @@ def adaptive_thresholds(detections: DataFrame, keys: list[str], songs: DataFrame
     return songs.select(*keys).distinct().join(found, keys, "left").na.fill({"radius": 100.0, "height": 150.0})
 
 
-def cluster_centers(detections: DataFrame, thresholds: DataFrame, keys: list[str], share: float = 0.66) -> DataFrame:
+class Leaders:
+    """Running cluster centres of one song: a point joins the first centre within `limit`, whose mean it moves, or is a new one.
+
+    Centres lie in square cells a little wider than `limit`, so that only those of nine cells can be near a point.
+    """
+
+    def __init__(self, limit: float):
+        self.limit, self.width = limit, limit * 1.000001 or 1.0
+        self.found: list[list[float]] = []
+        self.cells: dict[tuple[int, int], list[int]] = {}
+
+    def cell(self, x: float, y: float) -> tuple[int, int]:
+        return math.floor(x / self.width), math.floor(y / self.width)
+
+    def add(self, x: float, y: float) -> None:
+        here = self.cell(x, y)
+        first = None
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                for k in self.cells.get((here[0] + i, here[1] + j), ()):
+                    if (first is None or k < first) and math.hypot(self.found[k][0] - x, self.found[k][1] - y) < self.limit:
+                        first = k
+        if first is None:
+            self.cells.setdefault(here, []).append(len(self.found))
+            self.found.append([x, y, 1])
+            return
+        c = self.found[first]
+        before = self.cell(c[0], c[1])
+        c[2] += 1
+        c[0] += (x - c[0]) / c[2]
+        c[1] += (y - c[1]) / c[2]
+        after = self.cell(c[0], c[1])
+        if after != before:
+            self.cells[before].remove(first)
+            self.cells.setdefault(after, []).append(first)
+
+
+def cluster_centers(detections: DataFrame, thresholds: DataFrame, keys: list[str], share: float = 0.66, frames: DataFrame | None = None) -> DataFrame:
     """Clusters of box centres (center, x, y, count) found in more than `share` of the song's frames.
 
-    In (frame, subj) order a box joins the first cluster within the radius, whose running mean it moves, or makes a new
-    one. The order decides, so a song is one group; only four narrow columns are sent to it.
+    In (frame, subj) order a box joins the first cluster within the radius, whose running mean it moves, or makes a new one.
+    `frames` (keys, frame) has all frames of the songs; without it those count that have a box. The order decides, so a
+    song's boxes pass through one task, in sorted batches: only the centres are held, never the song. Boxes without centre
+    are skipped.
     """
-    rows = with_centers(detections).join(thresholds, keys).select(*keys, "frame", "subj", "cx", "cy", "radius")
-
-    def leaders(song: pd.DataFrame) -> pd.DataFrame:
-        found: list[list[float]] = []
-        song = song.sort_values(["frame", "subj"])
-        limit = float(song["radius"].iloc[0])
-        for x, y in zip(song["cx"].tolist(), song["cy"].tolist()):
-            for c in found:
-                if ((c[0] - x) ** 2 + (c[1] - y) ** 2) ** 0.5 < limit:
-                    c[2] += 1
-                    c[0] += (x - c[0]) / c[2]
-                    c[1] += (y - c[1]) / c[2]
-                    break
-            else:
-                found.append([x, y, 1])
-        least = share * song["frame"].nunique()
-        kept = [(i, *c) for i, c in enumerate(found) if c[2] > least]
-        out = pd.DataFrame(kept, columns=["center", "x", "y", "count"])
-        for k in keys:
-            out[k] = song[k].iloc[0]
-        return out[[*keys, "center", "x", "y", "count"]]
-
-    types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(leaders, f"{types}, center long, x double, y double, count long")
+    rows = with_centers(detections).filter(F.col("cx").isNotNull() & F.col("cy").isNotNull() & ~F.isnan("cx") & ~F.isnan("cy"))
+    limits = thresholds.select(*keys, F.col("radius").cast("double").alias("radius"))
+    if frames is not None:
+        limits = limits.join(frames.groupBy(*keys).agg(F.countDistinct("frame").alias("__frames")), keys)
+    rows = rows.join(limits, keys)
+    rows = rows.select(*keys, "frame", "subj", "cx", "cy", "radius", *(["__frames"] if frames is not None else []))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "frame", "subj")
+    made = [T.StructField("center", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("count", T.LongType())]
+    schema = T.StructType([rows.schema[k] for k in keys] + made)
+    types, at, counted = to_arrow_schema(schema), len(keys), frames is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = leaders = frame = total = None
+        seen = 0
+
+        def closed() -> pa.RecordBatch:
+            least = share * (total if total is not None else seen)
+            kept = [(*key, i, c[0], c[1], int(c[2])) for i, c in enumerate(leaders.found) if c[2] > least]
+            return pa.RecordBatch.from_pylist([dict(zip(types.names, row)) for row in kept], schema=types)
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            of = list(zip(*columns[:at]))
+            for k, f, x, y, radius, n in zip(of, columns[at], *columns[at + 2 : at + 5], columns[at + 5] if counted else [None] * len(of)):
+                if leaders is None or k != key:
+                    if leaders is not None:
+                        yield closed()
+                    key, leaders, frame, total, seen = k, Leaders(radius), None, n, 0
+                if f != frame:
+                    frame, seen = f, seen + 1
+                leaders.add(x, y)
+        if leaders is not None:
+            yield closed()
+
+    return rows.mapInArrow(run, schema)
 
 
 def drop_high_outliers(centers: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,26 +135,30 @@ def pick_performers(centers: DataFrame, songs: DataFrame, keys: list[str]) -> Da
     return rows.withColumn("instrument", F.element_at("layout", F.col("__r"))).select(*keys, "instrument", "center", "x", "y", "complete")
 
 
-def assign_nearest(detections: DataFrame, performers: DataFrame, thresholds: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def assign_nearest(detections: DataFrame, performers: DataFrame, thresholds: DataFrame, keys: list[str], values: list[str], frames: DataFrame | None = None) -> DataFrame:
     """For each performer and frame the `values` of the box whose nearest centre it is, within the radius.
 
-    Of several boxes the last subject wins; frames without one have nulls.
+    Of several boxes the last subject wins; frames without one have nulls. `frames` (keys, frame) has all frames, those
+    without any box too; without it the frames are those of the boxes.
     """
     boxes = with_centers(detections).join(thresholds.select(*keys, "radius"), keys)
     near = boxes.join(performers.select(*keys, "instrument", "x", "y"), keys).withColumn("__d", distance(F.col("cx"), F.col("cy"), F.col("x"), F.col("y")))
     best = near.groupBy(*keys, "frame", "subj", *values, "radius").agg(F.min_by("instrument", F.struct("__d", "x")).alias("instrument"), F.min("__d").alias("__d"))
     won = best.filter(F.col("__d") < F.col("radius")).groupBy(*keys, "instrument", "frame").agg(F.max_by(F.struct(*values), "subj").alias("__v"))
-    spine = performers.select(*keys, "instrument").join(detections.select(*keys, "frame").distinct(), keys)
+    spine = performers.select(*keys, "instrument").join((detections if frames is None else frames).select(*keys, "frame").distinct(), keys)
     return spine.join(won, [*keys, "instrument", "frame"], "left").select(*keys, "instrument", "frame", *(F.col(f"__v.{v}").alias(v) for v in values))
 
 
-def build_tracks(detections: DataFrame, songs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """One row per (song, instrument, frame), of songs with a layout and a camera that doesn't move."""
+def build_tracks(detections: DataFrame, songs: DataFrame, keys: list[str], values: list[str], frames: DataFrame | None = None, share: float = 0.66) -> DataFrame:
+    """One row per (song, instrument, frame), of songs with a layout and a camera that doesn't move.
+
+    `frames` (keys, frame) has all frames of the songs, those without a box too.
+    """
     usable = songs.filter(F.col("layout").isNotNull() & ~F.coalesce("moving_camera", F.lit(False)))
     boxes = detections.join(usable.select(*keys), keys, "left_semi")
     limits = adaptive_thresholds(boxes, keys)
-    centers = drop_high_outliers(cluster_centers(boxes, limits, keys), limits, keys)
-    return assign_nearest(boxes, pick_performers(centers, usable, keys), limits, keys, values)
+    centers = drop_high_outliers(cluster_centers(boxes, limits, keys, share, frames), limits, keys)
+    return assign_nearest(boxes, pick_performers(centers, usable, keys), limits, keys, values, frames)
 
 
 def face_false_positives(face: DataFrame, body: DataFrame, track: list[str], limit: float = 120.0) -> DataFrame:

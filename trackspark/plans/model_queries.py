@@ -239,10 +239,17 @@ def m8_fd_histogram(spark, sf_dir):
     return rounded(modulation.fd_histogram(lines(spark, sf_dir), "l_extendedprice"), "low", digits=4)
 
 
-@query(f"""WITH {LINES}, v AS (SELECT l_quantity AS v, count(*) FILTER (track = 0) AS a, count(*) FILTER (track = 1) AS b FROM lines GROUP BY 1),
+@query(f"""WITH {LINES}, v AS (SELECT l_extendedprice AS v, count(*) FILTER (track % 2 = 0) AS a, count(*) FILTER (track % 2 = 1) AS b FROM lines GROUP BY 1),
 c AS (SELECT sum(a) OVER (ORDER BY v) / (SELECT sum(a) FROM v) AS fa, sum(b) OVER (ORDER BY v) / (SELECT sum(b) FROM v) AS fb FROM v) SELECT {q('max(abs(fa - fb))')} AS statistic FROM c""")
 def m9_ks_two_sample(spark, sf_dir):
-    return modulation.ks_two_sample(lines(spark, sf_dir), "l_quantity", "track").select(out("statistic").alias("statistic"))
+    rows = lines(spark, sf_dir).withColumn("grp", F.col("track") % 2)
+    return modulation.ks_two_sample(rows, "l_extendedprice", "grp").select(out("statistic").alias("statistic"))
+
+
+@query(f"WITH {LINES} SELECT count(*) AS n, {q('avg(l_extendedprice)', 4)} AS mean, {q('stddev_pop(l_extendedprice)', 3)} AS std, {', '.join(q(f'quantile_cont(l_extendedprice, {p})', 4) + f' AS p{n}' for n, p in QUANTILES)} FROM lines")
+def m7_describe_whole(spark, sf_dir):
+    found = modulation.describe(lines(spark, sf_dir), "l_extendedprice")
+    return found.select("n", out("mean", 4).alias("mean"), out("std", 3).alias("std"), *(out(f"p{n}", 4).alias(f"p{n}") for n, _ in QUANTILES))
 
 
 @query(f"WITH {MODULATION}, t AS (SELECT song, f, avg(abs(gamma)) AS mean FROM modulation GROUP BY 1, 2) SELECT song, f, {q('mean')} AS mean FROM t ORDER BY t.mean DESC, song, f LIMIT 15")

@@ -158,7 +158,7 @@ def p1_select_songs(spark, sf_dir):
 @query(f"WITH {SONGS} SELECT artist, song FROM songs WHERE song NOT IN ('Customer#000000003', 'Customer#000000005') OR artist NOT IN (SELECT artist FROM songs WHERE song IN ('Customer#000000003', 'Customer#000000005'))")
 def p2_exclude_songs(spark, sf_dir):
     rows = songs(spark, sf_dir)
-    deny = [tuple(r) for r in rows.filter("song in ('Customer#000000003', 'Customer#000000005')").select("artist", "song").collect()]
+    deny = rows.filter("song in ('Customer#000000003', 'Customer#000000005')").select("artist", "song")
     return select.exclude_songs(rows, deny).select("artist", "song")
 
 
@@ -311,15 +311,21 @@ def j7_assign_nearest(spark, sf_dir):
     return found.withColumns({"x0": out("x0"), "y0": out("y0")})
 
 
-@query()
-def t5_build_tracks(spark, sf_dir):
-    """Boxes of a few steady performers among the stand-in's noise."""
+def steady_boxes(spark, sf_dir):
+    """Boxes of a few steady performers among the stand-in's noise, the songs' records, and all their frames: each tenth frame
+    has lost its boxes."""
     noise = detections(spark, sf_dir)
+    frames_ = noise.select("song", "frame").distinct()
     spots = F.array(*(F.struct(F.lit(100 + k).cast("long").alias("subj"), F.lit(150.0 + 350 * k).alias("cx"), F.lit(300.0).alias("cy")) for k in range(3)))
-    steady = noise.select("song", "frame").distinct().select("song", "frame", F.inline(spots))
+    steady = frames_.select("song", "frame", F.inline(spots))
     steady = steady.select("song", "frame", "subj", (F.col("cx") - 10).alias("x0"), (F.col("cy") - 20).alias("y0"), (F.col("cx") + 10).alias("x1"), (F.col("cy") + 20).alias("y1"))
-    records = layouts(noise).withColumn("moving_camera", F.col("song") == 4)
-    found = tracks.build_tracks(noise.unionByName(steady), records, SONG, ["x0", "y0"])
+    return noise.unionByName(steady).filter("frame % 10 <> 3"), layouts(noise).withColumn("moving_camera", F.col("song") == 4), frames_
+
+
+@query()
+def t5_build_tracks(spark, sf_dir):
+    boxes, records, frames_ = steady_boxes(spark, sf_dir)
+    found = tracks.build_tracks(boxes, records, SONG, ["x0", "y0"], frames_)
     return found.withColumns({"x0": out("x0"), "y0": out("y0")})
 
 
