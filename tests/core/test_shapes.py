@@ -103,7 +103,7 @@ def test_samples(spark):
     wide = np.concatenate((np.zeros(16), x, np.zeros(32)))
     np.testing.assert_allclose(got, [math.sqrt((wide[k * 16 : k * 16 + 32] ** 2).mean()) for k in range(100 // 16 + 1)])
     onset = [r["onset_env"] for r in audio.onset_envelope(df, ["track"], hop=16, bands=4).orderBy("frame").collect()]
-    assert len(onset) == 6 and onset[0] == 0 and min(onset) >= 0
+    assert len(onset) == 100 // 16 + 1 and onset[0] == onset[1] == 0 and min(onset) >= 0
     files_ = spark.createDataFrame([("a", c, 0, v) for c, v in (("1", 8.0), ("2", 4.0), ("3", 2.0))], "track string, channel string, i long, y double")
     assert audio.mix_channels(files_, ["track"]).first()["y"] == (((8 + 4) / 2) + 2) / 2
     noisy = spark.createDataFrame([(0, float(v + 0.1 * (-1) ** i), float(2 * v)) for i, v in enumerate(x)], "chunk int, est double, ref double")

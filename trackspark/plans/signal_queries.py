@@ -132,13 +132,12 @@ def j1_align(spark, sf_dir):
     return correlate.align(rows.select("track", "frame", "x"), short, TRACK)
 
 
-@query(f"""WITH {SIGNALS} SELECT track, 'instrument::wrist' AS feature, frame, x AS value FROM signals WHERE track % 3 <> 0
-UNION ALL SELECT track, 'general::body', frame, y FROM signals WHERE track % 3 <> 0""")
+@query(f"""WITH {SIGNALS} SELECT track, 'instrument::wrist' AS feature, frame, x AS value FROM signals UNION ALL SELECT track, 'general::body', frame, y FROM signals""")
 def j3_merge_feature_sets(spark, sf_dir):
     rows = signals(spark, sf_dir)
     one = rows.select("track", F.lit("wrist").alias("feature"), "frame", F.col("x").alias("value"))
     two = rows.select("track", F.lit("body").alias("feature"), "frame", F.col("y").alias("value"))
-    return correlate.merge_feature_sets(one, two, rows.filter("track % 3 <> 0"), TRACK)
+    return correlate.merge_feature_sets(one, two, rows, TRACK)
 
 
 @query(f"""WITH {PAIRS}{WINDOWS}, hit AS (SELECT p.track, p.frame, 'p' || (w.start % 2) AS part FROM pairs p JOIN windows w ON p.track = w.track AND w.strong
@@ -173,10 +172,12 @@ def a9_lag_profile(spark, sf_dir):
     return correlate.lag_profile(cross, "grp", "pair").withColumns({"mean_c": out("mean_c", 5), "std_c": out("std_c", 5)})
 
 
-@query(f"""WITH {LINES}, c AS (SELECT track, count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lines GROUP BY 1)
-SELECT track, n, {q('r')} AS r FROM c WHERE r > 0.25""")
+@query(f"""WITH {GAPPY}, c AS (SELECT track, frame // 12 AS part, count(x) AS n, corr(x, y + x / 3) FILTER (x IS NOT NULL) AS r FROM gappy GROUP BY 1, 2)
+SELECT track, CAST(part AS BIGINT) AS part, n, {q('r')} AS r FROM c WHERE n > 2 AND r > 0.25 AND abs(r) > ({STRONG_AT})""")
 def a2_global_corr(spark, sf_dir):
-    return correlate.global_corr(lines(spark, sf_dir), TRACK, "l_quantity", "l_extendedprice").select("track", "n", out("r").alias("r"))
+    """Parts of 12 frames: the p test leaves out many whose r is over the limit."""
+    rows = gappy(spark, sf_dir).select("track", F.expr("frame div 12").alias("part"), "x", (F.col("y") + F.col("x") / 3).alias("y"))
+    return correlate.global_corr(rows, ["track", "part"]).select("track", "part", "n", out("r").alias("r"))
 
 
 # --- time axis
@@ -245,17 +246,18 @@ def w10_resample_rate(spark, sf_dir):
     return timeaxis.resample_rate(rows, TRACK, "fps").select("track", F.col("frame").cast("long").alias("frame"), out("value", 9).alias("value"))
 
 
-@query(f"""WITH {SIGNALS}, a AS (SELECT track, frame, x FROM signals), b AS (SELECT track, frame, y FROM signals WHERE frame < 40),
-s AS (SELECT a.track, count(*) AS la, (SELECT count(*) FROM b WHERE b.track = a.track) AS lb FROM a GROUP BY 1),
+@query(f"""WITH {SIGNALS}, a AS (SELECT track, frame, x FROM signals), b AS (SELECT track, 2 * frame AS frame, y FROM signals UNION ALL SELECT track, 2 * frame + 1, (x + y) / 2 FROM signals),
+s AS (SELECT track, count(*) AS la, 2 * count(*) AS lb FROM a GROUP BY 1),
 p AS (SELECT a.track, a.x, a.frame * (lb - 1) / CAST(la - 1 AS DOUBLE) AS p, lb FROM a JOIN s USING (track)),
 i AS (SELECT *, greatest(0, least(CAST(floor(p) AS BIGINT), lb - 2)) AS i FROM p),
 v AS (SELECT i.track, i.x, b1.y + coalesce(b2.y - b1.y, 0) * (p - i) AS y FROM i JOIN b b1 ON b1.track = i.track AND b1.frame = i.i LEFT JOIN b b2 ON b2.track = i.track AND b2.frame = i.i + 1)
 SELECT track, {q('corr(x, y)')} AS r FROM v GROUP BY 1""")
 def w11_interp_corr(spark, sf_dir):
+    """x with a series of twice its length."""
     rows = signals(spark, sf_dir)
     a = rows.select("track", "frame", F.col("x").alias("value"))
-    b = rows.filter("frame < 40").select("track", "frame", F.col("y").alias("value"))
-    return timeaxis.interp_corr(a, b, TRACK).withColumn("r", out("r"))
+    twice = F.array(F.struct((2 * F.col("frame")).alias("frame"), F.col("y").alias("value")), F.struct((2 * F.col("frame") + 1).alias("frame"), ((F.col("x") + F.col("y")) / 2).alias("value")))
+    return timeaxis.interp_corr(a, rows.select("track", F.inline(twice)), TRACK).withColumn("r", out("r"))
 
 
 ISLANDS = """islands AS (SELECT track, min(frame) AS start, max(frame) AS "end" FROM (SELECT track, frame, frame - row_number() OVER (PARTITION BY track ORDER BY frame) AS g
@@ -289,10 +291,23 @@ def w15_framewise_rms(spark, sf_dir):
     return audio.framewise_rms(rows, TRACK, hop=16).withColumn("rms", out("rms", 5))
 
 
-@query()
+#: Frames of 32 samples every 16, at a rate of 3000, in 4 mel bands; the transform as sums over samples.
+MEL = "CASE WHEN m < 15 THEN m * 200 / 3.0 ELSE 1000 * exp(ln(6.4::DOUBLE) / 27 * (m - 15)) END"
+
+
+@query(f"""WITH {LINES}, n AS (SELECT track, count(*) AS n FROM lines GROUP BY 1), t AS (SELECT track, unnest(range(n // 16 + 1)) AS t FROM n),
+x AS (SELECT t.track, t.t, l.frame - t.t * 16 + 16 AS j, l_quantity AS y FROM t JOIN lines l ON l.track = t.track AND l.frame >= t.t * 16 - 16 AND l.frame < t.t * 16 + 16),
+w AS (SELECT track, t, j, y * (0.5 - 0.5 * cos(2 * pi() * j / 32)) AS y FROM x), bins AS (SELECT unnest(range(17)) AS k),
+p AS (SELECT track, t, k, sum(y * cos(2 * pi() * j * k / 32)) ** 2 + sum(y * sin(2 * pi() * j * k / 32)) ** 2 AS p FROM w, bins GROUP BY ALL),
+points AS (SELECT i, {MEL} AS h FROM (SELECT i, i * (15 + ln(1.5::DOUBLE) / (ln(6.4::DOUBLE) / 27)) / 5 AS m FROM (SELECT unnest(range(6)) AS i))),
+bank AS (SELECT a.i AS band, k, greatest(0, least((k * 93.75 - a.h) / (b.h - a.h), (c.h - k * 93.75) / (c.h - b.h))) * 2 / (c.h - a.h) AS v FROM bins, points a JOIN points b ON b.i = a.i + 1 JOIN points c ON c.i = a.i + 2),
+s AS (SELECT track, t, band, 10 * log10(greatest(1e-10, sum(p * v))) AS s FROM p JOIN bank USING (k) GROUP BY ALL),
+f AS (SELECT track, t, band, greatest(s, max(s) OVER (PARTITION BY track) - 80) AS s FROM s),
+r AS (SELECT track, t, greatest(0, lag(s, 1) OVER o - lag(s, 2) OVER o) AS r FROM f WINDOW o AS (PARTITION BY track, band ORDER BY t))
+SELECT track, t AS frame, {q('coalesce(avg(r), 0)', 4)} AS onset_env FROM r GROUP BY 1, 2""")
 def w16_onset_envelope(spark, sf_dir):
     rows = lines(spark, sf_dir).select("track", F.col("frame").alias("i"), F.col("l_quantity").alias("y"))
-    return audio.onset_envelope(rows, TRACK, hop=16, bands=4).withColumn("onset_env", out("onset_env", 5))
+    return audio.onset_envelope(rows, TRACK, hop=16, bands=4, rate=3000.0).withColumn("onset_env", out("onset_env", 4))
 
 
 @query(f"""WITH {SIGNALS}, c AS (SELECT track % 5 AS song, frame AS i, track, x AS y FROM signals),
