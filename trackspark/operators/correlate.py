@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,25 +68,39 @@ def masked_sliding_corr(pairs: DataFrame, keys: list[str], mask_columns: list[st
     return sliding_corr(blocks.close_up(pairs.filter(known), keys, frame=frame), keys, win=win, frame=frame, **parameters)
 
 
+def lagged_products(win: int, max_lag: int, least: float):
+    """A column of the sums of x[n + lag] * y[n], -max_lag to max_lag, of a window's z-scored values (arrays x, y); null
+    where a deviation is under `least`. A batch of windows is one product of transforms, padded so that no lag wraps."""
+    size = 1 << (win + max_lag - 1).bit_length()
+
+    @F.pandas_udf("array<double>")
+    def lags(x: pd.Series, y: pd.Series) -> pd.Series:
+        a, b = (np.stack(s.to_list()).astype(float) for s in (x, y))
+        da, db = a.std(1), b.std(1)
+        good = (da >= least) & (db >= least)
+        a, b = ((v[good] - v[good].mean(1, keepdims=True)) / d[good, None] for v, d in ((a, da), (b, db)))
+        found = np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size).conj(), size)
+        out = pd.Series([None] * len(x), dtype=object)
+        out[np.flatnonzero(good)] = list(np.concatenate((found[:, size - max_lag :], found[:, : max_lag + 1]), axis=1))
+        return out
+
+    return lags
+
+
 def cross_corr_windows(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", win: int = 150, max_lag: int = 30, least: float = 1e-6, frame: str = "frame") -> DataFrame:
     """window, lag, c = sum of x[n + lag] * y[n] over tumbling windows of z-scored values; positive lag: x after y.
 
-    Windows that are not full or where a side's deviation is under `least` are skipped. A window is held as two arrays;
-    lags are not joined.
+    Windows that are not full, where a value is missing or a side's deviation is under `least` are skipped. A window goes
+    once to the transform, as two arrays, and comes back as its lags.
     """
     if max_lag > win - 1:
         raise ValueError("max_lag must be under win")
-    rows = pairs.groupBy(*keys, F.expr(f"{frame} div {win}").alias("window")).agg(
-        F.array_sort(F.collect_list(F.struct(frame, F.col(x).alias("a"), F.col(y).alias("b")))).alias("s"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
-        F.stddev_pop(x).alias("dx"), F.stddev_pop(y).alias("dy"), F.count("*").alias("n"),
-    )
-    rows = rows.filter((F.col("n") == win) & above("dx", least) & above("dy", least))
-    rows = rows.withColumns({"a": F.transform("s", lambda v: (v["a"] - F.col("mx")) / F.col("dx")), "b": F.transform("s", lambda v: (v["b"] - F.col("my")) / F.col("dy"))})
-    rows = rows.select(*keys, "window", "a", "b").withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
-    size = F.lit(win) - F.abs("lag")
-    late = F.slice("a", F.greatest(F.lit(0), F.col("lag")) + 1, size)
-    early = F.slice("b", F.greatest(F.lit(0), -F.col("lag")) + 1, size)
-    return rows.select(*keys, "window", "lag", F.aggregate(F.zip_with(late, early, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v).alias("c"))
+    whole = (number(x).isNotNull() & number(y).isNotNull()).alias("__known")
+    rows = pairs.select(*keys, F.expr(f"{frame} div {win}").alias("window"), frame, F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b"), whole).filter("__known")
+    rows = rows.groupBy(*keys, "window").agg(F.array_sort(F.collect_list(F.struct(frame, "a", "b"))).alias("s")).filter(F.size("s") == win)
+    lags = lagged_products(win, max_lag, least)(F.transform("s", lambda v: v["a"]), F.transform("s", lambda v: v["b"]))
+    rows = rows.select(*keys, "window", lags.alias("c")).filter("c is not null")
+    return rows.select(*keys, "window", F.posexplode("c").alias("lag", "c")).withColumn("lag", (F.col("lag") - max_lag).cast("int"))
 
 
 def global_corr(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", min_r: float = 0.25, alpha: float = 0.05) -> DataFrame:

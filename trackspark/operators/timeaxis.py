@@ -81,18 +81,24 @@ def fill_nan_frames(df: DataFrame, track: list[str], columns: list[str], frame:
     return df.withColumns(out).drop("__missing", *(f"__{c}_{side}" for c in columns for side in ("before", "after")))
 
 
-def grid(df: DataFrame, track: list[str], position: Column, length: str = "__m", frame: str = "frame", value: str = "value") -> DataFrame:
-    """Linear interpolation of dense series (frames 0..n-1) at `position`s of `length` new frames (columns __n, __m)."""
+def grid(df: DataFrame, track: list[str], position: Column, length: str = "__m", frame: str = "frame", value: str | list[str] = "value") -> DataFrame:
+    """Linear interpolation of dense series (frames 0..n-1), one or several columns, at `position`s of `length` new frames
+    (columns __n, __m)."""
+    values = [value] if isinstance(value, str) else value
     spine = df.groupBy(*track).agg(F.count("*").alias("__n"), F.first(length).alias("__m")).filter("__m > 0")
     spine = spine.select(*track, "__n", "__m", F.explode(F.sequence(F.lit(0), F.col("__m").cast("int") - 1)).alias("__k"))
     spine = spine.withColumn("__p", position)
     spine = spine.withColumn("__i", F.greatest(F.lit(0), F.least(F.floor("__p"), F.col("__n") - 2)).cast("long"))
-    series = df.select(*track, F.col(frame).cast("long").alias("__i"), F.col(value).alias("__a"))
-    after = series.select(*track, (F.col("__i") - 1).alias("__i"), F.col("__a").alias("__b"))
+    series = df.select(*track, F.col(frame).cast("long").alias("__i"), *(F.col(v).alias(f"__a_{v}") for v in values))
+    after = series.select(*track, (F.col("__i") - 1).alias("__i"), *(F.col(f"__a_{v}").alias(f"__b_{v}") for v in values))
     out = spine.join(series, [*track, "__i"]).join(after, [*track, "__i"], "left")
     share = F.col("__p") - F.col("__i")
-    mixed = F.when(F.col("__b").isNull() | (share == 0), F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * share)
-    return out.select(*track, F.col("__k").alias(frame), mixed.alias(value))
+
+    def mixed(v: str) -> Column:
+        a, b = F.col(f"__a_{v}"), F.col(f"__b_{v}")
+        return F.when(b.isNull() | (share == 0), a).otherwise(a + (b - a) * share).alias(v)
+
+    return out.select(*track, F.col("__k").alias(frame), *map(mixed, values))
 
 
 def resample_endpoint(df: DataFrame, track: list[str], target_n: str | int, frame: str = "frame", value: str = "value") -> DataFrame:
@@ -102,9 +108,11 @@ def resample_endpoint(df: DataFrame, track: list[str], target_n: str | int, fram
     return grid(df.withColumn("__m", length), track, place, frame=frame, value=value)
 
 
-def resample_rate(df: DataFrame, track: list[str], from_fps: str, to_fps: float = 30.0, frame: str = "frame", value: str = "value") -> DataFrame:
-    """Onto to_fps, int(n / from_fps * to_fps) points; positions past the last sample extend the last segment."""
-    rate = df.groupBy(*track).agg((F.count("*") / F.first(from_fps) * to_fps).cast("int").alias("__m"), F.first(from_fps).alias("__f"))
+def resample_rate(df: DataFrame, track: list[str], from_fps: str, to_fps: float = 30.0, frame: str = "frame", value: str | list[str] = "value") -> DataFrame:
+    """Onto to_fps, int(n / from_fps * to_fps) points of one or several columns; positions past the last sample extend the
+    last segment. A track at to_fps stays as it is, one without rate goes."""
+    count, fps = F.count("*"), F.first(from_fps)
+    rate = df.groupBy(*track).agg(F.when(fps == to_fps, count).otherwise(count / fps * to_fps).cast("int").alias("__m"), fps.alias("__f"))
     rated = df.drop(from_fps).join(rate, track)
     place = F.col("__k") * (F.col("__n") / F.col("__m"))
     return grid(rated, track, place, frame=frame, value=value)

@@ -335,11 +335,11 @@ def s5_read_song_records(spark, sf_dir):
 @query(f"""WITH {POINTS} SELECT CAST(track % 3 AS VARCHAR) AS artist, CAST(track AS VARCHAR) AS song, 'violin' AS instrument, CAST(frame AS INTEGER) AS frame,
   count(*) AS points, {q("sum(x)", 4)} AS x, {q("sum(y)", 4)} AS y FROM points GROUP BY track, frame""")
 def s2_read_keypoint_arrays(spark, sf_dir):
-    """Tracks as .npy files, in rows as the source of binary files gives them, read to frames."""
+    """Tracks written as .npy files and read back by ranges of frames."""
     rows = frames(spark, sf_dir).select((F.col("track") % 3).alias("artist"), F.col("track").alias("song"), F.lit("violin").alias("instrument"), "frame", "kp")
     path = files.scratch(spark)
-    files.keypoint_files(rows.withColumn("kp", F.transform("kp", lambda p: F.array(p["x"], p["y"]))), ["artist", "song", "instrument"]).write.parquet(path)
-    found = files.keypoint_frames(spark.read.parquet(path)).select("artist", "song", "instrument", "frame", F.explode("kp").alias("p"))
+    files.write_keypoint_arrays(rows.withColumn("kp", F.transform("kp", lambda p: F.array(p["x"], p["y"]))), ["artist", "song", "instrument"], path)
+    found = files.read_keypoint_arrays(spark, path, part_bytes=1 << 14).select("artist", "song", "instrument", "frame", F.explode("kp").alias("p"))
     return found.groupBy("artist", "song", "instrument", "frame").agg(F.count("*").alias("points"), out(F.sum(F.col("p")[0]), 4).alias("x"), out(F.sum(F.col("p")[1]), 4).alias("y"))
 
 

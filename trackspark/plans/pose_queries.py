@@ -348,10 +348,24 @@ def motion(spark, sf_dir):
     return moved.select("track", "frame", F.concat("speed", "acceleration").alias("v"))
 
 
+MOTION = f"""moved AS (SELECT track, frame, kp, {slope('x')} AS vx, {slope('y')} AS vy FROM points {KP_FRAMES}),
+turned AS (SELECT track, frame, kp, sqrt(vx * vx + vy * vy) AS speed, {slope('vx')} AS ax, {slope('vy')} AS ay FROM moved {KP_FRAMES}),
+motion AS (SELECT track, frame, kp AS i, speed AS v FROM turned UNION ALL SELECT track, frame, kp + 32, sqrt(ax * ax + ay * ay) FROM turned)"""
+
+
+@query(f"""WITH {POINTS}, {MOTION} SELECT a.track, a.i AS i, b.i AS j, count(*) AS n, {q('avg(a.v)', 5)} AS mean, {q('covar_samp(a.v, b.v)', 2)} AS covariance
+FROM motion a JOIN motion b ON a.track = b.track AND a.frame = b.frame GROUP BY 1, 2, 3""")
+def a10_co_moments(spark, sf_dir):
+    """What components are solved from: all covariances of the points' speeds and accelerations."""
+    found = loadings.co_moments(motion(spark, sf_dir), TRACK, "v")
+    rows = found.select("track", "n", "mean", F.posexplode("co").alias("at", "co")).withColumns({"i": F.expr("at div 64").cast("int"), "j": (F.col("at") % 64).cast("int")})
+    return rows.select("track", "i", "j", "n", out(F.element_at("mean", F.col("i") + 1), 5).alias("mean"), out(F.col("co") / (F.col("n") - 1), 2).alias("covariance"))
+
+
 @query()
 def a10_track_pca(spark, sf_dir):
     found = loadings.track_pca(motion(spark, sf_dir), TRACK, "v")
-    return found.select("track", "component", out("variance_ratio", 5).alias("variance_ratio"), F.size("loadings").alias("n"))
+    return found.select("track", "component", out("variance_ratio", 5).alias("variance_ratio"), F.posexplode("loadings").alias("i", "loading")).withColumn("loading", out("loading", 4))
 
 
 @query()

@@ -172,6 +172,27 @@ def a9_lag_profile(spark, sf_dir):
     return correlate.lag_profile(cross, "grp", "pair").withColumns({"mean_c": out("mean_c", 5), "std_c": out("std_c", 5)})
 
 
+FPS = "CASE track % 4 WHEN 0 THEN 25.0 WHEN 1 THEN 30.0 WHEN 2 THEN 24.0 END::DOUBLE"
+
+
+@query(f"""WITH {GAPPY}, known AS (SELECT track, {FPS} AS fps, row_number() OVER (PARTITION BY track ORDER BY frame) - 1 AS frame, x, y FROM gappy WHERE x IS NOT NULL AND track % 4 < 3),
+sizes AS (SELECT track, count(*) AS n, CAST(trunc(CASE WHEN fps = 30 THEN count(*) ELSE count(*) / fps * 30 END) AS BIGINT) AS m FROM known GROUP BY track, fps),
+spine AS (SELECT track, n, m, unnest(range(m)) AS k FROM sizes), spots AS (SELECT *, k * (n / CAST(m AS DOUBLE)) AS p FROM spine),
+placed AS (SELECT *, greatest(0, least(CAST(floor(p) AS BIGINT), n - 2)) AS i FROM spots),
+even AS (SELECT z.track, z.k AS frame, CASE WHEN b.x IS NULL OR p = i THEN a.x ELSE a.x + (b.x - a.x) * (p - i) END AS x, CASE WHEN b.x IS NULL OR p = i THEN a.y ELSE a.y + (b.y - a.y) * (p - i) END AS y
+  FROM placed z JOIN known a ON a.track = z.track AND a.frame = z.i LEFT JOIN known b ON b.track = z.track AND b.frame = z.i + 1),
+w AS (SELECT track, frame // 20 AS win, frame, (x - avg(x) OVER k) / stddev_pop(x) OVER k AS a, (y - avg(y) OVER k) / stddev_pop(y) OVER k AS b, count(*) OVER k AS n FROM even WINDOW k AS (PARTITION BY track, frame // 20)),
+c AS (SELECT p.track % 4 AS grp, p.track, p.win, p.frame - q.frame AS lag, sum(p.a * q.b) AS c FROM w p JOIN w q ON p.track = q.track AND p.win = q.win AND abs(p.frame - q.frame) <= 6 WHERE p.n = 20 GROUP BY ALL),
+g AS (SELECT grp, 'xy' AS pair, CAST(lag AS INTEGER) AS lag, avg(c) AS m, stddev_pop(c) AS s, count(*) AS windows FROM c GROUP BY GROUPING SETS ((grp, lag), (lag)))
+SELECT grp, pair, lag, {q('m', 5)} AS mean_c, {q('s', 5)} AS std_c, windows, row_number() OVER (PARTITION BY grp ORDER BY abs(m) DESC, lag) = 1 AS best FROM g""")
+def lag_study(spark, sf_dir):
+    """The lag study: gaps dropped, rates of 25, 30, 24 or none brought to 30, windows of 20 frames over 13 lags."""
+    group = F.col("track") % 4
+    fps = F.when(group == 0, 25.0).when(group == 1, 30.0).when(group == 2, 24.0)
+    rows = gappy(spark, sf_dir).select(group.alias("grp"), "track", F.lit("xy").alias("pair"), "frame", "x", "y", fps.alias("fps"))
+    return workloads.lag_study(rows, "grp", ["track"], "pair", win=20, max_lag=6).withColumns({"mean_c": out("mean_c", 5), "std_c": out("std_c", 5)})
+
+
 @query(f"""WITH {GAPPY}, c AS (SELECT track, frame // 12 AS part, count(x) AS n, corr(x, y + x / 3) FILTER (x IS NOT NULL) AS r FROM gappy GROUP BY 1, 2)
 SELECT track, CAST(part AS BIGINT) AS part, n, {q('r')} AS r FROM c WHERE n > 2 AND r > 0.25 AND abs(r) > ({STRONG_AT})""")
 def a2_global_corr(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import blocks, correlate, pose, select, timeaxis
+from ..operators import blocks, correlate, pose, timeaxis
 
 
 def motion_features(frames: DataFrame, track: list[str], parts: DataFrame, dropped: list[int], fps: float = 30.0, limit: float = 3.0, block: int = blocks.BLOCK) -> DataFrame:
@@ -37,7 +37,13 @@ def strong_windows(motion: DataFrame, audio: DataFrame, track: list[str], fps: f
     return correlate.sliding_corr(pairs, keys, win=int(0.5 * fps), step=int(0.1 * fps), fps=fps, threshold=threshold)
 
 
-def lag_study(pairs: DataFrame, group: str, keys: list[str], pair: str, win: int = 150, max_lag: int = 30) -> DataFrame:
-    """Lagged cross-correlation windows and their profile per lag."""
-    known = select.all_of([~F.isnan("x")])
-    return correlate.lag_profile(correlate.cross_corr_windows(pairs.filter(known), [group, *keys, pair], win=win, max_lag=max_lag), group, pair)
+def lag_study(pairs: DataFrame, group: str, keys: list[str], pair: str, fps: str = "fps", win: int = 150, max_lag: int = 30) -> DataFrame:
+    """Lagged cross-correlation windows (frame, x: motion, y: audio, fps) and their profile per lag.
+
+    Frames without motion are dropped and the time axis is closed up, both sides are brought to 30 frames a second, and
+    windows are correlated over all lags. Tracks without a rate are left out.
+    """
+    track = [group, *keys, pair]
+    known = pairs.filter(~F.isnan("x") & F.col("x").isNotNull() & F.col(fps).isNotNull()).select(*track, "frame", "x", "y", fps)
+    even = timeaxis.resample_rate(blocks.close_up(known, track), track, fps, 30.0, value=["x", "y"])
+    return correlate.lag_profile(correlate.cross_corr_windows(even, track, win=win, max_lag=max_lag), group, pair)

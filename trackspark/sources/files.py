@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import PART_BYTES, KeypointArrays, opened
 from .tables import scratch  # noqa: F401  the queries' folder for files
 
 SONG = (
@@ -40,42 +40,46 @@ def path_part(i: int) -> Column:
     return F.regexp_replace(part, r"\.[^.]*$", "") if i == 1 else part
 
 
-def keypoint_frames(files: DataFrame) -> DataFrame:
-    """artist, song, instrument (from the path), frame and kp (points x dims as arrays) of .npy files (path, content).
+def read_keypoint_arrays(spark: SparkSession, root: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """artist, song, instrument (from the path), frame and kp (points x dims as arrays) of the .npy files under `root`, one
+    per artist/song/instrument; files are split by frames (see arrays). Files with Python objects are refused."""
+    spark.dataSource.register(KeypointArrays)
+    return spark.read.format("keypoint_arrays").option("part_bytes", part_bytes).load(root)
 
-    Files with Python objects are refused.
-    """
-    files = files.select(path_part(3).alias("artist"), path_part(2).alias("song"), path_part(1).alias("instrument"), "content")
-
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                data = np.load(io.BytesIO(row.content), allow_pickle=False).astype(float)
-                for first in range(0, len(data), 1024):
-                    part = data[first : first + 1024]
-                    yield pd.DataFrame({"artist": row.artist, "song": row.song, "instrument": row.instrument, "frame": range(first, first + len(part)), "kp": part.tolist()})
 
-    return files.mapInPandas(frames, "artist string, song string, instrument string, frame int, kp array<array<double>>")
+def write_keypoint_arrays(frames: DataFrame, keys: list[str], root: str) -> int:
+    """A .npy file, under root/keys, for each track (frame, kp as arrays of numbers); their number. `root` is a folder that
+    all executors share.
 
+    A track's frames come sorted and in batches, so that no track is held: they are written as they come, and the header,
+    which tells their number, is made first, from a count.
+    """
+    sizes = frames.groupBy(*keys).agg(F.count("*").alias("__n"))
+    rows = frames.join(sizes, keys).select(*keys, "__n", "frame", "kp").repartition(*keys).sortWithinPartitions(*keys, "frame")
 
-def read_keypoint_arrays(spark: SparkSession, root: str) -> DataFrame:
-    """keypoint_frames() of the .npy files under `root`, one per artist/song/instrument."""
-    return keypoint_frames(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(root))
-
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = opened(root)
+        path = file = None
 
-def keypoint_files(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """path and content of a .npy file for each track (frame, kp as arrays of numbers), as keypoint_frames() reads them."""
-    tracks = frames.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "kp"))), lambda r: r["kp"]).alias("kp"))
-    tracks = tracks.select(F.concat(F.concat_ws("/", *keys), F.lit(".npy")).alias("path"), "kp")
+        def closed() -> None:
+            file.close()
+            store.move(path + ".part", path)
 
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, kp in zip(batch["path"], batch["kp"]):
-                buffer = io.BytesIO()
-                np.save(buffer, np.array([[list(p) for p in frame] for frame in kp], float))
-                yield pd.DataFrame({"path": [path], "content": [buffer.getvalue()]})
-
-    return tracks.mapInPandas(save, "path string, content binary")
+            columns = batch.to_pydict()
+            for *names, n, _, kp in zip(*columns.values()):
+                now = "/".join([folder, *map(str, names)]) + ".npy"
+                if now != path:
+                    if file:
+                        closed()
+                    path, file = now, store.write(now + ".part")
+                    np.lib.format.write_array_header_1_0(file, {"descr": "<f8", "fortran_order": False, "shape": (n, len(kp), len(kp[0]))})
+                    yield pa.RecordBatch.from_arrays([pa.array([now])], names=["path"])
+                file.write(np.array(kp, "<f8").tobytes())
+        if file:
+            closed()
+
+    return rows.mapInArrow(save, "path string").count()
 
 
 def read_feature_json(spark: SparkSession, root: str, kind: str) -> DataFrame:
