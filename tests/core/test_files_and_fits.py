@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from trackspark.operators import correlate, loadings, pose, timeaxis
-from trackspark.plans import workloads
+from trackspark.plans import pose_queries, standins, workloads
 from trackspark.sources import files
 from trackspark.sources.arrays import Reader
 
@@ -168,3 +168,41 @@ def test_rates(spark):
         got.setdefault(r["k"], []).append((r["x"], r["y"]))
     assert got["a"] == [(float(i), float(-i)) for i in range(29)] and len(got["b"]) == 14 and set(got) == {"a", "b"}
     assert all(x == -y for x, y in got["b"])
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_components_of_the_query_equal_numpy(spark):
+    vectors, got, top = {}, {}, {}
+    for r in pose_queries.motion(spark, SF).collect():
+        vectors.setdefault(r["track"], []).append(r["v"])
+    for r in pose_queries.a10_track_pca(spark, SF).collect():
+        got.setdefault((r["track"], r["component"]), {})[r["i"]] = (r["variance_ratio"], r["loading"])
+    for r in pose_queries.a11_pca_contribution(spark, SF).collect():
+        top.setdefault(r["track"], {})[r["rank"]] = (r["kp"], r["contribution"])
+    for track, rows in vectors.items():
+        x = np.array(rows, float)
+        values, columns = np.linalg.eigh(np.cov(x[~np.isnan(x).any(1)].T))
+        for c in (1, 2, 3):
+            ratio, loading = zip(*(got[track, c][i] for i in range(64)))
+            assert ratio[0] == pytest.approx(values[-c] / values.sum(), abs=1e-5)
+            want = columns[:, -c] * np.sign(columns[np.abs(columns[:, -c]).argmax(), -c])
+            np.testing.assert_allclose(loading, want, atol=1e-3)
+        share = np.abs(columns[:32, -1] + columns[32:, -1])
+        order = sorted(range(32), key=lambda k: -share[k])[:5]
+        assert [top[track][r][0] for r in range(1, 6)] == order
+        np.testing.assert_allclose([top[track][r][1] for r in range(1, 6)], share[order], atol=1e-3)
+
+
+def test_registration_of_the_query_equals_quaternions(spark):
+    goal = np.array([[k % 5 / 5, k % 7 / 7, k % 3 / 3] for k in range(32)])
+    got = {}
+    for r in pose_queries.g3_register_to_template(spark, SF).collect():
+        got.setdefault((r["track"], r["frame"]), {})[r["kp"]] = (r["x"], r["y"])
+    rows = standins.frames(spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        points = np.array([(p["x"], p["y"], p["x"] * p["y"]) for p in r["kp"]])
+        moved = (points - points[:20].mean(0)) @ quaternion_fit(points[:20], goal[:20]).T + goal[:20].mean(0)
+        np.testing.assert_allclose([got[r["track"], r["frame"]][k] for k in range(32)], moved[:, :2], atol=1e-3)

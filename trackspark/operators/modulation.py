@@ -136,7 +136,7 @@ def top_features(df: DataFrame, n: int, by: list[str], value: str = "abs_gamma")
 
 
 def rows_of_top(df: DataFrame, top: DataFrame, by: list[str]) -> DataFrame:
-    return df.join(F.broadcast(top.select(*by)), by, "left_semi")
+    return df.join(top.select(*by), by, "left_semi")
 
 
 def pearson_spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:

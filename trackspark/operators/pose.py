@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import nan, above
-from .blocks import in_blocks
+from .blocks import BLOCK, halo, in_blocks
 from .timeaxis import gradient
 
 # Points of the 133-point whole-body layout, and of the 68-point face, by part.
@@ -81,7 +83,7 @@ def visible_edges(points: DataFrame, edges: DataFrame, keys: list[str], limit: f
     if occluded is not None:
         seen = seen.join(occluded, [c for c in occluded.columns if c in seen.columns], "left_anti")
     ends = [seen.select(*keys, F.col("kp").alias(e), F.col("x").alias(f"x_{e}"), F.col("y").alias(f"y_{e}")) for e in "ab"]
-    return ends[0].join(F.broadcast(edges), "a").join(ends[1], [*keys, "b"])
+    return ends[0].join(edges, "a").join(ends[1], [*keys, "b"])
 
 
 def mask_region(chunks: DataFrame, region: str, column: str = "points", template: str | None = None) -> DataFrame:
@@ -106,7 +108,7 @@ def shuffle_time(chunks: DataFrame, keys: list[str], seed: int = 0, frame: str =
 def name_keypoints(df: DataFrame, names: DataFrame, scheme: str = "whole", kp: str = "kp") -> DataFrame:
     """Adds `name` from names (kp, name). face: points start at 23; body55: from 13 on they are the hands, from 91."""
     number = {"whole": F.col(kp), "face": F.col(kp) + 23, "body55": F.when(F.col(kp) >= 13, F.col(kp) - 13 + 91).otherwise(F.col(kp))}[scheme]
-    lookup = F.broadcast(names.select(F.col("kp").alias("__kp"), "name"))
+    lookup = names.select(F.col("kp").alias("__kp"), "name")
     return df.withColumn("__kp", number).join(lookup, "__kp", "left").drop("__kp")
 
 
@@ -172,6 +174,21 @@ def register_to_template(frames: DataFrame, keys: list[str], template: list[list
     return kept.mapInArrow(run, f"{schema}, `{points}` array<struct<x:double,y:double>>")
 
 
-def apply_track_features(frames: DataFrame, track: list[str], fn, schema: str) -> DataFrame:
-    """User-defined features: fn(pandas frame of one track, sorted by the caller's own rule) -> pandas frame."""
-    return frames.groupBy(*track).applyInPandas(fn, schema)
+def apply_track_features(frames: DataFrame, track: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, frame: str = "frame", reach: int | None = None, block: int = BLOCK) -> DataFrame:
+    """User-defined features: fn(pandas frame, sorted by frame) -> pandas frame of `schema`.
+
+    A function of whole tracks gets each track at once. One that gives rows by frame and looks `reach` frames either way
+    gets a block of a track with so many frames more on both sides; of what it makes, the block's own frames are kept, so
+    that a long track is several tasks and none is held whole.
+    """
+    if reach is None:
+        return frames.groupBy(*track).applyInPandas(lambda rows: fn(rows.sort_values(frame, ignore_index=True)), schema)
+    size = max(block, reach)
+
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        number = rows["__block"].iloc[0]
+        out = fn(rows.drop(columns=["__block", "__own"]).sort_values(frame, ignore_index=True)) if rows["__own"].any() else None
+        return out[out[frame] // size == number] if out is not None else pd.DataFrame(columns=names)
+
+    names = T.StructType.fromDDL(schema).names
+    return halo(frames, reach, reach, size, frame).groupBy(*track, "__block").applyInPandas(lambda rows: own(rows), schema)

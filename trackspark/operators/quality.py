@@ -99,5 +99,8 @@ def score_profile(points: DataFrame, by: str, occluded: DataFrame | None = None)
 
 def missing_outputs(tracks: DataFrame, files: DataFrame, required: DataFrame, track: list[str]) -> DataFrame:
     """Required files (file, and instrument or null for all) that a track lacks."""
-    wanted = tracks.withColumnRenamed("instrument", "__i").join(F.broadcast(required), F.col("instrument").isNull() | (F.col("instrument") == F.col("__i"))).drop("instrument")
+    rows = tracks.withColumnRenamed("instrument", "__i")
+    named = rows.join(required.filter("instrument is not null").withColumnRenamed("instrument", "__i"), "__i")
+    of_all = required.filter("instrument is null").agg(F.collect_set("file").alias("__files"))  # one row
+    wanted = named.unionByName(rows.join(of_all).withColumn("file", F.explode("__files")).drop("__files"))
     return wanted.withColumnRenamed("__i", "instrument").select(*track, "file").join(files, [*track, "file"], "left_anti")

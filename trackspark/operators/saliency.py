@@ -33,7 +33,7 @@ def saliency_contrast(top: DataFrame, bottom: DataFrame, n: int = 5) -> DataFram
 def to_parts(values: DataFrame, parts: DataFrame, keys: list[str], agg: str = "mean", value: str = "saliency") -> DataFrame:
     """Mean or sum of the points of each part; a point counts in each of its parts."""
     made = F.coalesce(F.avg(number(value)), nan()) if agg == "mean" else F.sum(F.coalesce(number(value), F.lit(0.0)))
-    return values.join(F.broadcast(parts), "kp").groupBy(*keys, "part").agg(made.alias(value))
+    return values.join(parts, "kp").groupBy(*keys, "part").agg(made.alias(value))
 
 
 def part_series(chunks: DataFrame, parts: DataFrame, chunk: list[str], value: str = "saliency") -> DataFrame:

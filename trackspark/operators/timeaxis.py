@@ -144,5 +144,5 @@ def robust_scale(df: DataFrame, track: list[str], value: str = "value", low: flo
 def part_means(df: DataFrame, keys: list[str], parts: DataFrame, values: list[str], kp: str = "kp", whole: str = "general") -> DataFrame:
     """NaN-skipping means of `values` over each part's points (bridge: part, kp) and over all points as part `whole`."""
     means = [F.coalesce(F.avg(number(v)), nan()).alias(v) for v in values]
-    by_part = df.join(F.broadcast(parts), kp).groupBy(*keys, "part").agg(*means)
+    by_part = df.join(parts, kp).groupBy(*keys, "part").agg(*means)
     return df.groupBy(*keys).agg(*means).withColumn("part", F.lit(whole)).unionByName(by_part)

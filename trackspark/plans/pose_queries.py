@@ -374,12 +374,26 @@ def a11_pca_contribution(spark, sf_dir):
     return found.select("track", "kp", "rank", out("contribution", 4).alias("contribution"))
 
 
-@query()
+@query(f"WITH {POINTS} SELECT track, {q('max(x) - min(x)')} AS spread FROM points WHERE kp = 0 GROUP BY 1")
 def u1_apply_track_features(spark, sf_dir):
-    """A user-defined feature: the range of each track's first point."""
+    """A user-defined feature of whole tracks: the range of each track's first point."""
     rows = frames(spark, sf_dir).select("track", "frame", F.element_at("kp", 1)["x"].alias("x"))
 
     def spread(track):
         return track.groupby("track", as_index=False).agg(spread=("x", lambda v: float(v.max() - v.min())))
 
     return pose.apply_track_features(rows, TRACK, spread, "track int, spread double").withColumn("spread", out("spread"))
+
+
+@query(f"""WITH {POINTS} SELECT track, frame, {q('median(x) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)')} AS middle FROM points WHERE kp = 0""")
+def u1_apply_frame_features(spark, sf_dir):
+    """A user-defined feature by frame: the running median of seven frames, in blocks with three frames on either side."""
+    rows = frames(spark, sf_dir).select("track", "frame", F.element_at("kp", 1)["x"].alias("x"))
+
+    def middle(track):
+        return track.assign(middle=track["x"].rolling(7, center=True, min_periods=1).median())[["track", "frame", "middle"]]
+
+    found = pose.apply_track_features(rows, TRACK, middle, "track int, frame long, middle double", reach=3, block=16)
+    return found.withColumn("middle", out("middle"))
+
+
