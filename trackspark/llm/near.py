@@ -96,34 +96,40 @@ def open_nodes(met: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(stored(apart, "open-buckets"), "key", "left_semi").select("node", "root").distinct()
 
 
-def marks(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits, as two longs: each is set if an odd number of the tokens falls on it.
+#: Words of 64 parity bits of a set.
+MARKS = tuple(f"m{i}" for i in range(8))
+MARKED = "node long, root long, tokens array<long>, " + ", ".join(f"{m} long" for m in MARKS)
+
+
+def marks(tokens: np.ndarray) -> list[int]:
+    """512 bits, as longs: each is set if an odd number of the tokens falls on it.
 
     Where the marks of two sets differ in d bits, the sets differ in d tokens or more.
     """
-    bits = np.uint64(1) << (tokens & np.uint64(63))
-    upper = tokens >> np.uint64(63) == 1
-    return tuple(int(np.bitwise_xor.reduce(bits[part], initial=np.uint64(0)).view(np.int64)) for part in (~upper, upper))
+    found = np.zeros(len(MARKS), np.uint64)
+    np.bitwise_xor.at(found, (tokens >> np.uint64(61)).astype(np.int64), np.uint64(1) << (tokens & np.uint64(63)))
+    return found.view(np.int64).tolist()
 
 
 def prefix_pairs(rows: DataFrame, similar: float) -> DataFrame:
     """Pairs a < b of nodes of different roots that can share `similar` of their tokens' union, from node, root, tokens
-    (distinct), low and high (their marks).
+    (distinct) and their MARKS.
 
     With the tokens of each node ordered from the rarest on, the first one that two such nodes share is among the first
     n - similar * n + 1 of each, and from it on both have as many tokens left as they must share. Nodes meet by such a
-    token and a class of sizes, so that those that only share what is common don't meet, and make a pair if their marks
-    differ in no more bits than their sets may in tokens. Nothing is lost by it. The largest root of a list meets the
-    others of the list alone, so that a large component isn't held against itself.
+    token and a class of sizes, so that those that only share what is common don't meet, and make a pair, once, at the
+    first token that they share if their marks differ in no more bits than their sets may in tokens. Nothing is lost by it.
+    The largest root of a list meets the others of the list alone, so that a large component isn't held against itself.
     """
     often = stored(rows.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1"), "token-counts")
     ranked = rows.select("node", F.explode("tokens").alias("token")).join(often, "token")
-    ranked = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("ranked"))
-    ranked = ranked.join(rows.select("node", "root", "low", "high", F.size("tokens").alias("size")), "node")
+    ranked = ranked.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "token"))), lambda t: t["token"]).alias("ranked"))
+    ranked = ranked.join(rows.select("node", "root", *MARKS, F.size("tokens").alias("size")), "node")
     shared = F.size("ranked")  # the other tokens are the node's own and come first
-    firsts = F.slice("ranked", 1, F.greatest(F.lit(0), shared - F.ceil(similar * F.col("size") - 1e-9) + 1).cast("int"))
-    heads = ranked.select("node", "root", "low", "high", "size", shared.alias("shared"), F.posexplode(firsts).alias("at", "token"))
-    heads = heads.select("node", "root", "low", "high", "size", (F.col("shared") - F.col("at")).alias("left"), "token.token")
+    firsts = F.slice("ranked", 1, F.greatest(F.lit(0), shared - F.ceil(similar * F.col("size") - 1e-9) + 1).cast("int")).alias("firsts")
+    of_node = ("node", "root", *MARKS, "size")
+    heads = ranked.select(*of_node, shared.alias("shared"), firsts).select(*of_node, "shared", "firsts", F.posexplode("firsts").alias("at", "token"))
+    heads = heads.select(*of_node, (F.col("shared") - F.col("at")).alias("left"), F.slice("firsts", F.lit(1), F.col("at")).alias("before"), "token")
     heads = stored(heads, "token-heads", compression="zstd")
 
     def size_class(column: Column) -> Column:
@@ -135,22 +141,22 @@ def prefix_pairs(rows: DataFrame, similar: float) -> DataFrame:
     large = heads.filter(least <= most).withColumn("class", F.explode(F.sequence(size_class(least), size_class(most))))
     small = heads.filter(F.col("left") >= 2 * similar * F.col("size") / (1 + similar) - 1e-9).withColumn("class", size_class(F.col("size")))
     # nodes of one root need not meet: a list of one root goes, and those of a list's largest root only meet the others
-    by_root = small.groupBy("token", "class", "root").count().groupBy("token", "class").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("roots"))
+    by_root = small.groupBy("token", "class", "root").count().groupBy("token", "class").agg(F.max_by("root", "count").alias("main"))
     by_root = stored(by_root, "token-roots", compression="zstd")
-    small = small.join(by_root.select("token", "class", "main"), ["token", "class"]).withColumn("other", F.col("root") != F.col("main"))
-    large = large.join(by_root, ["token", "class"]).withColumn("other", F.explode(F.when(F.col("root") != F.col("main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
-    large = large.filter((F.col("roots") > 1) | ~F.col("other"))
-    x, y = large.drop("main", "roots").alias("x"), small.drop("main").alias("y")
+    main = F.col("root") == F.col("main")
+    small = small.join(by_root, ["token", "class"]).withColumn("other", ~main)
+    large = large.join(by_root, ["token", "class"]).withColumn("other", F.explode(F.when(main, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
+    x, y = large.drop("main").alias("x"), small.drop("main").alias("y")
     both = F.col("x.size") + F.col("y.size")
     need = similar * both / (1 + similar) - 1e-9
-    apart = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
+    apart = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in MARKS[1:]), F.bit_count(F.col(f"x.{MARKS[0]}").bitwiseXOR(F.col(f"y.{MARKS[0]}"))))
     pairs = x.join(
         y,
         (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.other") == F.col("y.other")) & (F.col("x.root") != F.col("y.root"))
         & ((F.col("x.size") > F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")))
-        & (F.least("x.left", "y.left") >= need) & (apart <= both - 2 * need),
+        & (F.least("x.left", "y.left") >= need) & (apart <= both - 2 * need) & ~F.arrays_overlap("x.before", "y.before"),
     )
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similar: Callable[[str, str], bool], tokens: Callable[[str], np.ndarray], share: float) -> DataFrame:
@@ -170,10 +176,9 @@ def linked(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], simil
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             found = [np.unique(tokens(text)) for text in batch["text"]]
-            low, high = zip(*map(marks, found))
-            yield {"node": batch["node"], "root": batch["root"], "tokens": [f.view(np.int64) for f in found], "low": low, "high": high}
+            yield {"node": batch["node"], "root": batch["root"], "tokens": [f.view(np.int64) for f in found]} | dict(zip(MARKS, zip(*map(marks, found))))
 
-    opened = map_rows(texts.join(open_nodes(met, roots), "node").select("node", "root", "text"), run, "node long, root long, tokens array<long>, low long, high long")
+    opened = map_rows(texts.join(open_nodes(met, roots), "node").select("node", "root", "text"), run, MARKED)
     opened = stored(opened, "open-nodes", compression="zstd")
     if opened.isEmpty():
         return roots

@@ -1,11 +1,12 @@
 """N-gram Jaccard join with set-relation skipping, and the components of its links.
 
-Documents with equal sets are one node. Every set lists its first shingles by hash (any two linked sets share one of
-them); lists of one entry go. A few lists give links cheaply; what they connect need not be compared again. Where a list
-still holds several components, its sets meet by their rarest shingles, in lists split into blocks by size of set, of
-which a set skips those that its position in the list rules out. The overlaps of a set with the members of a component
-are derived from its overlap with one set of the component, by what each member has more and less than that one; most
-are decided by the counts alone.
+Documents with equal sets are one node. Every set lists a quarter of its shingles, the first ones by hash, of which any two
+linked sets share a known part; sets of which fewer are listed elsewhere have no links. Each of the others is first
+compared with the one that looks most like it. What these links connect need not be compared again: where enough of a
+set's lists still hold sets of other components, such sets meet by their rarest shingles, in lists split into blocks by
+size of set, of which a set skips those that its position in the list rules out. The overlaps of a set with the members of
+a component are derived from its overlap with one set of the component, by what each member has more and less than that
+one; most are decided by the counts alone.
 """
 
 from __future__ import annotations
@@ -15,16 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, map_rows, only, original_id, stored
-from .near import bucket_pairs, components, marks, prefix_pairs
+from .near import MARKED, MARKS, bucket_pairs, components, marks, prefix_pairs
 from .substrings import scramble
 
 WIDTH = 4
-#: Lists of a set that give the first links.
-FIRST_LISTS = 4
+#: Lists of a set that give the first pairs, least hashes by which these are compared, and how many must be equal.
+FIRST_LISTS, SKETCH, ALIKE = 4, 16, 9
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -41,8 +42,18 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def firsts(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Of two sets that share `percent` of their union, each has one of these in common with the other."""
-    return tokens[: len(tokens) + (-percent * len(tokens)) // 100 + 1]
+    """The tokens that a set lists: with sets that share `percent` of their union, shared_firsts() or more are in common."""
+    n = len(tokens)
+    return tokens[: n - -(-percent * n // 100) - (-n // 10)]
+
+
+def shared_firsts(n: str, percent: int) -> Column:
+    """How many of the firsts() of a set of `n` tokens any linked set lists too.
+
+    A list is longer by a tenth of its set than what two linked sets need to have one token in common, so that they have
+    the smaller tenth in common; a linked set has `percent` of n tokens at least.
+    """
+    return F.ceil(F.col(n) * percent / 1000)
 
 
 def document_sets(docs: DataFrame, percent: int) -> DataFrame:
@@ -141,19 +152,28 @@ def derived(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     return known.filter("surely").select("a", "b").unionByName(map_rows(open_, run, "a long, b long"))
 
 
+def first_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: each set b with the set before it that shares most of their SKETCH least hashes, of those that it meets in a few lists."""
+    keys = entries.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_LISTS).alias("keys"))
+    met = bucket_pairs(keys.select("node", F.explode("keys").alias("key"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    least = sets.select("node", F.slice("tokens", 1, SKETCH).alias("tokens"))
+    alike = with_tokens(met, least, a="x", b="y").select("a", "b", F.size(F.array_intersect("x", "y")).alias("alike"), F.least(F.size("x"), F.size("y")).alias("of"))
+    return alike.filter(F.col("alike") * SKETCH >= F.col("of") * ALIKE).groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
+
+
 def open_pairs(entries: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that share a list, by their rarest shingles (see prefix_pairs)."""
-    placed = stored(entries.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")), "list-roots", compression="zstd")
+    """Pairs of sets of different components that share enough lists, by their rarest shingles (see prefix_pairs)."""
+    placed = stored(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "list-roots", compression="zstd")
     mixed = stored(placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token"), "mixed-lists")
-    nodes = stored(placed.join(mixed, "token", "left_semi").select("node", "root").distinct(), "open-sets")
+    nodes = placed.join(mixed, "token", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.count("*").alias("lists"))
+    nodes = stored(nodes.filter(F.col("lists") >= shared_firsts("n", percent)).select("node", "root"), "open-sets")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            low, high = zip(*(marks(ascending(t)) for t in batch["tokens"]))
-            yield batch | {"low": low, "high": high}
+            yield batch | dict(zip(MARKS, zip(*(marks(ascending(t)) for t in batch["tokens"]))))
 
     rows = sets.join(nodes, "node").dropDuplicates(["node"]).select("node", "root", "tokens")
-    rows = stored(map_rows(rows, run, "node long, root long, tokens array<long>, low long, high long"), "open-tokens", compression="zstd")
+    rows = stored(map_rows(rows, run, MARKED), "open-tokens", compression="zstd")
     return prefix_pairs(rows, percent / 100)
 
 
@@ -170,18 +190,18 @@ def jaccard_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.withColumn("key", F.xxhash64("text"))
     found = stored(document_sets(docs, percent), "document-sets", compression="zstd")
     known = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    nodes = found.filter("n > 0").groupBy("set").agg(F.min(F.struct("doc_id", "key")).alias("head"), F.min(known).alias("least"), F.first("heads").alias("heads"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "set-nodes", compression="zstd")
-    lists = nodes.select("node", F.explode("heads").alias("token"))
-    shared = stored(lists.groupBy("token").count().filter("count > 1").select("token"), "shared-heads", compression="zstd")
-    entries = stored(lists.join(shared, "token"), "list-entries", compression="zstd")
-    wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "head.doc_id", "head.key")
-    sets = stored(sets_of(docs, wanted), "node-sets", compression="zstd")
-
-    first = entries.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_LISTS).alias("keys"))
-    met = bucket_pairs(first.select("node", F.explode("keys").alias("key"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = overlaps(stored(met, "first-pairs"), sets).filter((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
-    roots = stored(components(stored(links, "set-links")), "set-roots")
+    nodes = found.filter("n > 0").groupBy("set").agg(F.min(F.struct("doc_id", "key")).alias("head"), F.min(known).alias("least"))
+    nodes = stored(nodes.select("set", "head.*", "least").withColumn("node", F.monotonically_increasing_id()), "set-nodes", compression="zstd")
+    lists = found.join(nodes.select("node", "doc_id", "key"), ["doc_id", "key"]).select("node", "n", F.explode("heads").alias("token"))
+    shared = stored(lists.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token"), "shared-heads", compression="zstd")
+    entries = stored(lists.join(shared, "token").distinct(), "list-entries", compression="zstd")
+    wanted = entries.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("lists")).filter(F.col("lists") >= shared_firsts("n", percent)).select("node")
+    wanted = stored(wanted, "wanted-sets")
+    entries = entries.join(wanted, "node", "left_semi")
+    sets = stored(sets_of(docs, nodes.join(wanted, "node").select("node", "doc_id", "key")), "node-sets", compression="zstd")
+
+    links = overlaps(stored(first_pairs(entries, sets), "first-pairs"), sets).filter((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb")))
+    roots = stored(components(stored(links.select("a", "b"), "set-links")), "set-roots")
     more = stored(derived(open_pairs(entries, roots, sets, percent), roots, sets, percent), "more-set-links")
     hooked = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = stored(components(hooked.unionByName(more)), "set-roots")
