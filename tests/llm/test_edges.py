@@ -169,3 +169,21 @@ def test_same_result_for_any_partitioning(spark, docs):
     many = docs.repartition(7)
     for run in (substrings.remove_repeats, order_minhash.near_duplicates, fuzzy_lines.dedup_lines, paragraphs.remove_paragraphs):
         assert sorted(map(str, run(one).collect())) == sorted(map(str, run(many).collect()))
+
+
+def test_rows_that_repeat_an_id_are_documents(spark, tmp_path):
+    """Two texts under one id, two without id, copies of one row: every row comes back, under its own id, and the order of
+    the ids tells which copy stays."""
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcdef"]
+    rows = [(1, long[0]), (1, long[1]), (None, long[2]), (None, long[3]), (7, long[4]), (3, long[4]), (5, long[5]), (5, long[5]), (2, None), (2, "")]
+    docs = spark.createDataFrame([(*r, "en", "a", 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    key = lambda r: tuple(str(v) for v in r)
+    found = {name: OPERATORS[name](docs, None).collect() for name in ("substrings", "near", "lines", "paragraphs")}
+    for name, got in found.items():
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows), name
+    gone = {name: sorted(key((r["doc_id"], r[column])) for r in found[name] if r[column]) for name, column in (("substrings", "n_removed"), ("lines", "n_removed"), ("paragraphs", "n_words_removed"))}
+    assert [d for d, _ in gone["substrings"]] == [d for d, _ in gone["lines"]] == [d for d, _ in gone["paragraphs"]] == ["5", "7"]
+    assert sorted(key((r["doc_id"], r["class_id"])) for r in found["near"] if r["exact"]) == [("5", "5"), ("7", "3")]
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, docs, str(tmp_path)).collect()
+        assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "1", "None", "None", "3", "5", "2", "2"])

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.tables import shared_dir
+
 #: Stands for a null doc_id wherever documents are joined by their id.
 NULL_ID = -(2**63)
 
@@ -30,21 +31,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Own folders by application, where spark.checkpoint.dir is unset.
-OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        root = OWN[app] = OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="trackspark-")
-    return root.rstrip("/")
-
-
 #: Lets Spark drop a query's shuffle files as soon as it has ended.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -68,24 +54,35 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """`doc_id`, `text` and `columns` with one row per doc_id, null ids as NULL_ID.
+def rows_of(docs: DataFrame, *columns: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """`doc_id`, `text` and `columns` of every row, with a doc_id that no other row has, in the order of the ids given; and
+    back(df, column, ...), which gives the rows' own ids for these keys in columns of a result.
 
-    Rows that repeat a doc_id count as one document, the one with the greatest text (null lowest). Whether ids repeat
-    is asked of the id column alone, so that texts are only shuffled where they must be.
+    Ids are the keys, null as NULL_ID, where none repeats; this is asked of the id column alone. Otherwise the rows are
+    numbered by id (repeated ones in any order): by ranges of ids, so that no task numbers them all.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
-    docs = only(docs, "doc_id", "text", *columns).select(key, F.col("text").cast("string").alias("text"), *columns)
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1)
-    if repeated.isEmpty():
-        return docs
-    # columns may hold maps, which have no order, but their JSON has
-    best = F.max_by(F.struct("text", *columns), F.struct("text", *(F.to_json(F.struct(c)) for c in columns))).alias("best")
-    return docs.groupBy("doc_id").agg(best).select("doc_id", "best.*")
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
+    docs = only(docs, "doc_id", "text", *columns).select(id_, F.col("text").cast("string").alias("text"), *columns)
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).isEmpty():
+        return docs, lambda df, *names: df.withColumns({n: original_id(n) for n in names})
+    docs = stored(docs.withColumn("row", F.monotonically_increasing_id()), "documents", compression="zstd")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = stored(docs.select("doc_id", "row").repartitionByRange(parts, "doc_id", "row").withColumn("part", F.spark_partition_id()), "document-ids")
+    starts = ids.groupBy("part").count().withColumn("start", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "row")) - 1
+    keys = stored(ids.withColumn("place", place).join(starts, "part").select("row", (F.col("start") + F.col("place")).alias("key"), original_id()), "document-keys")
+
+    def back(df: DataFrame, *names: str) -> DataFrame:
+        order = df.columns
+        for n in names:
+            df = df.withColumnRenamed(n, "key").join(keys.select("key", F.col("doc_id").alias(n)), "key", "left").drop("key")
+        return df.select(*order)
+
+    return docs.join(keys.select("row", "key"), "row").select(F.col("key").alias("doc_id"), "text", *columns), back
 
 
 def original_id(column: str = "doc_id"):
-    """Undo keyed()'s stand-in for null ids."""
+    """Undo the stand-in for null ids."""
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, map_rows, original_id, stored
+from .common import map_rows, rows_of, stored
 from .near import SHINGLE, SIMILAR, linked, shingle_hashes, signed_hash, words_of
 from .substrings import scramble
 
@@ -112,10 +112,8 @@ def classes(docs: DataFrame, samples: int = 16, picked: int = 3, similar: float
     Texts are compared as lower-case words in shingles of five. Those with equal words are one node; nodes that share
     a key, all of them (see linked), are checked by banded alignment and linked from `similar` of their shingles' union
     on; classes are the components. Texts without a word, null ones too, are classes of their own; a text with fewer than five words is one
-    shingle; rows that repeat a doc_id count as one document (see keyed); an empty table gives an empty result; other
-    columns are not read. A pair at 0.8 shares a key with probability over 0.9999.
+    shingle; doc_id is a key; an empty table gives an empty result; other columns are not read. A pair at 0.8 shares a key with probability over 0.9999.
     """
-    docs = keyed(docs)
     rows = stored(sketches(docs, samples, picked), "order-sketches")
     nodes = rows.filter("node is not null")
 
@@ -128,7 +126,8 @@ def classes(docs: DataFrame, samples: int = 16, picked: int = 3, similar: float
     roots = linked(buckets, texts_of, lambda x, y: alike(x, y, similar), lambda text: labelled_shingles(words_of(text)), similar)
     heads = nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(roots, "node", "left")
     heads = heads.withColumn("root", F.coalesce("root", "node"))
-    whole = heads.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
+    heads = stored(heads, "class-heads", compression="zstd")
+    whole = stored(heads.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size")), "classes", compression="zstd")
     heads = heads.join(whole, "root").select("node", "first", "class_id", "class_size")
     out = rows.select("doc_id", "node").join(heads, "node", "left")
     return out.select(
@@ -138,6 +137,13 @@ def classes(docs: DataFrame, samples: int = 16, picked: int = 3, similar: float
 
 
 def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """classes() with null ids given back."""
-    found = classes(docs, **parameters)
-    return found.withColumns({"class_id": original_id("class_id"), "doc_id": original_id()})
+    """classes() of documents whose ids may be null or repeat: every row is a document of its own."""
+    docs, back = rows_of(docs)
+    return back(classes(docs, **parameters), "doc_id", "class_id")
+
+
+def first_of_each(docs: DataFrame, *columns: str, **parameters) -> DataFrame:
+    """doc_id, text and `columns` of one document of each class, the one with the smallest doc_id."""
+    docs, back = rows_of(docs, *columns)
+    kept = stored(classes(docs, **parameters).filter("doc_id = class_id").select("doc_id"), "kept")
+    return back(docs.join(kept, "doc_id", "left_semi"), "doc_id")

@@ -96,7 +96,7 @@ def line_frequency(docs: DataFrame, max_docs: int = 10, max_share: float = 0.001
     lines = facts.select("row", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("line"))
     lines = lines.select("row", "host", F.col("line.line_keys").alias("key"), F.col("line.line_words").alias("words"))
     often = lines.groupBy("key").agg(F.count("*").alias("n"), F.first("host").alias("host")).filter(F.col("n") > max_docs)
-    often = often.join(hosts, "host").filter(F.col("n") > max_share * F.col("host_docs")).select("key")
+    often = stored(often.join(hosts, "host").filter(F.col("n") > max_share * F.col("host_docs")).select("key"), "frequent-lines")  # so that Spark can split a very common one
     lost = lines.join(often, "key").groupBy("row").agg(F.count("*").alias("n_lines_removed"), F.sum("words").alias("n_words_removed"))
     zero = {"n_lines_removed": 0, "n_words_removed": 0}
     kept_words = F.col("n_words") - F.col("n_words_removed")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fuzzy_lines, language_id, lexical_search, media, order_minhash, packing, paragraphs, quality_rules, sentence_pieces, set_join, source_audit, substrings, toxicity
-from .common import documents, original_id
+from .common import documents
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.remove_paragraphs(documents(spark, sf_dir)).withColumn("doc_id", original_id())
+    return paragraphs.remove_paragraphs(documents(spark, sf_dir))
 
 
 def op11_count_level_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:

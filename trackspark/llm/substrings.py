@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, map_rows, original_id, small, stored
+from .common import map_rows, rows_of, small, stored
 
 GRAM, SEGMENT, CHUNK = 32, 1 << 20, 1 << 20
 POSITION = np.uint64(2**32 - 1)
@@ -279,17 +279,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataF
 
     A byte is removed if a `length`-byte string over it starts earlier, in a smaller doc_id or earlier in its own
     document. Anchors with more than `hot` different runs are compared by 128-bit window hashes in a grouped minimum,
-    which no single task gathers; all others by their bytes. Null texts are empty; rows that repeat a doc_id count as
-    one document (see keyed); a null doc_id is before all others; texts shorter than `length` stay whole; long texts
+    which no single task gathers; all others by their bytes. Null texts are empty; rows that repeat a
+    doc_id are documents of their own (see rows_of); a null doc_id is before all others; texts shorter than `length` stay whole; long texts
     are read in overlapping segments; an empty table gives an empty result; other columns are not read.
     """
-    docs = keyed(docs)
+    docs, back = rows_of(docs)
     runs = docs.filter(F.octet_length("text") >= length).mapInArrow(scan(length), RUN_SCHEMA)
     runs = runs.repartition(F.col("a")).sortWithinPartitions("a", "c1", "c2", "doc_id", "start")
     settled = stored(runs.mapInArrow(settle, "doc_id long, start long, windows int, a long, gone boolean"), "runs")
     contested = settled.filter("not gone")
     groups = contested.groupBy("a").agg(F.count("*").alias("n"))
-    hot_anchors = groups.filter(F.col("n") > hot).select("a", F.lit(True).alias("hot"))
+    # joined from a table, so that Spark can split the runs of a hot anchor
+    hot_anchors = stored(groups.filter(F.col("n") > hot).select("a", F.lit(True).alias("hot")), "hot-anchors")
     contested = contested.join(hot_anchors, "a", "left")
     wanted = contested.groupBy("doc_id").agg(F.collect_list(F.struct("a", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
 
@@ -309,8 +310,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataF
     solved = map_rows(few, solve(length), "doc_id long, start long, windows int")
     many = map_rows(contexts.filter("hot").select("doc_id", "start", "text"), hot_windows(length), "w1 long, w2 long, doc_id long, start long")
     earliest = many.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    earliest = stored(earliest, "first-windows", compression="zstd")
     later = many.join(earliest, ["w1", "w2"]).filter(F.struct("doc_id", "start") > F.col("first"))
     gone = settled.filter("gone").select("doc_id", "start", "windows")
     removed = gone.unionByName(solved).unionByName(later.select("doc_id", "start", F.lit(1).alias("windows")))
     removed = stored(removed, "windows")
-    return cut(docs, removed, length).withColumn("doc_id", original_id())
+    return back(cut(docs, removed, length), "doc_id")
