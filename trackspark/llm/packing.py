@@ -28,6 +28,10 @@ BUCKETS, BLOCK = 1024, 4096
 RUNS = re.compile(r"\s (?:\s|$)")
 
 
+#: Letters of the longest word that is kept, so that the number of words bounds the bytes too; text without blanks is one word.
+LONG_WORD = 64
+
+
 class Encoder:
     """The ids of tokenizers' byte_bpe_50k.json, by the faster library that has the same vocabulary, with a word cache."""
 
@@ -41,9 +45,11 @@ class Encoder:
         self.most = most
 
     def __missing(self, word: str) -> bytes:
-        if len(self.words) >= self.most:
-            self.words.clear()
-        found = self.words[word] = np.array(self.base.encode_ordinary(word), "<u2").tobytes()
+        found = np.array(self.base.encode_ordinary(word), "<u2").tobytes()
+        if len(word) <= LONG_WORD:
+            if len(self.words) >= self.most:
+                self.words.clear()
+            self.words[word] = found
         return found
 
     def __call__(self, text: str) -> bytes:

@@ -30,6 +30,8 @@ UNKNOWN = 10.0
 NEVER = float("-inf")
 #: Pairs of pieces whose merging is remembered.
 MOST_PAIRS = 1 << 18
+#: Letters of the longest word that is kept, so that the number of words bounds the bytes too; text without blanks is one word.
+LONG_WORD = 64
 #: Of a model file: the field with the trainer's settings, and in it the model type; the type for pair merges.
 SETTINGS, TYPE, PAIR_MERGES = 2, 3, 2
 
@@ -205,7 +207,7 @@ class Pieces:
             found[word] = ids
         made = self.encode_words(missing)
         found |= made
-        self.fresh |= made
+        self.fresh |= {word: ids for word, ids in made.items() if len(word) <= LONG_WORD}
         if len(self.fresh) > most // 2:
             self.old, self.fresh = self.fresh, {}
         return found
