@@ -1,12 +1,17 @@
 """Cases where an operator once did less than its whole job."""
 
+import itertools
 import random
 import tracemalloc
+import zlib
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from trackspark.llm import fuzzy_lines, near, paragraphs, sentence_pieces
+import corpus_pipeline
+from trackspark.llm import fuzzy_lines, language_id, near, packing, paragraphs, sentence_pieces, toxicity
 from trackspark.llm.common import documents
 
 
@@ -108,3 +113,103 @@ def test_twins_in_a_family_of_like_lines_lose_no_link(spark, twins):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
     kept = {r["doc_id"] for r in fuzzy_lines.dedup_lines(docs).filter("n_removed = 0").collect()}
     assert len(alike) > 0.9 * twins and not [k for k in alike if k in kept and k + 1 in kept]
+
+
+def plain_grams(text):
+    """1- to 3-grams of a text's letters, with one gap for a run of anything else, in plain Python."""
+    line = [1]
+    for letter in text.lower():
+        if letter.isalpha():
+            line.append(ord(letter))
+        elif line[-1] != 1:
+            line.append(1)
+    line += [1] if line[-1] != 1 else []
+    grams = [tuple(line[i : i + n]) for n in (1, 2, 3) for i in range(len(line) - n + 1)]
+    return [g for g in grams if g != (1,) and all(g[i : i + 2] != (1, 1) for i in range(len(g) - 1))] if len(line) > 1 else []
+
+
+def test_languages_equal_plain_profiles(spark):
+    """All documents of sf0.001: profiles and out-of-place distances by sorting and looking up, ties and all."""
+    docs = documents(spark, "/root/testdata/sf0.001")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    counts: dict = {}
+    for doc_id, text, lang in rows:
+        if zlib.crc32(str(doc_id).encode()) % 4 != 2 and lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    ranked = lambda c: sorted(c, key=lambda g: (-c[g], len(g), g))[:300]
+    profiles = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in counts.items()}
+    want = {}
+    for doc_id, text, _ in rows:
+        top = ranked(Counter(plain_grams(text or "")))
+        if not top:
+            want[doc_id] = ("und", 0.0)
+            continue
+        away = {lang: sum(abs(p[g] - k) if g in p else 300 for k, g in enumerate(top)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        want[doc_id] = (best, 1 - away[best] / (300 * len(top)))
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.fit_profiles(docs)).collect()}
+    assert set(got) == set(want) and len(profiles) == 4
+    for doc_id, (lang, score) in want.items():
+        assert got[doc_id]["lang_pred"] == lang and got[doc_id]["score"] == pytest.approx(score, abs=1e-12)
+        assert got[doc_id]["held_out"] == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
+
+
+def test_each_stage_of_the_pipeline_does_its_work(spark, tmp_path):
+    """sf0.001, stage by stage: every stage's rows against a plain version over the rows that it was given."""
+    sf = "/root/testdata/sf0.001"
+    now = documents(spark, sf)
+    rest = ("lang", "source")
+    for name, stage in corpus_pipeline.STAGES:
+        rows = {r["doc_id"]: r for r in now.collect()}
+        texts = {d: r["text"] or "" for d, r in rows.items()}
+        out = stage(spark, now, sf)
+        found = out.collect()
+        if name != "packing":
+            got = {r["doc_id"]: r for r in found}
+            assert len(got) == len(found) and set(got) <= set(rows)
+            assert all(got[d][c] == rows[d][c] for d in got for c in rest) and all(r["n_chars"] == len(r["text"] or "") for r in found)
+        if name == "toxicity":
+            model = toxicity.fit(now, spark.read.parquet(f"{sf}/labels.parquet"))
+            bad = {r["doc_id"] for r in toxicity.score(now, model).collect() if r["score"] >= 0.3}
+            assert set(got) == set(rows) - bad and 0 < len(bad) < 0.2 * len(rows)
+        elif name == "lines":
+            seen, want = set(), {}
+            for d in sorted(texts):  # exact repeats at least go, and what is left is lines of the text in order
+                kept = [x for x in texts[d].split("\n") if len(x) < 20 or not (x in seen or seen.add(x))]
+                want[d] = kept
+            for d, r in got.items():
+                left = (r["text"] or "").split("\n")
+                whole = iter(texts[d].split("\n"))
+                assert all(x in whole for x in left) and len(left) <= max(1, len(want[d]))
+            assert all(not "".join(want[d]).strip() or len(want[d]) < len(texts[d].split("\n")) for d in set(rows) - set(got))
+        elif name == "near":
+            sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in texts.items() if (w := near.words_of(t))}
+            root = {d: d for d in texts}
+            changed = True
+            links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+            while changed:
+                changed = False
+                for a, b in links:
+                    low = min(root[a], root[b])
+                    changed |= root[a] != low or root[b] != low
+                    root[a] = root[b] = low
+            assert set(got) == {d for d in texts if root[d] == d} and all(got[d]["text"] == rows[d]["text"] for d in got)
+        elif name == "passages":
+            runs = Counter(run for t in texts.values() for run in {tuple(w[i : i + 30]) for w in [near.words_of(t)] for i in range(len(w) - 29)})
+            alone = [d for d, t in texts.items() for w in [near.words_of(t)] if all(runs[tuple(w[i : i + 30])] == 1 for i in range(len(w) - 29)) and len(set(w)) > 0.2 * len(w)]
+            same = sum(d in got and got[d]["text"] == rows[d]["text"] for d in alone)
+            assert len(alone) > 100 and same >= 0.97 * len(alone)
+        else:
+            pieces: dict = {}
+            for r in found:
+                pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+            encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+            assert set(pieces) == set(rows)
+            for d, parts in pieces.items():
+                parts.sort()
+                assert [s for s, _, _ in parts] == [sum(n for _, n, _ in parts[:k]) for k in range(len(parts))]
+                assert sum(n for _, n, _ in parts) == parts[0][2] == len(encode(texts[d])) // 2
+            break
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    assert name == "packing"
