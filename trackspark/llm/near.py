@@ -97,17 +97,17 @@ def open_nodes(met: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 #: Words of 64 parity bits of a set.
-MARKS = tuple(f"m{i}" for i in range(8))
+MARKS = tuple(f"m{i}" for i in range(16))
 MARKED = "node long, root long, tokens array<long>, " + ", ".join(f"{m} long" for m in MARKS)
 
 
 def marks(tokens: np.ndarray) -> list[int]:
-    """512 bits, as longs: each is set if an odd number of the tokens falls on it.
+    """1024 bits, as longs: each is set if an odd number of the tokens falls on it.
 
     Where the marks of two sets differ in d bits, the sets differ in d tokens or more.
     """
     found = np.zeros(len(MARKS), np.uint64)
-    np.bitwise_xor.at(found, (tokens >> np.uint64(61)).astype(np.int64), np.uint64(1) << (tokens & np.uint64(63)))
+    np.bitwise_xor.at(found, (tokens >> np.uint64(60)).astype(np.int64), np.uint64(1) << (tokens & np.uint64(63)))
     return found.view(np.int64).tolist()
 
 

@@ -24,8 +24,9 @@ from .near import MARKED, MARKS, bucket_pairs, components, marks, prefix_pairs
 from .substrings import scramble
 
 WIDTH = 4
-#: Lists of a set that give the first pairs, least hashes by which these are compared, and how many must be equal.
-FIRST_LISTS, SKETCH, ALIKE = 4, 16, 9
+#: Bands and rows of the signatures that give the first pairs, least hashes by which these are compared, and how many must be equal.
+BANDS, ROWS, SKETCH, ALIKE = 8, 4, 32, 20
+NUMBERS = scramble(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -69,14 +70,24 @@ def document_sets(docs: DataFrame, percent: int) -> DataFrame:
     return map_rows(docs, run, "doc_id long, key long, n long, set binary, heads array<long>")
 
 
+def band_keys(tokens: np.ndarray) -> list[int]:
+    """A key per band, of the least values of ROWS hash functions: alike sets share one, others seldom."""
+    least = np.array([(tokens * (factor | np.uint64(1)) + shift).min() for factor, shift in NUMBERS.reshape(-1, 2)]).reshape(BANDS, ROWS)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.T:
+        keys = scramble(keys + row)
+    return keys.view(np.int64).tolist()
+
+
 def sets_of(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """node and tokens, read again from the document (doc_id, key) of each node."""
+    """node, tokens and band_keys(), read again from the document (doc_id, key) of each node."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield {"node": batch["node"], "tokens": [shingle_set(text).view(np.int64) for text in batch["text"]]}
+            sets = [shingle_set(text) for text in batch["text"]]
+            yield {"node": batch["node"], "tokens": [s.view(np.int64) for s in sets], "keys": list(map(band_keys, sets))}
 
-    return map_rows(docs.join(heads, ["doc_id", "key"]).select("node", "text"), run, "node long, tokens array<long>")
+    return map_rows(docs.join(heads.hint("merge"), ["doc_id", "key"]).select("node", "text"), run, "node long, tokens array<long>, keys array<long>")
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -152,27 +163,28 @@ def derived(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     return known.filter("surely").select("a", "b").unionByName(map_rows(open_, run, "a long, b long"))
 
 
-def first_pairs(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: each set b with the set before it that shares most of their SKETCH least hashes, of those that it meets in a few lists."""
-    keys = entries.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_LISTS).alias("keys"))
-    met = bucket_pairs(keys.select("node", F.explode("keys").alias("key"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def first_pairs(sets: DataFrame) -> DataFrame:
+    """a, b: each set b with the two sets before it that share most of their SKETCH least hashes, of those that it meets under
+    its band keys."""
+    met = bucket_pairs(sets.select("node", F.explode("keys").alias("key"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     least = sets.select("node", F.slice("tokens", 1, SKETCH).alias("tokens"))
     alike = with_tokens(met, least, a="x", b="y").select("a", "b", F.size(F.array_intersect("x", "y")).alias("alike"), F.least(F.size("x"), F.size("y")).alias("of"))
-    return alike.filter(F.col("alike") * SKETCH >= F.col("of") * ALIKE).groupBy("b").agg(F.max_by("a", F.struct("alike", "a")).alias("a"))
+    most = F.slice(F.sort_array(F.collect_list(F.struct("alike", "a")), asc=False), 1, 2)
+    return alike.filter(F.col("alike") * SKETCH >= F.col("of") * ALIKE).groupBy("b").agg(most.alias("most")).select(F.explode("most.a").alias("a"), "b")
 
 
 def open_pairs(entries: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of different components that share enough lists, by their rarest shingles (see prefix_pairs)."""
-    placed = stored(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "list-roots", compression="zstd")
+    placed = stored(entries.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "list-roots", compression="zstd")
     mixed = stored(placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token"), "mixed-lists")
-    nodes = placed.join(mixed, "token", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.count("*").alias("lists"))
+    nodes = placed.join(mixed.hint("merge"), "token", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.count("*").alias("lists"))
     nodes = stored(nodes.filter(F.col("lists") >= shared_firsts("n", percent)).select("node", "root"), "open-sets")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             yield batch | dict(zip(MARKS, zip(*(marks(ascending(t)) for t in batch["tokens"]))))
 
-    rows = sets.join(nodes, "node").dropDuplicates(["node"]).select("node", "root", "tokens")
+    rows = sets.join(nodes.hint("merge"), "node").dropDuplicates(["node"]).select("node", "root", "tokens")
     rows = stored(map_rows(rows, run, MARKED), "open-tokens", compression="zstd")
     return prefix_pairs(rows, percent / 100)
 
@@ -197,10 +209,10 @@ def jaccard_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     entries = stored(lists.join(shared, "token").distinct(), "list-entries", compression="zstd")
     wanted = entries.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("lists")).filter(F.col("lists") >= shared_firsts("n", percent)).select("node")
     wanted = stored(wanted, "wanted-sets")
-    entries = entries.join(wanted, "node", "left_semi")
+    entries = entries.join(wanted.hint("merge"), "node", "left_semi")  # merged at any size, as all grow with the input
     sets = stored(sets_of(docs, nodes.join(wanted, "node").select("node", "doc_id", "key")), "node-sets", compression="zstd")
 
-    links = overlaps(stored(first_pairs(entries, sets), "first-pairs"), sets).filter((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb")))
+    links = overlaps(stored(first_pairs(sets), "first-pairs"), sets).filter((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb")))
     roots = stored(components(stored(links.select("a", "b"), "set-links")), "set-roots")
     more = stored(derived(open_pairs(entries, roots, sets, percent), roots, sets, percent), "more-set-links")
     hooked = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
