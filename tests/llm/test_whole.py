@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from trackspark.llm import fuzzy_lines, language_id, near, packing, paragraphs, sentence_pieces, toxicity
+from trackspark.llm import language_id, near, packing, paragraphs, sentence_pieces, toxicity
 from trackspark.llm.common import documents
 
 
@@ -97,24 +97,6 @@ def test_documents_with_repeated_runs_lose_them_and_others_stay_whole(spark):
     assert all(left[d] == found[d]["n_words"] - found[d]["n_words_removed"] for d in found)
 
 
-@pytest.mark.parametrize("twins", [300, 1500])
-def test_twins_in_a_family_of_like_lines_lose_no_link(spark, twins):
-    """Lines of five own words and nine common ones, each with a twin at 0.8 or more: they share buckets by the hundred."""
-    rng = random.Random(14)
-    common_words, rows = words(rng, 9, 9000), []
-    for _ in range(twins):
-        own = words(rng, 5)
-        line = own[:2] + common_words[:5] + own[2:4] + common_words[5:] + own[4:]
-        twin = list(line)
-        twin[rng.randrange(14)] += rng.choice("ab")
-        rows += [" ".join(line), " ".join(twin)]
-    grams = [{" ".join([t])[i : i + 5] for i in range(len(t) - 4)} for t in rows]
-    alike = [k for k in range(0, 2 * twins, 2) if len(grams[k] & grams[k + 1]) >= 0.8 * len(grams[k] | grams[k + 1])]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
-    kept = {r["doc_id"] for r in fuzzy_lines.dedup_lines(docs).filter("n_removed = 0").collect()}
-    assert len(alike) > 0.9 * twins and not [k for k in alike if k in kept and k + 1 in kept]
-
-
 def plain_grams(text):
     """1- to 3-grams of a text's letters, with one gap for a run of anything else, in plain Python."""
     line = [1]
