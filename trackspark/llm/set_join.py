@@ -103,9 +103,9 @@ def ascending(tokens: list[int]) -> np.ndarray:
 
 
 def with_tokens(pairs: DataFrame, sets: DataFrame, **sides: str) -> DataFrame:
-    """`pairs` with the tokens of its node columns under the names given."""
+    """`pairs` with the tokens of its node columns under the names given; merged at any size, as both grow with the input."""
     for column, name in sides.items():
-        pairs = pairs.join(sets.select(F.col("node").alias(column), F.col("tokens").alias(name)), column)
+        pairs = pairs.join(sets.select(F.col("node").alias(column), F.col("tokens").alias(name)).hint("merge"), column)
     return pairs
 
 
