@@ -248,6 +248,41 @@ def test_lines_match_brute_force(docs):
     assert all(got[d][1] == t.count("\n") + 1 for d, t in rows)
 
 
+def test_no_line_of_a_bucket_is_lost(spark, monkeypatch):
+    """Lines of one template, each with a twin, that share buckets with many others: all links of a bucket are found."""
+    rng = random.Random(8)
+    base, rows = [f"common{k}word" for k in range(9)], []
+    for _ in range(400):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(5)]
+        line = " ".join(w for pair in itertools.zip_longest(base, own) for w in pair if w)
+        at = rng.randrange(len(line) - 1)
+        rows += [line, line[:at] + "#" + line[at + 1 :]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = fuzzy_lines.signatures(docs, 20).cache()
+    keys = [k for kind, c in enumerate(("some", "every")) for k in fuzzy_lines.band_keys(fuzzy_lines.F.col(c), kind)]
+    lines = [(r["node"], rows[r["doc_id"]], set(r["keys"]) - {None}, r["some"] or [], r["every"] or []) for r in found.withColumn("keys", fuzzy_lines.F.array(*keys)).collect()]
+    shingles = [{t[i : i + 5] for i in range(len(t) - 4)} for _, t, *_ in lines]
+    links = []
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        if lines[i][2] & lines[j][2] and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+            links.append((i, j))
+    want = union(len(lines), links)
+    roots = {r["node"]: r["root"] for r in fuzzy_lines.line_roots(docs, found, 0.8).collect()}
+    got = [roots.get(line[0], line[0]) for line in lines]
+    assert len(links) > 300
+    assert not [(rows[i], rows[j]) for i, j in links if got[i] != got[j]]
+    assert len(set(got)) == len(set(want))
+    with monkeypatch.context() as m:  # leaders alone lose some
+        m.setattr(fuzzy_lines, "open_members", lambda members, roots: members.limit(0))
+        roots = {r["node"]: r["root"] for r in fuzzy_lines.line_roots(docs, found, 0.8).collect()}
+    assert [1 for i, j in links if roots.get(lines[i][0], lines[i][0]) != roots.get(lines[j][0], lines[j][0])]
+    apart = spark.createDataFrame([(line[0], line[0]) for line in lines], "node long, root long")  # then squares of any side hold the same pairs
+    members = fuzzy_lines.bucket_members(found)
+    facts = fuzzy_lines.marked(spark.createDataFrame([(line[0], line[1], len(s)) for line, s in zip(lines, shingles)], "node long, line string, size int"))
+    pairs = [{tuple(r) for r in fuzzy_lines.open_pairs(fuzzy_lines.open_members(members, apart, side), facts, 0.8).collect()} for side in (16, 10**6)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(150)]
