@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trackspark.functions import names
 from trackspark.operators import audio, loadings, pose, quality, saliency, select, summary, tracks
+from trackspark.plans import model_queries
 from trackspark.sources import files
 from trackspark.streaming.counts import stream_chunk_counts
 
@@ -183,3 +184,23 @@ def test_stream_counts_match_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["count"] for r in spark.table("chunk_counts").filter("k = 'a'").collect()) == [1, 1, 3]
+
+
+def test_queries_of_many_tracks_write_no_file_for_each(spark, tmp_path, monkeypatch):
+    """s3 and s5 on 150 tracks: the same rows, in no more files than tasks."""
+    for number, run in enumerate((model_queries.s3_read_feature_json, model_queries.s5_read_song_records)):
+        monkeypatch.setattr(model_queries.files, "scratch", lambda spark, n=number: str(tmp_path / str(n)))
+        rows = run(spark, "/root/testdata/sf0.01")
+        assert rows.select("song").distinct().count() == 150
+        assert len(list((tmp_path / str(number)).rglob("part-*"))) <= 8
+
+
+def test_feature_lines_are_read_as_files_are(spark, tmp_path):
+    folder = tmp_path / "tree" / "A" / "s"
+    folder.mkdir(parents=True)
+    (folder / "violin.json").write_text('{"head": {"speed": [1.5, null, 2.0]}}')
+    (tmp_path / "lines.txt").write_text('{"A": {"s": {"violin": {"head": {"speed": [1.5, null, 2.0]}}}}}\n')
+    got = [sorted(map(tuple, files.read_feature_json(spark, str(p), "general", lines).collect()), key=str) for p, lines in ((tmp_path / "tree", False), (tmp_path / "lines.txt", True))]
+    assert got[0] == got[1] and len(got[0]) == 3
+    (tmp_path / "songs.txt").write_text('{"artist": "A", "song": "s", "m": 1.0}\n{"artist": "A", "so\n{"song": "t", "m": 2.0}\n')
+    assert [tuple(r) for r in files.read_song_records(spark, str(tmp_path / "songs.txt"), "artist string, song string, m double", lines=True).collect()] == [("A", "s", 1.0)]

@@ -82,21 +82,31 @@ def write_keypoint_arrays(frames: DataFrame, keys: list[str], root: str) -> int:
     return rows.mapInArrow(save, "path string").count()
 
 
-def read_feature_json(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """artist, song, instrument, feature, frame, value. kind general: {part: {feature: [..]}}; others: {feature: [..]}."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    keys = [path_part(3).alias("artist"), path_part(2).alias("song"), path_part(1).alias("instrument")]
+def read_feature_json(spark: SparkSession, root: str, kind: str, lines: bool = False) -> DataFrame:
+    """artist, song, instrument, feature, frame, value. kind general: {part: {feature: [..]}}; others: {feature: [..]}.
+
+    A file per track, named by its path; with `lines`, tracks are lines {artist: {song: {instrument: ..}}} of files of any
+    number, as many small files take longer to make, list and open than to read.
+    """
+    leaf = "map<string,map<string,array<double>>>" if kind == "general" else "map<string,array<double>>"
+    if lines:
+        raw = nested(spark, root, f"map<string,{leaf}>", lines).select("artist", "song", F.explode("value").alias("instrument", "m"))
+    else:
+        raw = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+        raw = raw.select(path_part(3).alias("artist"), path_part(2).alias("song"), path_part(1).alias("instrument"), F.from_json("value", leaf).alias("m"))
+    keys = ["artist", "song", "instrument"]
     if kind == "general":
-        rows = raw.select(*keys, F.explode(F.from_json("value", "map<string,map<string,array<double>>>")).alias("part", "m"))
-        rows = rows.select("artist", "song", "instrument", "part", F.explode("m").alias("feature", "v")).withColumn("feature", F.concat_ws("_", "part", "feature"))
+        rows = raw.select(*keys, F.explode("m").alias("part", "m"))
+        rows = rows.select(*keys, "part", F.explode("m").alias("feature", "v")).withColumn("feature", F.concat_ws("_", "part", "feature"))
     else:
-        rows = raw.select(*keys, F.explode(F.from_json("value", "map<string,array<double>>")).alias("feature", "v"))
-    return rows.select("artist", "song", "instrument", "feature", F.posexplode("v").alias("frame", "value"))
+        rows = raw.select(*keys, F.explode("m").alias("feature", "v"))
+    return rows.select(*keys, "feature", F.posexplode("v").alias("frame", "value"))
 
 
-def read_song_records(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Records of a folder of JSON files, one per song; aggregates, broken files and those without artist or song go."""
-    rows = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(folder)
+def read_song_records(spark: SparkSession, folder: str, schema: str, lines: bool = False) -> DataFrame:
+    """Records of a folder of JSON files, one per song, or one per line; aggregates, broken ones and those without artist or
+    song go."""
+    rows = spark.read.schema(f"{schema}, _broken string").option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(folder)
     kept = rows.filter(~F.col("_metadata.file_name").startswith("aggregated_") & F.col("_broken").isNull() & F.col("artist").isNotNull() & F.col("song").isNotNull())
     return kept.drop("_broken")
 
