@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -87,6 +88,23 @@ def quaternion_fit(a, b):
     ])
 
 
+def test_registration_takes_few_frames_at_once(spark, monkeypatch):
+    """A batch of 5,000 frames is fitted in parts, and their rows stay in order."""
+    rng = np.random.default_rng(3)
+    goal, seen, fit = rng.normal(size=(8, 3)), [], pose.rigid_fit
+    monkeypatch.setattr(pose, "rigid_fit", lambda data, *rest: seen.append(len(data)) or fit(data, *rest))
+    df = spark.createDataFrame([(1, [(0.0, 1.0, 2.0)] * 8)], "id long, pts array<struct<x: double, y: double, z: double>>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run, raising=False)
+    run = pose.register_to_template(df, ["id"], goal.tolist(), 8)
+    monkeypatch.undo()
+    clouds = [[{"x": float(k), "y": 1.0 * (k % 7), "z": None if k == 4000 else float(i * i)} for i in range(8)] for k in range(5000)]
+    monkeypatch.setattr(pose, "rigid_fit", lambda data, *rest: seen.append(len(data)) or data + 1)
+    out = list(run(iter([pa.RecordBatch.from_pylist([{"id": k, "pts": c} for k, c in enumerate(clouds)])])))
+    assert max(seen) <= 1024 and sum(seen) == 5000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["id"] for r in rows] == list(range(5000)) and [r["pts"][3]["x"] for r in rows] == [k + 1.0 for k in range(5000)]
+
+
 def test_registration_equals_the_quaternion_solution(spark):
     rng = np.random.default_rng(9)
     goal = rng.normal(size=(12, 3))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,9 @@ from ..functions.numeric import nan, above
 from .blocks import BLOCK, halo, in_blocks
 from .timeaxis import gradient
 
+#: Frames that are registered in one go, whatever Spark's batches have.
+FRAMES_AT_ONCE = 1024
+
 # Points of the 133-point whole-body layout, and of the 68-point face, by part.
 BODY_PARTS = {
     "head": [0, 1, 2, 3, 4],
@@ -160,14 +164,18 @@ def register_to_template(frames: DataFrame, keys: list[str], template: list[list
     goal = np.array(template, float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(len(keys)).to_pylist()
-            if not rows:
-                continue
-            data = np.array([[[np.nan if v is None else v for v in (p["x"], p["y"], p["z"])] for p in r] for r in rows], float)
-            moved = rigid_fit(data, goal, fit)[:, :, :2]
-            out = pa.array([[{"x": x, "y": y} for x, y in r] for r in moved.tolist()], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], out], names=[*keys, points])
+        for whole in batches:
+            for first in range(0, whole.num_rows, FRAMES_AT_ONCE):
+                batch = whole.slice(first, FRAMES_AT_ONCE)
+                rows = batch.column(len(keys))
+                if len(pc.unique(pc.list_value_length(rows))) != 1 or rows.null_count:
+                    raise ValueError("frames must have the same number of points")
+                flat = rows.flatten()
+                data = np.stack([pc.struct_field(flat, axis).cast(pa.float64()).to_numpy(zero_copy_only=False) for axis in "xyz"], axis=-1)
+                moved = rigid_fit(data.reshape(len(rows), -1, 3), goal, fit)[:, :, :2]
+                ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * moved.shape[1])
+                made = pa.StructArray.from_arrays([pa.array(moved[:, :, i].ravel()) for i in range(2)], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.ListArray.from_arrays(ends, made)], names=[*keys, points])
 
     kept = frames.select(*keys, points)
     schema = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys)
