@@ -124,3 +124,23 @@ def test_tracks_of_the_query_equal_a_plain_loop(spark):
     assert any(v == (None, None) for v in want.values())
     for key, value in want.items():
         assert got[key] == pytest.approx(value) if value[0] is not None else got[key] == (None, None)
+
+
+def test_rounds_carry_the_centres_on(spark, detections):
+    """Clustering in many rounds of few boxes gives what a plain loop over whole songs gives, with all frames counted too."""
+    frames = spark.range(400).selectExpr("id * 1000 as frame").crossJoin(spark.range(5).selectExpr("cast(id as int) as song"))
+    limits = tracks.adaptive_thresholds(detections, ["song"])
+    radius = {r["song"]: r["radius"] for r in limits.collect()}
+    boxes = detections.cache()
+    rounds = tracks.in_rounds(tracks.with_centers(boxes), ["song"], 500)
+    assert len(rounds) > 4 and sum(r.count() for r in rounds) == boxes.count()
+    close(collected(tracks.cluster_centers(boxes, limits, ["song"], 0.02, size=500)), plain_centers(boxes_of(boxes), radius, 0.02))
+    every = {s: 400 for s in radius}
+    close(collected(tracks.cluster_centers(boxes, limits, ["song"], 0.5, frames, 500)), plain_centers(boxes_of(boxes), radius, 0.5, every))
+
+
+def test_long_songs_meet_their_few_rows_in_shares(spark):
+    rows = spark.range(10000).selectExpr("id % 2 as song", "id as frame")
+    found = tracks.with_song(rows, spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "song long, name string").hint("merge"), ["song"])
+    assert found.groupBy("song", "name").count().count() == 3 and found.count() == 15000
+    assert "__share" in found._jdf.queryExecution().executedPlan().toString()

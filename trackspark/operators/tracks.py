@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.tables import kept, scratch
 from .pose import distance
 from .timeaxis import islands
 
@@ -38,10 +38,12 @@ class Leaders:
     Centres lie in square cells a little wider than `limit`, so that only those of nine cells can be near a point.
     """
 
-    def __init__(self, limit: float):
+    def __init__(self, limit: float, found: list[dict] = ()):
         self.limit, self.width = limit, limit * 1.000001 or 1.0
-        self.found: list[list[float]] = []
+        self.found: list[list[float]] = [[c["x"], c["y"], c["count"]] for c in found]
         self.cells: dict[tuple[int, int], list[int]] = {}
+        for k, c in enumerate(self.found):
+            self.cells.setdefault(self.cell(c[0], c[1]), []).append(k)
 
     def cell(self, x: float, y: float) -> tuple[int, int]:
         return math.floor(x / self.width), math.floor(y / self.width)
@@ -69,49 +71,86 @@ class Leaders:
             self.cells.setdefault(after, []).append(first)
 
 
-def cluster_centers(detections: DataFrame, thresholds: DataFrame, keys: list[str], share: float = 0.66, frames: DataFrame | None = None) -> DataFrame:
+#: Boxes of a song in one round of clustering, and frames that stay in one round together.
+ROUND, TOGETHER = 1 << 20, 4096
+#: Shares of a song's rows where all of them meet the song's own few rows.
+SHARES = 64
+
+
+def with_song(rows: DataFrame, songs: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
+    """`rows` with the columns of `songs` (a few rows for each of the keys), joined in SHARES shares of a song's frames, so
+    that the rows of a few long songs are many tasks."""
+    few = songs.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    return rows.withColumn("__share", F.pmod(F.xxhash64(frame), F.lit(SHARES).cast("long"))).join(few, [*keys, "__share"]).drop("__share")
+
+
+def in_rounds(rows: DataFrame, keys: list[str], size: int) -> list[DataFrame]:
+    """The rows in rounds of about `size` a song, in the order of their frames; as they are if one is enough."""
+    block = F.floor(F.col("frame") / TOGETHER).alias("__block")
+    counts = rows.groupBy(*keys, block).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per block
+    rounds = kept(counts.select(*keys, "__block", F.floor(before / size).alias("__round")))
+    numbers = sorted(r[0] for r in rounds.select("__round").distinct().collect())
+    if len(numbers) < 2:
+        return [rows]
+    path = scratch(rows.sparkSession)
+    dealt = rows.withColumn("__block", block).join(rounds.hint("merge"), [*keys, "__block"]).drop("__block")
+    dealt.repartition("__round", *keys).write.option("compression", "zstd").partitionBy("__round").parquet(path)
+    table = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+    return [table.filter(F.col("__round") == n).select(*rows.columns) for n in numbers]
+
+
+def cluster_centers(detections: DataFrame, thresholds: DataFrame, keys: list[str], share: float = 0.66, frames: DataFrame | None = None, size: int = ROUND) -> DataFrame:
     """Clusters of box centres (center, x, y, count) found in more than `share` of the song's frames.
 
     In (frame, subj) order a box joins the first cluster within the radius, whose running mean it moves, or makes a new one.
     `frames` (keys, frame) has all frames of the songs; without it those count that have a box. The order decides, so a
-    song's boxes pass through one task, in sorted batches: only the centres are held, never the song. Boxes without centre
-    are skipped.
+    song's boxes pass through one task after another, in rounds of about `size` boxes and sorted batches: a task holds a round
+    and the centres, never the song. Boxes without centre are skipped.
     """
     rows = with_centers(detections).filter(F.col("cx").isNotNull() & F.col("cy").isNotNull() & ~F.isnan("cx") & ~F.isnan("cy"))
+    rows = rows.select(*keys, "frame", "subj", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
     limits = thresholds.select(*keys, F.col("radius").cast("double").alias("radius"))
+    total = F.lit(None).cast("long").alias("total")
     if frames is not None:
-        limits = limits.join(frames.groupBy(*keys).agg(F.countDistinct("frame").alias("__frames")), keys)
-    rows = rows.join(limits, keys)
-    rows = rows.select(*keys, "frame", "subj", "cx", "cy", "radius", *(["__frames"] if frames is not None else []))
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "frame", "subj")
-    made = [T.StructField("center", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("count", T.LongType())]
-    schema = T.StructType([rows.schema[k] for k in keys] + made)
-    types, at, counted = to_arrow_schema(schema), len(keys), frames is not None
+        limits, total = limits.join(frames.groupBy(*keys).agg(F.countDistinct("frame").alias("total")), keys), F.col("total")
+    no_frame = F.lit(None).cast(rows.schema["frame"].dataType).alias("last")
+    none = F.array().cast("array<struct<x:double,y:double,count:double>>").alias("found")
+    states = limits.select(*keys, F.struct("radius", total, F.lit(0).cast("long").alias("seen"), no_frame, none).alias("state"))
+    schema, at = states.schema, len(keys)
+    types = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = leaders = frame = total = None
+        key = leaders = frame = state = None
         seen = 0
 
         def closed() -> pa.RecordBatch:
-            least = share * (total if total is not None else seen)
-            kept = [(*key, i, c[0], c[1], int(c[2])) for i, c in enumerate(leaders.found) if c[2] > least]
-            return pa.RecordBatch.from_pylist([dict(zip(types.names, row)) for row in kept], schema=types)
+            now = state | {"seen": seen, "last": frame, "found": [{"x": c[0], "y": c[1], "count": float(c[2])} for c in leaders.found]}
+            return pa.RecordBatch.from_pylist([dict(zip(types.names, (*key, now)))], schema=types)
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            of = list(zip(*columns[:at]))
-            for k, f, x, y, radius, n in zip(of, columns[at], *columns[at + 2 : at + 5], columns[at + 5] if counted else [None] * len(of)):
-                if leaders is None or k != key:
+            for k, given, f, x, y in zip(zip(*columns[:at]), columns[at], *columns[at + 1 :]):
+                if given is not None:
                     if leaders is not None:
                         yield closed()
-                    key, leaders, frame, total, seen = k, Leaders(radius), None, n, 0
-                if f != frame:
-                    frame, seen = f, seen + 1
-                leaders.add(x, y)
+                    key, state, leaders, frame, seen = k, given, Leaders(given["radius"], given["found"]), given["last"], given["seen"]
+                elif k == key:  # a song without limits has no clusters
+                    if f != frame:
+                        frame, seen = f, seen + 1
+                    leaders.add(x, y)
         if leaders is not None:
             yield closed()
 
-    return rows.mapInArrow(run, schema)
+    for i, part in enumerate(rounds := in_rounds(rows, keys, size)):
+        both = states.unionByName(part.withColumn("state", F.lit(None).cast(schema["state"].dataType)), allowMissingColumns=True)
+        both = both.repartition(*keys).sortWithinPartitions(*keys, F.col("state").isNull(), "frame", "subj").select(*keys, "state", "frame", "cx", "cy")
+        states = both.mapInArrow(run, schema)
+        if i + 1 < len(rounds):
+            states = kept(states)
+    least = share * F.coalesce("state.total", "state.seen")
+    found = states.select(*keys, least.alias("__least"), F.posexplode("state.found").alias("center", "c")).filter("c.count > __least")
+    return found.select(*keys, F.col("center").cast("long").alias("center"), "c.x", "c.y", F.col("c.count").cast("long").alias("count"))
 
 
 def drop_high_outliers(centers: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,11 +180,11 @@ def assign_nearest(detections: DataFrame, performers: DataFrame, thresholds: Dat
     Of several boxes the last subject wins; frames without one have nulls. `frames` (keys, frame) has all frames, those
     without any box too; without it the frames are those of the boxes.
     """
-    boxes = with_centers(detections).join(thresholds.select(*keys, "radius"), keys)
-    near = boxes.join(performers.select(*keys, "instrument", "x", "y"), keys).withColumn("__d", distance(F.col("cx"), F.col("cy"), F.col("x"), F.col("y")))
+    goals = performers.select(*keys, "instrument", "x", "y").join(thresholds.select(*keys, "radius"), keys)
+    near = with_song(with_centers(detections), goals, keys).withColumn("__d", distance(F.col("cx"), F.col("cy"), F.col("x"), F.col("y")))
     best = near.groupBy(*keys, "frame", "subj", *values, "radius").agg(F.min_by("instrument", F.struct("__d", "x")).alias("instrument"), F.min("__d").alias("__d"))
     won = best.filter(F.col("__d") < F.col("radius")).groupBy(*keys, "instrument", "frame").agg(F.max_by(F.struct(*values), "subj").alias("__v"))
-    spine = performers.select(*keys, "instrument").join((detections if frames is None else frames).select(*keys, "frame").distinct(), keys)
+    spine = with_song((detections if frames is None else frames).select(*keys, "frame").distinct(), performers.select(*keys, "instrument"), keys)
     return spine.join(won, [*keys, "instrument", "frame"], "left").select(*keys, "instrument", "frame", *(F.col(f"__v.{v}").alias(v) for v in values))
 
 
@@ -155,7 +194,7 @@ def build_tracks(detections: DataFrame, songs: DataFrame, keys: list[str], value
     `frames` (keys, frame) has all frames of the songs, those without a box too.
     """
     usable = songs.filter(F.col("layout").isNotNull() & ~F.coalesce("moving_camera", F.lit(False)))
-    boxes = detections.join(usable.select(*keys), keys, "left_semi")
+    boxes = with_song(detections, usable.select(*keys).distinct(), keys)
     limits = adaptive_thresholds(boxes, keys)
     centers = drop_high_outliers(cluster_centers(boxes, limits, keys, share, frames), limits, keys)
     return assign_nearest(boxes, pick_performers(centers, usable, keys), limits, keys, values, frames)
