@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackspark.operators import blocks, correlate, timeaxis
-from trackspark.plans import workloads
+from trackspark.plans import pose_queries, workloads
 
 LENGTHS = (1, 2, 6, 7, 8, 13, 14, 15, 29, 64)
 
@@ -61,6 +61,24 @@ def test_gaps_runs_and_windows_in_blocks_equal_whole_tracks(df, block):
         same(correlate.sliding_corr(zero, ["track"], win=win, step=step, block=block), correlate.sliding_corr(zero, ["track"], win=win, step=step, block=10**6))
 
 
+def test_points_are_normalised_once_and_few_tracks_are_several_tasks(spark, tmp_path):
+    """No filter repeats the arrays' expressions for each point, and frames are numbered by label and block, null labels too."""
+    rows = [(i * 1000, None if i % 5 == 4 else i % 2, [float((i * k) % 17) for k in range(64)]) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = pose_queries.w1_normalize_frame(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Filter" in line and "lambda" in line for line in plan)
+    windows = [line for line in plan if "Window [row_number" in line]
+    assert windows and all("__block" in line for line in windows)
+    want = {}
+    for _, label, _ in rows:
+        want.setdefault(label, []).append(len(want.get(label, [])))
+    got = {}
+    for r in found.filter("kp = 31").collect():
+        got.setdefault(r["track"], []).append(r["frame"])
+    assert {k: sorted(v) for k, v in got.items()} == want and found.count() == 60 * 32
+
+
 def test_motion_features_in_blocks(spark):
     rng = np.random.default_rng(2)
     rows = [(t, i, [(float(a), float(b)) for a, b in rng.normal(size=(6, 2))], rng.uniform(0, 9, 6).tolist()) for t in ("a", "b") for i in range(23)]

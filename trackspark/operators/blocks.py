@@ -8,6 +8,8 @@ one row per block.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,11 +49,14 @@ def block_totals(df: DataFrame, track: list[str], sums: dict[str, Column], block
 
 
 def close_up(df: DataFrame, track: list[str], block: int = BLOCK, frame: str = "frame") -> DataFrame:
-    """The rows with frames numbered anew from 0 on in their order: places inside a block, after the rows of earlier blocks."""
+    """The rows with frames numbered anew from 0 on in their order: places inside a block, after the rows of earlier blocks. Null is a track of its own."""
     earlier = block_totals(df, track, {"__rows": F.count("*")}, block, frame)
     inside = F.row_number().over(Window.partitionBy(*track, "__block").orderBy(frame)).cast("long") - 1
     rows = df.withColumn("__block", block_of(frame, block)).withColumn("__at", inside)
-    return rows.join(earlier, [*track, "__block"]).withColumn(frame, F.col("__at") + F.col("__rows")).select(*df.columns)
+    names = [*track, "__block"]
+    earlier = earlier.select(*(F.col(c).alias(f"__of_{i}") for i, c in enumerate(names)), "__rows")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__of_{i}")) for i, c in enumerate(names)))
+    return rows.join(earlier, same).withColumn(frame, F.col("__at") + F.col("__rows")).select(*df.columns)
 
 
 def neighbours_known(df: DataFrame, track: list[str], values: dict[str, Column], block: int = BLOCK, frame: str = "frame") -> DataFrame:

@@ -64,8 +64,11 @@ def normalize_frame(frames: DataFrame, kp: str = "kp", scale: float = 1.0) -> Da
 
 
 def explode_points(frames: DataFrame, keys: list[str], kp: str = "kp") -> DataFrame:
-    """keys, kp, x, y: one row per point."""
-    rows = frames.select(*keys, F.posexplode(kp).alias("kp", "__p"))
+    """keys, kp, x, y: one row per point.
+
+    For a plain posexplode Spark would first filter by the array's size, as a copy of all that the array is made from.
+    """
+    rows = frames.select(*keys, F.posexplode_outer(kp).alias("kp", "__p")).filter("kp is not null")
     return rows.select(*keys, "kp", "__p.x", "__p.y")
 
 

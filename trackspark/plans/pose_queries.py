@@ -22,7 +22,7 @@ def parts(spark):
 
 def points(spark, sf_dir):
     rows = frames(spark, sf_dir)
-    exploded = rows.select("track", "frame", "vec_id", F.posexplode(F.arrays_zip("kp", "score")).alias("kp", "p"))
+    exploded = rows.select("track", "frame", "vec_id", F.posexplode_outer(F.arrays_zip("kp", "score")).alias("kp", "p")).filter("kp is not null")  # see explode_points
     return exploded.select("track", "frame", "vec_id", "kp", "p.kp.x", "p.kp.y", "p.score")
 
 

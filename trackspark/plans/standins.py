@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan
+from ..operators import blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,13 +49,13 @@ LINES = f"""lines AS (SELECT l_suppkey AS track, row_number() OVER (PARTITION BY
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track, frame, kp (32 points) and score (32): one track per label."""
-    rows = table(spark, sf_dir, "embeddings")
-    frame = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
+    # numbered in blocks, as there are few labels
+    rows = blocks.close_up(table(spark, sf_dir, "embeddings").withColumn("frame", F.col("vec_id")), ["label"])
     value = lambda i: F.element_at("embedding", i).cast("double")
     at = F.sequence(F.lit(0), F.lit(31))
     kp = F.transform(at, lambda i: F.struct(value(2 * i + 1).alias("x"), value(2 * i + 2).alias("y")))
     score = F.transform(at, lambda i: F.when((F.col("vec_id") + i) % 7 == 0, nan()).otherwise(((F.col("vec_id") * 3 + i * 5) % 11).cast("double")))
-    return rows.select(F.col("label").alias("track"), frame.alias("frame"), kp.alias("kp"), score.alias("score"), "vec_id")
+    return rows.select(F.col("label").alias("track"), "frame", kp.alias("kp"), score.alias("score"), "vec_id")
 
 
 POINTS = """points AS (SELECT track, frame, vec_id, CAST(kp AS INTEGER) AS kp, CAST(embedding[2 * kp + 1] AS DOUBLE) AS x, CAST(embedding[2 * kp + 2] AS DOUBLE) AS y,

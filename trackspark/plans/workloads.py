@@ -25,7 +25,7 @@ def motion_features(frames: DataFrame, track: list[str], parts: DataFrame, dropp
         return timeaxis.speed_acceleration(timeaxis.smooth(wide, keys, ["x", "y"]).withColumns(masked), keys, fps=fps)
 
     rows = blocks.in_blocks(rows, track, 4, moved, block)
-    points = rows.select(*track, "frame", F.explode(F.arrays_zip("__at", "speed", "acceleration")).alias("p"))
+    points = rows.select(*track, "frame", F.explode_outer(F.arrays_zip("__at", "speed", "acceleration")).alias("p")).filter("p is not null")  # see explode_points
     points = points.select(*track, "frame", F.col("p.__at").alias("kp"), "p.speed", "p.acceleration")
     return timeaxis.part_means(points, [*track, "frame"], parts, ["speed", "acceleration"])
 
