@@ -226,6 +226,31 @@ def test_equal_words_are_cut_at_equal_places():
         assert cuts[0] & cuts[1] & inside
 
 
+@pytest.mark.parametrize("most", [1 << 13, 3])
+def test_no_link_between_paragraphs_is_lost(spark, most):
+    """All pairs of different paragraphs from 0.8 on are linked: edited ends, repeated shingles, overlaps, large buckets."""
+    rng = random.Random(21)
+    base, rows = [words(rng, 40, 10**6) for _ in range(6)], []
+    for k in range(240):
+        w = list(base[k % 6][: rng.randrange(31, 41)])
+        if k % 4 == 1:
+            w[12:18] = w[2:8]  # shingles that repeat
+        for _ in range(k % 3):
+            w[rng.choice((0, 1, len(w) - 1, len(w) - 2, rng.randrange(len(w))))] = f"own{rng.randrange(10**6)}"
+        rows.append(" ".join(words(rng, rng.randrange(3)) + w))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = paragraphs.units(docs, 0.8)
+    nodes = paragraphs.distinct_units(found)
+    sets = {r["node"]: shingles(" ".join(near.words_of(rows[r["head"]["doc_id"]])[r["head"]["a"] : r["head"]["b"]])) for r in nodes.collect()}
+    names = sorted(sets)
+    links = [(i, j) for i, j in itertools.combinations(range(len(names)), 2) if len(sets[names[i]] & sets[names[j]]) >= 0.8 * len(sets[names[i]] | sets[names[j]])]
+    root = union(len(names), links)
+    linked = {i for pair in links for i in pair}
+    got = {r["node"]: r["root"] for r in paragraphs.linked(docs, found, nodes, 0.8, most).collect()}
+    assert len(links) > 500 and any(len(sets[names[i]]) < 26 for i in linked)
+    assert got == {names[i]: names[root[i]] for i in linked}
+
+
 def test_bands_are_tuned():
     for similar in (0.5, 0.8, 0.9):
         bands, rows = paragraphs.tuned(similar, 0.99)
