@@ -126,10 +126,11 @@ def classes(docs: DataFrame, samples: int = 16, picked: int = 3, similar: float
     roots = linked(buckets, texts_of, lambda x, y: alike(x, y, similar), lambda text: labelled_shingles(words_of(text)), similar)
     heads = nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).join(roots, "node", "left")
     heads = heads.withColumn("root", F.coalesce("root", "node"))
-    heads = stored(heads, "class-heads", compression="zstd")
+    heads = stored(heads, "class-heads", [roots], compression="zstd")
     whole = stored(heads.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size")), "classes", compression="zstd")
-    heads = heads.join(whole, "root").select("node", "first", "class_id", "class_size")
-    out = rows.select("doc_id", "node").join(heads, "node", "left")
+    heads = stored(heads.join(whole, "root").select("node", "first", "class_id", "class_size"), "node-classes", [heads, whole], compression="zstd")
+    rows = stored(rows.select("doc_id", "node"), "document-nodes", [rows], compression="zstd")
+    out = rows.join(heads, "node", "left")
     return out.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (F.col("first").isNotNull() & (F.col("first") < F.col("doc_id"))).alias("exact"),

@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, map_rows, only, original_id, stored
-from .near import MARKED, MARKS, bucket_pairs, components, marks, prefix_pairs
+from .common import NULL_ID, drop, map_rows, only, original_id, stored
+from .near import MARKED, MARKS, bucket_pairs, components, joined_roots, marks, prefix_pairs
 from .substrings import scramble
 
 WIDTH = 4
@@ -139,7 +139,7 @@ def derived(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     What a shares with b is what it shares with the root, less its part in what b lacks, plus its part in what b has more.
     Where the sizes of these decide, a isn't read again.
     """
-    pairs = stored(pairs.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b")), "set-pairs", compression="zstd")
+    pairs = stored(pairs.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b")), "set-pairs", [pairs], compression="zstd")
     base = stored(overlaps(pairs.select("a", F.col("root").alias("b")).distinct(), sets), "root-overlaps", compression="zstd")
     changes = stored(differences(pairs.select("b", "root").distinct(), sets), "set-changes", compression="zstd")
     known = pairs.join(base.select("a", F.col("b").alias("root"), "na", F.col("both").alias("base")), ["a", "root"]).join(changes, ["b", "root"])
@@ -147,7 +147,7 @@ def derived(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     need = percent * (F.col("na") + F.col("nb"))
     surely = (100 + percent) * (F.col("base") - F.size("less")) >= need
     maybe = (100 + percent) * (F.col("base") + F.size("more")) >= need
-    known = stored(known.filter(maybe).withColumn("surely", surely), "set-answers", compression="zstd")
+    known = stored(known.filter(maybe).withColumn("surely", surely), "set-answers", [pairs, base, changes], compression="zstd")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -160,7 +160,7 @@ def derived(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
             yield {"a": [a for a, _ in good], "b": [b for _, b in good]}
 
     open_ = with_tokens(known.filter("not surely"), sets, a="x").select("a", "b", "na", "nb", "base", "less", "more", "x")
-    return known.filter("surely").select("a", "b").unionByName(map_rows(open_, run, "a long, b long"))
+    return stored(known.filter("surely").select("a", "b").unionByName(map_rows(open_, run, "a long, b long")), "more-set-links", [known])
 
 
 def first_pairs(sets: DataFrame) -> DataFrame:
@@ -178,15 +178,17 @@ def open_pairs(entries: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
     placed = stored(entries.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "list-roots", compression="zstd")
     mixed = stored(placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token"), "mixed-lists")
     nodes = placed.join(mixed.hint("merge"), "token", "left_semi").groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.count("*").alias("lists"))
-    nodes = stored(nodes.filter(F.col("lists") >= shared_firsts("n", percent)).select("node", "root"), "open-sets")
+    nodes = stored(nodes.filter(F.col("lists") >= shared_firsts("n", percent)).select("node", "root"), "open-sets", [placed, mixed])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             yield batch | dict(zip(MARKS, zip(*(marks(ascending(t)) for t in batch["tokens"]))))
 
     rows = sets.join(nodes.hint("merge"), "node").dropDuplicates(["node"]).select("node", "root", "tokens")
-    rows = stored(map_rows(rows, run, MARKED), "open-tokens", compression="zstd")
-    return prefix_pairs(rows, percent / 100)
+    rows = stored(map_rows(rows, run, MARKED), "open-tokens", [nodes], compression="zstd")
+    pairs = prefix_pairs(rows, percent / 100)
+    drop(rows)
+    return pairs
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -209,16 +211,19 @@ def jaccard_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     entries = stored(lists.join(shared, "token").distinct(), "list-entries", compression="zstd")
     wanted = entries.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("lists")).filter(F.col("lists") >= shared_firsts("n", percent)).select("node")
     wanted = stored(wanted, "wanted-sets")
+    listed = entries
     entries = entries.join(wanted.hint("merge"), "node", "left_semi")  # merged at any size, as all grow with the input
     sets = stored(sets_of(docs, nodes.join(wanted, "node").select("node", "doc_id", "key")), "node-sets", compression="zstd")
 
-    links = overlaps(stored(first_pairs(sets), "first-pairs"), sets).filter((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb")))
-    roots = stored(components(stored(links.select("a", "b"), "set-links")), "set-roots")
-    more = stored(derived(open_pairs(entries, roots, sets, percent), roots, sets, percent), "more-set-links")
-    hooked = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = stored(components(hooked.unionByName(more)), "set-roots")
+    met = stored(first_pairs(sets), "first-pairs")
+    links = overlaps(met, sets).filter((100 + percent) * F.col("both") >= percent * (F.col("na") + F.col("nb")))
+    links = stored(links.select("a", "b"), "set-links", [met])
+    roots = components(links)
+    drop(links)
+    roots = joined_roots(roots, derived(open_pairs(entries, roots, sets, percent), roots, sets, percent))
+    drop(listed, shared, wanted, sets)
 
-    whole = stored(nodes.select("set", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-sets", compression="zstd")
+    whole = stored(nodes.select("set", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-sets", [nodes, roots], compression="zstd")
     least = stored(whole.groupBy("root").agg(F.min("least").alias("component_id")), "set-components", compression="zstd")
-    named = stored(whole.join(least, "root").select("set", "component_id"), "named-sets", compression="zstd")
+    named = stored(whole.join(least, "root").select("set", "component_id"), "named-sets", [whole, least], compression="zstd")
     return found.join(named, "set", "left").select(original_id(), F.col("n").alias("n_shingles"), F.coalesce("component_id", original_id()).alias("component_id"))
