@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+import corpus_pipeline
 from trackspark.llm import common, order_minhash, paragraphs, set_join
 from trackspark.sources.tables import shared_dir
 
@@ -36,6 +37,13 @@ def test_only_tables_that_the_result_reads_stay(spark, docs, run):
     assert sorted(map(str, found.collect())) == sorted(map(str, rows))
 
 
+def test_stages_of_the_pipeline_drop_the_one_before(spark, monkeypatch):
+    before = tables(spark)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda spark, docs, sf_dir: docs.filter("doc_id >= 0")) for n in "abc"])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == 200
+    assert [n.rsplit("-", 1)[0] for n in tables(spark) - before] == ["stage-b"]
+
+
 def test_dropped_tables_are_those_named(spark):
     kept, gone, other = (common.stored(spark.range(n), f"table-{n}") for n in (1, 2, 3))
     both = common.together([gone, other])
