@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from trackspark.llm import common, order_minhash, paragraphs, set_join
+from trackspark.llm import common, fuzzy_lines, order_minhash, paragraphs, set_join
 from trackspark.sources.tables import shared_dir
 
 
@@ -27,7 +27,7 @@ def tables(spark):
     return {p.name for p in Path(shared_dir(spark).removeprefix("file://")).iterdir()}
 
 
-@pytest.mark.parametrize("run", [order_minhash.near_duplicates, paragraphs.remove_paragraphs, set_join.jaccard_components])
+@pytest.mark.parametrize("run", [fuzzy_lines.dedup_lines, order_minhash.near_duplicates, paragraphs.remove_paragraphs, set_join.jaccard_components])
 def test_only_tables_that_the_result_reads_stay(spark, docs, run):
     before = tables(spark)
     found = run(docs)
