@@ -308,6 +308,30 @@ def test_no_line_of_a_bucket_is_lost(spark, monkeypatch):
     assert pairs[0] == pairs[1] and len(pairs[0]) > 100
 
 
+def test_long_lines_are_told_apart_by_their_marks(spark):
+    """Unlike lines of any length in one bucket are no pairs to check; marks never differ in more bits than sets in shingles."""
+    rng = random.Random(9)
+    syllables = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(1, 4))) for _ in range(60)]
+    rows = []
+    for n in (3, 40, 300, 401, 900, 1500, 4000) * 8:
+        line = ""
+        while len(line) < n:
+            line += "".join(rng.choices(syllables, k=rng.randrange(1, 4))) + " "
+        rows += [line, line[: n // 2] + "#" + line[n // 2 + 1 :]]
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in rows]
+    facts = fuzzy_lines.marked(spark.createDataFrame(list(enumerate(rows)), "node long, line string"))
+    found = {r["node"]: r for r in facts.collect()}
+    assert [found[i]["size"] for i in range(len(rows))] == [len(s) for s in sets]
+    opened = spark.createDataFrame([(1, i, i, -1, 0, [0]) for i in range(len(rows))], "key long, node long, root long, main long, own int, sides array<int>")
+    pairs = {tuple(r) for r in fuzzy_lines.open_pairs(opened, facts, 0.8).collect()}
+    links = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert links <= pairs and len(links) >= 40 and len(pairs) <= len(links) + 20
+    F = fuzzy_lines.F
+    fine = facts.filter("fine is not null").select("node", "fine")
+    apart = fine.toDF("a", "x").crossJoin(fine.toDF("b", "y")).select("a", "b", fuzzy_lines.fine_difference(F.col("x"), F.col("y"))).collect()
+    assert len({len(r["fine"]) for r in found.values() if r["fine"]}) > 2 and all(bits <= len(sets[a] ^ sets[b]) for a, b, bits in apart)
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(150)]
