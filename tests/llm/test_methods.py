@@ -251,6 +251,35 @@ def test_no_link_between_paragraphs_is_lost(spark, most):
     assert got == {names[i]: names[root[i]] for i in linked}
 
 
+def test_bands_that_find_smaller_partners_alone_go_where_there_are_none(spark):
+    """Paragraphs of 26 shingles have 3 bands, not 6, but where one of fewer shingles has the key; no similar pair of any sizes is lost."""
+    rng = random.Random(14)
+    size = paragraphs.PLAIN
+    sets = [np.unique(np.array([rng.randrange(2**64) for _ in range(n)], np.uint64)) for n in [size] * 300]
+    for _ in range(400):
+        base = set(sets[rng.randrange(300)].tolist())
+        for _ in range(rng.randrange(6)):
+            base.discard(rng.choice(sorted(base)))
+        base |= {rng.randrange(2**64) for _ in range(rng.randrange(7) if rng.random() < 0.5 else 0)}
+        sets.append(np.array(sorted(base), np.uint64))
+    bands = paragraphs.Signer(0.8).bands
+
+    def rows_of(chosen):
+        rows = [(k, len(sets[k]), 0, paragraphs.lower(sets[k][: bands(len(sets[k]))]).tolist()) for k in chosen]
+        found = paragraphs.keyed(spark.createDataFrame(rows, "node long, size int, mark long, keys array<int>"), 0.8)
+        keys = {}
+        for r in found.collect():
+            keys.setdefault(r["node"], set()).add(r["key"])
+        return keys
+
+    plain = rows_of(range(300))
+    assert {len(k) for k in plain.values()} == {3}
+    keys = rows_of(range(len(sets)))
+    own = [set(s.tolist()) for s in sets]
+    links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])]
+    assert len({(len(own[i]), len(own[j])) for i, j in links}) > 30 and all(keys[i] & keys[j] for i, j in links)
+
+
 def test_bands_are_tuned():
     for similar in (0.5, 0.8, 0.9):
         bands, rows = paragraphs.tuned(similar, 0.99)
