@@ -144,3 +144,28 @@ def test_long_songs_meet_their_few_rows_in_shares(spark):
     found = tracks.with_song(rows, spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "song long, name string").hint("merge"), ["song"])
     assert found.groupBy("song", "name").count().count() == 3 and found.count() == 15000
     assert "__share" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_of_boxes_give_what_single_ones_do():
+    """Leaders.add_all() has the very centres of add(), box by box, with few centres, many, and centres that wander."""
+    rng = np.random.default_rng(6)
+    n = 30_000
+    places = {
+        80.8: (rng.integers(1, 51, n) * 20.0, rng.integers(0, 11, n) * 50.000000001),
+        100.0: (rng.choice([0.0, 100.0, 200.0], n), rng.choice([0.0, 100.0], n)),
+        60.0: (np.linspace(0, 3000, n) + rng.normal(0, 30, n), rng.normal(0, 20, n)),
+        400.0: (rng.uniform(-9000, 9000, n), rng.uniform(-9000, 9000, n)),
+    }
+    for limit, (x, y) in places.items():
+        one, all_ = tracks.Leaders(limit), tracks.Leaders(limit)
+        for point in zip(x.tolist(), y.tolist()):
+            one.add(*point)
+        for at in range(0, n, 7000):
+            all_.add_all(x[at : at + 7000], y[at : at + 7000])
+        assert all_.found == one.found
+
+
+def test_boxes_of_a_song_go_to_python_flat(spark, detections):
+    """Nested columns of a batch cost time with its square, and the last round isn't clustered again for each reader."""
+    found = tracks.cluster_centers(detections, tracks.adaptive_thresholds(detections, ["song"]), ["song"], 0.02)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()

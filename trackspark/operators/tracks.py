@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,12 +36,19 @@ def adaptive_thresholds(detections: DataFrame, keys: list[str], songs: DataFrame
 class Leaders:
     """Running cluster centres of one song: a point joins the first centre within `limit`, whose mean it moves, or is a new one.
 
-    Centres lie in square cells a little wider than `limit`, so that only those of nine cells can be near a point.
+    Centres lie in square cells a little wider than `limit`, so that only those of nine cells can be near a point. While they
+    are FEW, points come in chunks (add_all) of which most can be given their centre at once.
     """
 
-    def __init__(self, limit: float, found: list[dict] = ()):
+    FEW = 128
+
+    def __init__(self, limit: float, found: list[list[float]] = ()):
         self.limit, self.width = limit, limit * 1.000001 or 1.0
-        self.found: list[list[float]] = [[c["x"], c["y"], c["count"]] for c in found]
+        self.found: list[list[float]] = [list(c) for c in found]
+        self.total, self.singly = sum(c[2] for c in self.found), 0
+        self.fill()
+
+    def fill(self) -> None:
         self.cells: dict[tuple[int, int], list[int]] = {}
         for k, c in enumerate(self.found):
             self.cells.setdefault(self.cell(c[0], c[1]), []).append(k)
@@ -71,8 +79,63 @@ class Leaders:
             self.cells.setdefault(after, []).append(first)
 
 
+    def add_all(self, x: np.ndarray, y: np.ndarray) -> None:
+        """add() each of the points, in their order."""
+        at = 0
+        while at < len(x):
+            size = min(1 << 15, self.total // 128)
+            if size < 64 or len(self.found) > self.FEW or self.singly > 0:
+                size = 256
+                self.singly -= size
+                for point in zip(x[at : at + size].tolist(), y[at : at + size].tolist()):
+                    self.add(*point)
+            else:
+                self.add_chunk(x[at : at + size], y[at : at + size])
+            self.total += min(size, len(x) - at)
+            at += size
+
+    def add_chunk(self, x: np.ndarray, y: np.ndarray) -> None:
+        """add() each of a few points, next to those added before.
+
+        A point moves a centre of n points by less than limit / (n + 1), so that a centre can't leave the circle around its place
+        that all points of the chunk that can reach it make. A point that is nearer to its first centre than the limit wherever
+        in that circle the centre is, and farther from all before it, is decided; the others are tried one by one.
+        """
+        found, limit = self.found, self.limit
+        cx, cy, n = np.array(found).T
+        far = (x[:, None] - cx) ** 2 + (y[:, None] - cy) ** 2
+        moved = limit * len(x) / (n + 1)
+        for _ in range(2):
+            moved = limit * (far < ((limit + moved) * 1.000001) ** 2).sum(0) / (n + 1)
+        reach = far < ((limit + moved) * 1.000001) ** 2
+        first = reach.argmax(1)
+        inner = np.maximum(limit - moved, 0) * 0.999999
+        here = np.arange(len(x))
+        first[~(reach[here, first] & (far[here, first] < inner[first] ** 2))] = -1
+        if 3 * (first < 0).sum() > len(x):
+            self.singly = 16 * len(x)  # before chunks are tried again
+        for k, px, py in zip(first.tolist(), x.tolist(), y.tolist()):
+            if k < 0:
+                for c in found:
+                    if math.hypot(c[0] - px, c[1] - py) < limit:
+                        break
+                else:
+                    found.append([px, py, 1])
+                    continue
+            else:
+                c = found[k]
+            c[2] += 1
+            c[0] += (px - c[0]) / c[2]
+            c[1] += (py - c[1]) / c[2]
+        self.fill()
+
+
 #: Boxes of a song in one round of clustering, and frames that stay in one round together.
-ROUND, TOGETHER = 1 << 20, 4096
+ROUND, TOGETHER = 1 << 22, 4096
+#: Tasks at least that the songs of a round are dealt to, so that few of them share one.
+DEALT = 64
+#: Numbers of rows that are no centre: a song's own, before its centres, and boxes, after them.
+HEAD, BOX = -1, 2**31 - 1
 #: Shares of a song's rows where all of them meet the song's own few rows.
 SHARES = 64
 
@@ -100,6 +163,11 @@ def in_rounds(rows: DataFrame, keys: list[str], size: int) -> list[DataFrame]:
     return [table.filter(F.col("__round") == n).select(*rows.columns) for n in numbers]
 
 
+def values(column: pa.Array) -> np.ndarray:
+    """The column's values; objects where some are null or they are no numbers."""
+    return np.array([*column.to_pylist(), None], object)[:-1] if column.null_count else column.to_numpy(zero_copy_only=False)
+
+
 def cluster_centers(detections: DataFrame, thresholds: DataFrame, keys: list[str], share: float = 0.66, frames: DataFrame | None = None, size: int = ROUND) -> DataFrame:
     """Clusters of box centres (center, x, y, count) found in more than `share` of the song's frames.
 
@@ -111,46 +179,66 @@ def cluster_centers(detections: DataFrame, thresholds: DataFrame, keys: list[str
     rows = with_centers(detections).filter(F.col("cx").isNotNull() & F.col("cy").isNotNull() & ~F.isnan("cx") & ~F.isnan("cy"))
     rows = rows.select(*keys, "frame", "subj", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
     limits = thresholds.select(*keys, F.col("radius").cast("double").alias("radius"))
-    total = F.lit(None).cast("long").alias("total")
     if frames is not None:
-        limits, total = limits.join(frames.groupBy(*keys).agg(F.countDistinct("frame").alias("total")), keys), F.col("total")
-    no_frame = F.lit(None).cast(rows.schema["frame"].dataType).alias("last")
-    none = F.array().cast("array<struct<x:double,y:double,count:double>>").alias("found")
-    states = limits.select(*keys, F.struct("radius", total, F.lit(0).cast("long").alias("seen"), no_frame, none).alias("state"))
-    schema, at = states.schema, len(keys)
+        limits = kept(limits.join(frames.groupBy(*keys).agg(F.countDistinct("frame").alias("total")), keys))
+    # rows of a song in this order: one (HEAD) with its last frame, radius and frames so far, its centres by number, and boxes;
+    # all flat, as Spark hands nested columns to Python in time that grows with the square of a batch
+    number, none = F.lit(0.0).alias("n"), F.lit(None)
+    states = limits.select(*keys, F.lit(HEAD).alias("at"), none.cast(rows.schema["frame"].dataType).alias("frame"), F.col("radius").alias("cx"), F.lit(0.0).alias("cy"), number)
+    rows = rows.select(*keys, F.lit(BOX).alias("at"), "frame", "cx", "cy", number, "subj")
+    schema, of_key = states.schema, len(keys)
     types = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = leaders = frame = state = None
-        seen = 0
+        key = leaders = frame = None
+        radius, seen, found = 0.0, 0, []
 
         def closed() -> pa.RecordBatch:
-            now = state | {"seen": seen, "last": frame, "found": [{"x": c[0], "y": c[1], "count": float(c[2])} for c in leaders.found]}
-            return pa.RecordBatch.from_pylist([dict(zip(types.names, (*key, now)))], schema=types)
+            after = (leaders or Leaders(radius, found)).found
+            table = [(*key, HEAD, frame, radius, 0.0, float(seen)), *((*key, k, None, x, y, float(n)) for k, (x, y, n) in enumerate(after))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table), types.types)], schema=types)
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for k, given, f, x, y in zip(zip(*columns[:at]), columns[at], *columns[at + 1 :]):
-                if given is not None:
-                    if leaders is not None:
+            if not batch.num_rows:
+                continue
+            at, frames, x, y, n = (values(c) for c in batch.columns[of_key:])
+            new = at != BOX
+            new[1:] |= new[:-1]
+            new[0] = True
+            for c in batch.columns[:of_key]:
+                v = values(c)
+                new[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(new).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                k = tuple(c[a].as_py() for c in batch.columns[:of_key])
+                if at[a] == HEAD:
+                    if key is not None:
                         yield closed()
-                    key, state, leaders, frame, seen = k, given, Leaders(given["radius"], given["found"]), given["last"], given["seen"]
-                elif k == key:  # a song without limits has no clusters
-                    if f != frame:
-                        frame, seen = f, seen + 1
-                    leaders.add(x, y)
-        if leaders is not None:
+                    key, leaders, found = k, None, []
+                    frame, radius, seen = batch.column(of_key + 1)[a].as_py(), float(x[a]), int(n[a])
+                elif k != key:  # a song without limits has no clusters
+                    continue
+                elif at[a] != BOX:
+                    found.append([float(x[a]), float(y[a]), int(n[a])])
+                else:
+                    leaders = leaders or Leaders(radius, found)
+                    f = frames[a:b]
+                    seen += int(f[0] != frame) + int((f[1:] != f[:-1]).sum())
+                    frame = f[-1:].tolist()[0]
+                    leaders.add_all(x[a:b], y[a:b])
+        if key is not None:
             yield closed()
 
-    for i, part in enumerate(rounds := in_rounds(rows, keys, size)):
-        both = states.unionByName(part.withColumn("state", F.lit(None).cast(schema["state"].dataType)), allowMissingColumns=True)
-        both = both.repartition(*keys).sortWithinPartitions(*keys, F.col("state").isNull(), "frame", "subj").select(*keys, "state", "frame", "cx", "cy")
-        states = both.mapInArrow(run, schema)
-        if i + 1 < len(rounds):
-            states = kept(states)
-    least = share * F.coalesce("state.total", "state.seen")
-    found = states.select(*keys, least.alias("__least"), F.posexplode("state.found").alias("center", "c")).filter("c.count > __least")
-    return found.select(*keys, F.col("center").cast("long").alias("center"), "c.x", "c.y", F.col("c.count").cast("long").alias("count"))
+    tasks = max(DEALT, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for part in in_rounds(rows, keys, size):
+        both = states.withColumn("subj", none.cast(rows.schema["subj"].dataType)).unionByName(part)
+        both = both.repartition(tasks, *keys).sortWithinPartitions(*keys, "at", "frame", "subj").drop("subj")
+        states = kept(both.mapInArrow(run, schema))
+    seen = states.filter(F.col("at") == HEAD).select(*keys, F.col("n").alias("__seen"))
+    if frames is not None:
+        seen = seen.join(limits.select(*keys, "total"), keys).select(*keys, F.col("total").cast("double").alias("__seen"))
+    found = states.filter(F.col("at") != HEAD).join(seen, keys).filter(F.col("n") > share * F.col("__seen"))
+    return found.select(*keys, F.col("at").cast("long").alias("center"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("n").cast("long").alias("count"))
 
 
 def drop_high_outliers(centers: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,10 +268,11 @@ def assign_nearest(detections: DataFrame, performers: DataFrame, thresholds: Dat
     Of several boxes the last subject wins; frames without one have nulls. `frames` (keys, frame) has all frames, those
     without any box too; without it the frames are those of the boxes.
     """
-    goals = performers.select(*keys, "instrument", "x", "y").join(thresholds.select(*keys, "radius"), keys)
-    near = with_song(with_centers(detections), goals, keys).withColumn("__d", distance(F.col("cx"), F.col("cy"), F.col("x"), F.col("y")))
-    best = near.groupBy(*keys, "frame", "subj", *values, "radius").agg(F.min_by("instrument", F.struct("__d", "x")).alias("instrument"), F.min("__d").alias("__d"))
-    won = best.filter(F.col("__d") < F.col("radius")).groupBy(*keys, "instrument", "frame").agg(F.max_by(F.struct(*values), "subj").alias("__v"))
+    goals = performers.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "instrument")).alias("__goals")).join(thresholds.select(*keys, "radius"), keys)
+    near = with_song(with_centers(detections), goals, keys)
+    away = F.transform("__goals", lambda g: F.struct(distance(F.col("cx"), F.col("cy"), g["x"], g["y"]).alias("d"), g["x"].alias("x"), g["instrument"].alias("instrument")))
+    best = near.select(*keys, "frame", "subj", *values, "radius", F.array_min(away).alias("__best")).filter(F.col("__best.d") < F.col("radius"))
+    won = best.groupBy(*keys, F.col("__best.instrument").alias("instrument"), "frame").agg(F.max_by(F.struct(*values), "subj").alias("__v"))
     spine = with_song((detections if frames is None else frames).select(*keys, "frame").distinct(), performers.select(*keys, "instrument"), keys)
     return spine.join(won, [*keys, "instrument", "frame"], "left").select(*keys, "instrument", "frame", *(F.col(f"__v.{v}").alias(v) for v in values))
 
@@ -194,8 +283,8 @@ def build_tracks(detections: DataFrame, songs: DataFrame, keys: list[str], value
     `frames` (keys, frame) has all frames of the songs, those without a box too.
     """
     usable = songs.filter(F.col("layout").isNotNull() & ~F.coalesce("moving_camera", F.lit(False)))
-    boxes = with_song(detections, usable.select(*keys).distinct(), keys)
-    limits = adaptive_thresholds(boxes, keys)
+    boxes = kept(with_song(detections, usable.select(*keys).distinct(), keys))
+    limits = kept(adaptive_thresholds(boxes, keys))
     centers = drop_high_outliers(cluster_centers(boxes, limits, keys, share, frames), limits, keys)
     return assign_nearest(boxes, pick_performers(centers, usable, keys), limits, keys, values, frames)
 
