@@ -676,3 +676,19 @@ def test_marks_never_differ_in_more_bits_than_sets_in_tokens():
         bits = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(near.marks(x), near.marks(y)))
         assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
         assert near.marks(x) == near.marks(x[::-1])
+
+
+def test_paragraphs_are_fetched_and_checked_in_parts(spark, monkeypatch):
+    """Only a part of the texts, and of the tokens on either side, is shuffled at once; all pairs and nodes are there."""
+    rng = random.Random(12)
+    words = [[rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 4) for _ in range(34)] for _ in range(12)]
+    texts = [" ".join(w if rng.random() > 0.015 else "other" for w in words[i % 12]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = spark.createDataFrame([(-i - 7, (i, 0, 34), 1) for i in range(60)], "node long, head struct<doc_id:long,a:int,b:int>, n long")
+    pairs = list(itertools.combinations([-i - 7 for i in range(60)], 2))
+    names, whole = [], paragraphs.stored
+    monkeypatch.setattr(paragraphs, "stored", lambda df, name, *a, **k: names.append(name) or whole(df, name, *a, **k))
+    got = {tuple(r) for r in paragraphs.links_of(docs, nodes, spark.createDataFrame(pairs, "a long, b long"), 0.8).collect()}
+    assert got == {(a, b) for a, b in pairs if near.jaccard(texts[-a - 7], texts[-b - 7]) >= 0.8} and len(got) > 20
+    counts = [names.count(name) for name in ("paragraph-tokens", "paragraph-links")]
+    assert counts == [paragraphs.PASSES, paragraphs.PASSES**2]
